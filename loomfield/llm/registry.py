@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .packing import op10_pattern_packing
+from .sharding import op4_external_shuffle
 
 
 def queries():
     return {
+        "op4_external_shuffle": op4_external_shuffle,
         "op6_decontaminate": op6_decontaminate,
+        "op10_pattern_packing": op10_pattern_packing,
     }
 
 
