@@ -28,7 +28,7 @@ from .tokens import default_tokenizer_path, text_blocks, worker_tokenizer
 CAPACITY = 2048
 END = 0
 #: Pieces of one length are numbered in groups of about this many.
-GROUP = 512
+GROUP = 128
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
