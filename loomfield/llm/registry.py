@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .packing import op10_pattern_packing
+from .quality import op2_quality_gam
 from .sharding import op4_external_shuffle
+from .toxicity import op3_toxicity_trees
 
 
 def queries():
     return {
+        "op2_quality_gam": op2_quality_gam,
+        "op3_toxicity_trees": op3_toxicity_trees,
         "op4_external_shuffle": op4_external_shuffle,
         "op6_decontaminate": op6_decontaminate,
         "op10_pattern_packing": op10_pattern_packing,
