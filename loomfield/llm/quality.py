@@ -154,10 +154,16 @@ def one_label(labels: DataFrame, label_col: str) -> DataFrame:
     return labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
 
 
+def bounded_sample(known: DataFrame, max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows at most, drawn by a hash of their id: each row decides alone."""
+    share = min(1.0, max_rows / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def train(features: DataFrame, labels: DataFrame, *, label_col="quality", folds=5, held=0, max_rows=MAX_TRAIN_ROWS) -> AdditiveModel:
     """Fit on at most ``max_rows`` rows of ``features`` whose fold is not ``held``."""
-    rows = features.join(one_label(labels, label_col), "doc_id").where(fold("doc_id", folds) != held)
-    sample = rows.orderBy(F.xxhash64("doc_id")).limit(max_rows).select("features", "label").collect()
+    known = bounded_sample(one_label(labels, label_col).where(fold("doc_id", folds) != held), max_rows)
+    sample = features.join(known, "doc_id").orderBy("doc_id").select("features", "label").collect()  # about max_rows at most
     x = np.frombuffer(b"".join(bytes(r.features) for r in sample), np.float32).reshape(len(sample), len(QUALITY))
     return AdditiveModel(x, np.array([r.label for r in sample], float))
 

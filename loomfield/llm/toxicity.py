@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import features as X
-from .quality import fold, one_label
+from .quality import bounded_sample, fold, one_label
 from .shared import table
 from .textops import binary_array
 
@@ -149,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col="toxic", folds=3, hel
     """Fit on at most ``max_rows`` labelled documents whose fold is not ``held``; half of them for the lexicon."""
     spark = docs.sparkSession
     known = one_label(labels, label_col).where(fold("doc_id", folds) != held)
-    drawn = known.orderBy(F.xxhash64("doc_id")).limit(max_rows).select("doc_id", "label", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 0).alias("first"))
-    rows = drawn.collect()  # at most max_rows ids and labels
+    drawn = bounded_sample(known, max_rows).select("doc_id", "label", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 0).alias("first"))
+    rows = drawn.collect()  # about max_rows ids and labels at most
     drawn = F.broadcast(spark.createDataFrame([(r.doc_id, r.label, r.first) for r in rows], "doc_id bigint, label int, first boolean"))
     own = docs.select("doc_id", "text").join(drawn, "doc_id")
     toxic = sum(r.label for r in rows if r.first)
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col="toxic", folds=3, hel
             yield pa.RecordBatch.from_arrays([batch.column(1), binary_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1]), batch.column(2)], ["label", "features", "doc_id"])
 
     second = own.where("not first").select("text", "label", "doc_id").mapInArrow(run, "label int, features binary, doc_id bigint")
-    got = sorted(second.collect(), key=lambda r: (r.doc_id, bytes(r.features)))  # at most max_rows rows of features
+    got = sorted(second.collect(), key=lambda r: (r.doc_id, bytes(r.features)))  # about half of max_rows
     x = np.frombuffer(b"".join(bytes(r.features) for r in got), np.float32).reshape(len(got), len(X.TOXICITY))
     return ToxicityModel(lexicon, x, np.array([r.label for r in got], float))
 
