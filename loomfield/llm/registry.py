@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .jaccard import OP5_SQL, op5_jaccard_rtree
 from .packing import op10_pattern_packing
 from .quality import op2_quality_gam
 from .sharding import op4_external_shuffle
@@ -14,10 +15,11 @@ def queries():
         "op2_quality_gam": op2_quality_gam,
         "op3_toxicity_trees": op3_toxicity_trees,
         "op4_external_shuffle": op4_external_shuffle,
+        "op5_jaccard_rtree": op5_jaccard_rtree,
         "op6_decontaminate": op6_decontaminate,
         "op10_pattern_packing": op10_pattern_packing,
     }
 
 
 def oracle_sql():
-    return {"op6_decontaminate": OP6_SQL}
+    return {"op5_jaccard_rtree": OP5_SQL, "op6_decontaminate": OP6_SQL}
