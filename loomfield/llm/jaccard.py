@@ -6,7 +6,7 @@ node similar enough must share a shingle with, routes it to buckets. In a bucket
 compared with all others; most copies link to it and join its component. Then every bucket that still holds
 several components is searched whole: its nodes' count vectors (shingles hashed into groups) are packed into
 an R-tree, whose boxes and points bound the overlap by summed coordinate minima, and only pairs of different
-components that pass are verified on their sets. So no link is lost, yet pairs inside a component are not
+components that pass are verified on their sets. Larger sets have more groups; boxes use ``GROUPS`` sums of them. So no link is lost, yet pairs inside a component are not
 listed. Large buckets are cut into pairs of blocks. Components come from large-star and small-star steps.
 
 A null, empty or wordless text has an empty set, links with nothing and is its own component. Fewer words than
@@ -61,6 +61,29 @@ def shingle_sets(column, size: int = SIZE):
                 yield lo + k, whole
 
 
+def count_vector(grams: np.ndarray) -> np.ndarray:
+    """Counts of shingles by hash group, about 16 a group; 255 stands for 255 or more."""
+    bits = max(6, (len(grams) // 16).bit_length())
+    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def unpacked(vector: bytes) -> np.ndarray:
+    """Counts as integers; a count that stands for more becomes one that no bound can miss."""
+    v = np.frombuffer(vector, np.uint8).astype(np.int32)
+    v[v == 255] = 1 << 20
+    return v
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    return v if len(v) == groups else v.reshape(groups, -1).sum(1)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed coordinate minima of two count vectors, on the coarser one's groups."""
+    g = min(len(x), len(y))
+    return int(np.minimum(folded(x, g), folded(y, g)).sum())
+
+
 def _digest(grams: np.ndarray) -> bytes:
     return hashlib.md5(grams.tobytes()).digest()
 
@@ -76,7 +99,7 @@ def _profile(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
             for row, grams in shingle_sets(batch.column(1), size):
                 n[row] = len(grams)
                 digest[row] = _digest(grams)
-                vector[row] = np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes()
+                vector[row] = count_vector(grams).tobytes()
                 take = len(grams) + (-percent * len(grams)) // 100 + 1
                 if len(often):
                     slot = np.minimum(np.searchsorted(often, grams), len(often) - 1)
@@ -147,7 +170,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     sets = keyed.mapInArrow(run, "doc_id bigint, digest binary, grams binary")
     wanted = nodes.select("node", F.col("doc_id").alias("_d"), F.col("digest").alias("_g"))
     found = sets.join(wanted, sets.doc_id.eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g")))
-    return found.select("node", "grams").dropDuplicates(["node"])
+    return found.select("node", "grams")
 
 
 def required(a, b, percent: int):
@@ -212,8 +235,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                va, vb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, GROUPS) for k in (3, 5))
-                keep = np.minimum(va, vb).sum(1) >= required(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
+                bound = [overlap_bound(unpacked(x.as_buffer()), unpacked(y.as_buffer())) for x, y in zip(batch.column(3), batch.column(5))]
+                keep = np.array(bound) >= required(batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return wide.select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a bigint, b bigint")
@@ -265,7 +288,8 @@ def _pairs_in(group: pd.DataFrame, percent: int) -> np.ndarray:
     none = np.zeros((0, 2), np.int64)
     if len(node) < 2 or (component == component[0]).all():
         return none
-    vectors = np.frombuffer(b"".join(group["vector"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
+    fine = [unpacked(v) for v in group["vector"]]
+    vectors = np.stack([folded(v, GROUPS) for v in fine])
     two = bool((group["i"].to_numpy() != group["j"].to_numpy()).any())
     side = group["side"].to_numpy(np.int64)
     inside = np.flatnonzero(side == 0) if two else np.arange(len(node))
@@ -279,6 +303,8 @@ def _pairs_in(group: pd.DataFrame, percent: int) -> np.ndarray:
         near = near[component[near] != component[k]]
         if not two:
             near = near[node[near] > node[k]]
+        if len(near) and len(fine[k]) > GROUPS:
+            near = near[[overlap_bound(fine[x], fine[k]) >= required(int(n[x]), int(n[k]), percent) for x in near]]
         if len(near):
             out.append(np.column_stack((np.minimum(node[near], node[k]), np.maximum(node[near], node[k]))))
     return np.concatenate(out) if out else none
@@ -294,13 +320,17 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
     buckets = materialize(tokens.join(shared, "token"), "buckets")
     stars = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    linked = materialize(_verify(docs, materialize(_bounded(stars, points, percent), "pairs"), nodes, size, percent), "links")
+    stars = materialize(_bounded(stars, points, percent), "stars")
+    one_each = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    linked = materialize(_verify(docs, one_each, nodes, size, percent), "links")
     settled = components(linked)
-    # a bucket of two has been compared; so has each pair with the pivot
+    # pairs with the pivot are among the stars, so a bucket of two is done
     large = buckets.where("c > 2").join(settled.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     members = large.where("node <> pivot").join(mixed, "token").select("token", "c", "node", "component").join(points, "node")
-    pairs = materialize(_search_buckets(members, percent).distinct(), "pairs")
+    own = lambda c: settled.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    other = stars.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(one_each, ["a", "b"], "left_anti")
+    pairs = materialize(_search_buckets(members, percent).union(other.select("a", "b")).distinct(), "pairs")
     more = _verify(docs, pairs, nodes, size, percent)
     final = components(linked.union(more))
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
