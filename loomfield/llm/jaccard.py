@@ -3,10 +3,11 @@
 Documents with equal shingle sets collapse to one node. A node's shingles are ordered rare ones first (a fixed
 sample of documents tells which are frequent; the order decides cost, never results), and its prefix, which any
 node similar enough must share a shingle with, routes it to buckets. In a bucket first the smallest node is
-compared with all others; most copies link to it and join its component. Then every bucket that still holds
-several components is searched whole: its nodes' count vectors (shingles hashed into groups) are packed into
+compared with all others; most copies link to it and join its component. Then the buckets of each smallest node
+are put together, and every such group that still holds several components is searched whole: its count vectors (shingles hashed into groups) are packed into
 an R-tree, whose boxes and points bound the overlap by summed coordinate minima, and only pairs of different
-components that pass are verified on their sets. Larger sets have more groups; boxes use ``GROUPS`` sums of them. So no link is lost, yet pairs inside a component are not
+components that pass are verified on their sets. A set has about as many groups as
+shingles; boxes use ``GROUPS`` sums of them. So no link is lost, yet pairs inside a component are not
 listed. Large buckets are cut into pairs of blocks. Components come from large-star and small-star steps.
 
 A null, empty or wordless text has an empty set, links with nothing and is its own component. Fewer words than
@@ -62,8 +63,8 @@ def shingle_sets(column, size: int = SIZE):
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    """Counts of shingles by hash group, about 16 a group; 255 stands for 255 or more."""
-    bits = max(6, (len(grams) // 16).bit_length())
+    """Counts of shingles by hash group, as many groups as shingles or up to twice that; 255 stands for 255 or more."""
+    bits = min(16, max(6, (len(grams) - 1).bit_length()))
     return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -243,9 +244,9 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _search_buckets(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components in buckets (token, c, node, component, n, vector).
+    """Candidate pairs of different components in groups (token, c, node, component, n, vector).
 
-    Buckets of more than BLOCK nodes are cut; each pair of blocks is a group of its own.
+    Groups of more than BLOCK nodes are cut; each pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     cut = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
@@ -290,6 +291,10 @@ def _pairs_in(group: pd.DataFrame, percent: int) -> np.ndarray:
         return none
     fine = [unpacked(v) for v in group["vector"]]
     vectors = np.stack([folded(v, GROUPS) for v in fine])
+    stacks = {}
+    for g in {len(v) for v in fine}:
+        own = [k for k, v in enumerate(fine) if len(v) == g]
+        stacks[g] = (np.stack([fine[k] for k in own]), dict(zip(own, range(len(own)))))
     two = bool((group["i"].to_numpy() != group["j"].to_numpy()).any())
     side = group["side"].to_numpy(np.int64)
     inside = np.flatnonzero(side == 0) if two else np.arange(len(node))
@@ -303,13 +308,26 @@ def _pairs_in(group: pd.DataFrame, percent: int) -> np.ndarray:
         near = near[component[near] != component[k]]
         if not two:
             near = near[node[near] > node[k]]
-        if len(near) and len(fine[k]) > GROUPS:
-            near = near[[overlap_bound(fine[x], fine[k]) >= required(int(n[x]), int(n[k]), percent) for x in near]]
+        near = near[_finer(fine, stacks, near, int(k)) >= required(n[near], int(n[k]), percent)] if len(near) else near
         if len(near):
             out.append(np.column_stack((np.minimum(node[near], node[k]), np.maximum(node[near], node[k]))))
     return np.concatenate(out) if out else none
 
 
+def _finer(fine: list[np.ndarray], stacks: dict, near: np.ndarray, k: int) -> np.ndarray:
+    """Overlap bounds of vector k with those of ``near`` on the finest groups that both have."""
+    out = np.zeros(len(near), np.int64)
+    sizes = np.array([len(fine[x]) for x in near])
+    for g in np.unique(sizes):
+        at = np.flatnonzero(sizes == g)
+        rows, index = stacks[int(g)]
+        low = min(int(g), len(fine[k]))
+        own = rows[[index[int(x)] for x in near[at]]]
+        own = own if low == g else own.reshape(len(at), low, -1).sum(2)
+        out[at] = np.minimum(own, folded(fine[k], low)).sum(1)
+    return out
+
+
 def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     profile = materialize(_profile(docs, _frequent(docs, size), size, percent), "profile")
@@ -318,16 +336,17 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     points = nodes.select("node", "n", "vector")
     tokens = nodes.select("node", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
-    buckets = materialize(tokens.join(shared, "token"), "buckets")
-    stars = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(_bounded(stars, points, percent), "stars")
+    # all buckets of one pivot make one group, so that a pair meets once and not in every shingle it shares
+    groups = tokens.join(shared, "token").where("node <> pivot").select("pivot", "node").distinct()
+    groups = materialize(groups, "groups")
+    stars = materialize(_bounded(groups.select(F.col("pivot").alias("a"), F.col("node").alias("b")), points, percent), "stars")
     one_each = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialize(_verify(docs, one_each, nodes, size, percent), "links")
     settled = components(linked)
-    # pairs with the pivot are among the stars, so a bucket of two is done
-    large = buckets.where("c > 2").join(settled.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    members = large.where("node <> pivot").join(mixed, "token").select("token", "c", "node", "component").join(points, "node")
+    # pairs with the pivot are among the stars, so a group of one node is done
+    members = groups.join(settled.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("pivot").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pivot", "c")
+    members = members.join(mixed, "pivot").select(F.col("pivot").alias("token"), "c", "node", "component").join(points, "node")
     own = lambda c: settled.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     other = stars.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(one_each, ["a", "b"], "left_anti")
     pairs = materialize(_search_buckets(members, percent).union(other.select("a", "b")).distinct(), "pairs")
