@@ -7,11 +7,13 @@ from .jaccard import OP5_SQL, op5_jaccard_rtree
 from .packing import op10_pattern_packing
 from .quality import op2_quality_gam
 from .sharding import op4_external_shuffle
+from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op3_toxicity_trees
 
 
 def queries():
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality_gam": op2_quality_gam,
         "op3_toxicity_trees": op3_toxicity_trees,
         "op4_external_shuffle": op4_external_shuffle,

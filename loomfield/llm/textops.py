@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 21
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_SECOND = 0xD1B54A32D192ED03
 _POWERS: dict[int, tuple[np.ndarray, int]] = {}
 
 
@@ -79,14 +79,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: one polynomial prefix sum over the block, then differences."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(_UNBASE, len(data) + 1)[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data)), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[starts]
     return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
+def span_hashes_128(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return span_hashes(data, starts, ends), span_hashes(data, starts, ends, _SECOND)
+
+
 def counts_by_doc(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each document, the index of its first span, and at the end the number of spans."""
     return np.searchsorted(starts, offsets)
