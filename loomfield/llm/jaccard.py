@@ -6,8 +6,8 @@ node similar enough must share a shingle with, routes it to buckets. In a bucket
 compared with all others; most copies link to it and join its component. Then the buckets of each smallest node
 are put together, and every such group that still holds several components is searched whole: its count vectors (shingles hashed into groups) are packed into
 an R-tree, whose boxes and points bound the overlap by summed coordinate minima, and only pairs of different
-components that pass are verified on their sets. A set has about as many groups as
-shingles; boxes use ``GROUPS`` sums of them. So no link is lost, yet pairs inside a component are not
+components that pass are verified on their sets. Larger sets have more groups;
+boxes use ``GROUPS`` sums of them. So no link is lost, yet pairs inside a component are not
 listed. Large buckets are cut into pairs of blocks. Components come from large-star and small-star steps.
 
 A null, empty or wordless text has an empty set, links with nothing and is its own component. Fewer words than
@@ -63,8 +63,8 @@ def shingle_sets(column, size: int = SIZE):
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    """Counts of shingles by hash group, as many groups as shingles or up to twice that; 255 stands for 255 or more."""
-    bits = min(16, max(6, (len(grams) - 1).bit_length()))
+    """Counts of shingles by hash group, a group for two to four shingles; 255 stands for 255 or more."""
+    bits = min(16, max(6, ((len(grams) - 1) // 4).bit_length()))
     return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -230,8 +230,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, perc
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose summed coordinate minima allow a link."""
-    own = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("vector").alias(f"v{c}"))
-    wide = pairs.join(own("b"), "b").join(own("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    size = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    vector = lambda c: points.select(F.col("node").alias(c), F.col("vector").alias(f"v{c}"))
+    near = pairs.join(size("b"), "b").join(size("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    wide = near.join(vector("b"), "b").join(vector("a"), "a")
 
     def run(batches):
         for batch in batches:
@@ -243,8 +245,22 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _search_buckets(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components in groups (token, c, node, component, n, vector).
+def _groups(groups: DataFrame, settled: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Members (token, c, node, component, n, vector) of groups by pivot and size that hold several components.
+
+    Sizes that may link lie in one class of sizes or in neighbouring ones, so such nodes share a slot.
+    """
+    sized = groups.join(points.select("node", "n"), "node").join(settled.select("node", "component"), "node", "left")
+    level = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+    slots = sized.select("node", F.coalesce("component", "node").alias("component"), F.explode(F.array(level, level + 1)).alias("slot"), "pivot")
+    slots = slots.select("node", "component", F.xxhash64("pivot", "slot").alias("token"))
+    mixed = slots.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "c")
+    return slots.join(mixed, "token").join(points, "node").select("token", "c", "node", "component", "n", "vector")
+
+
+def _search_buckets(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs of different components in groups (token, c, node, component, n, vector); with ``forest``
+    only as many as would join the components that candidates may join.
 
     Groups of more than BLOCK nodes are cut; each pair of blocks is a group of its own.
     """
@@ -265,13 +281,13 @@ def _search_buckets(members: DataFrame, percent: int) -> DataFrame:
             key = frame[["token", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for lo, hi in zip(np.concatenate(([0], cuts[:-1])) if len(cuts) else [], cuts):
-                found.append(_pairs_in(frame.iloc[int(lo) : int(hi)], percent))
+                found.append(_pairs_in(frame.iloc[int(lo) : int(hi)], percent, forest))
             rest = frame.iloc[int(cuts[-1]) if len(cuts) else 0 :]
             if sum(map(len, found)) > 200_000:
                 yield _pairs_batch(found)
                 found = []
         if rest is not None and len(rest):
-            found.append(_pairs_in(rest, percent))
+            found.append(_pairs_in(rest, percent, forest))
         yield _pairs_batch(found)
 
     spread = cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
@@ -283,7 +299,7 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["a", "b"])
 
 
-def _pairs_in(group: pd.DataFrame, percent: int) -> np.ndarray:
+def _pairs_in(group: pd.DataFrame, percent: int, forest: bool) -> np.ndarray:
     """Pairs of one group by its R-tree: within a block, or of either block with the other one."""
     component, node, n = (group[c].to_numpy(np.int64) for c in ("component", "node", "n"))
     none = np.zeros((0, 2), np.int64)
@@ -303,12 +319,27 @@ def _pairs_in(group: pd.DataFrame, percent: int) -> np.ndarray:
         return none
     tree = RTree(vectors[inside], n[inside])
     out = []
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
     for k in asking:
         near = inside[tree.search(vectors[k], int(n[k]), percent)]
         near = near[component[near] != component[k]]
         if not two:
             near = near[node[near] > node[k]]
         near = near[_finer(fine, stacks, near, int(k)) >= required(n[near], int(n[k]), percent)] if len(near) else near
+        if forest and len(near):
+            joins = []
+            for x in near.tolist():
+                a, b = find(int(component[x])), find(int(component[k]))
+                if a != b:
+                    root[a] = b
+                    joins.append(x)
+            near = np.array(joins, np.int64)
         if len(near):
             out.append(np.column_stack((np.minimum(node[near], node[k]), np.maximum(node[near], node[k]))))
     return np.concatenate(out) if out else none
@@ -343,15 +374,19 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
     one_each = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialize(_verify(docs, one_each, nodes, size, percent), "links")
     settled = components(linked)
-    # pairs with the pivot are among the stars, so a group of one node is done
-    members = groups.join(settled.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("pivot").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pivot", "c")
-    members = members.join(mixed, "pivot").select(F.col("pivot").alias("token"), "c", "node", "component").join(points, "node")
-    own = lambda c: settled.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    other = stars.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(one_each, ["a", "b"], "left_anti")
-    pairs = materialize(_search_buckets(members, percent).union(other.select("a", "b")).distinct(), "pairs")
-    more = _verify(docs, pairs, nodes, size, percent)
-    final = components(linked.union(more))
+    # first as few pairs as would join what may be joined, then, with what is still apart, all that may link
+    for forest in (True, False):
+        own = lambda c, known=settled: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        pairs = _search_buckets(_groups(groups, settled, points, percent), percent, forest)
+        if not forest:
+            other = stars.join(one_each, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
+            other = other.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            pairs = pairs.union(other).distinct().join(linked_or_not, ["a", "b"], "left_anti")
+        pairs = materialize(pairs.distinct(), "pairs")
+        linked_or_not = pairs
+        linked = materialize(linked.union(_verify(docs, pairs, nodes, size, percent)), "links")
+        settled = components(linked)
+    final = settled
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_digest = named.join(smallest, "component").select("digest", "component_id")
