@@ -244,7 +244,7 @@ def _cut(candidates: DataFrame, found: DataFrame, length: int, keep_text: bool)
                 end = b[np.concatenate((np.flatnonzero(first)[1:], [len(a)])) - 1]
                 edges = np.concatenate(([0], np.column_stack((begin, end)).ravel(), [len(text)])).tolist()
                 kept = b"".join(text[x:y] for x, y in zip(edges[0::2], edges[1::2]))
-                out.append((batch.column(0)[k].as_py(), int((end - begin).sum()), len(begin), hashlib.sha256(kept).digest(), [{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())], kept if keep_text else None))
+                out.append((batch.column(0)[k].as_py(), int((end - begin).sum()), len(begin), hashlib.sha256(kept).digest(), [{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())], kept.decode(errors="ignore").encode() if keep_text else None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()))] if out else [],
                 ["h", "n_removed", "n_spans", "kept_sha", "spans", "kept"],
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     changed = changed.select(F.col("doc_id").alias("_id"), F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("_kept"))
     names = docs.columns
     out = docs.join(changed.dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.expr("regexp_replace(decode(_kept, 'UTF-8'), '\\uFFFD', '')"))
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.decode("_kept", "UTF-8"))
     out = out.withColumn("text", text).where("_kept is null or octet_length(text) > 0")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
