@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .graph import components
-from .shared import materialize, table
+from .shared import arrow_rows, materialize, table
 
 SIZE = 4
 PERCENT = 85
 GROUPS = 64
 #: Documents that tell which shingles are frequent, and how many of them must hold one.
-ORDER_SAMPLE, FREQUENT = 4000, 8
+ORDER_SAMPLE, FREQUENT = 8000, 4
 #: Nodes of a bucket that one task compares.
 BLOCK = 256
 #: Bits of the filter that keeps most uninvolved documents from being hashed again; a fixed 1 MB.
@@ -361,6 +361,11 @@ def _finer(fine: list[np.ndarray], stacks: dict, near: np.ndarray, k: int) -> np
 
 def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    with arrow_rows(docs.sparkSession, 1000):  # pairs carry two sets; every Python step ends in a written table
+        return _components_of(docs, size, percent)
+
+
+def _components_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
     profile = materialize(_profile(docs, _frequent(docs, size), size, percent), "profile")
     nodes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -47,3 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it, jobs over wide rows hand Python at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
