@@ -24,9 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _cells(spark, d, *keys, weight=F.lit(1.0)):
+def _cells(spark, d, weight="1.0D", **keys):
     x = read_table(spark, d, "lineitem").join(read_table(spark, d, "part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey"))
-    x = x.select(F.year("l_shipdate").alias("season"), F.col("l_suppkey").alias("entity"), F.col("p_brand").alias("opponent"), "l_discount", weight.alias("w"), *keys)
+    x = x.select(F.year("l_shipdate").alias("season"), F.col("l_suppkey").alias("entity"), F.col("p_brand").alias("opponent"), "l_discount", F.expr(weight).alias("w"), *[F.expr(e).alias(k) for k, e in keys.items()])
     return x.groupBy("season", *keys, "entity", "opponent").agg((F.sum(F.col("l_discount") * F.col("w")) / F.sum("w")).alias("mean"), F.sum("w").alias("weight"))
 
 
@@ -37,13 +37,13 @@ def ridge_opponent_adjust(spark, d):
 
 @query()
 def ridge_weighted(spark, d):
-    return ridge_ratings(_cells(spark, d, weight=F.col("l_quantity")), "season", alpha=25.0)
+    return ridge_ratings(_cells(spark, d, weight="l_quantity"), "season", alpha=25.0)
 
 
 @query()
 def ridge_asof(spark, d):
     """Ratings before each quarter of a season from its earlier quarters alone."""
-    cells = _cells(spark, d, F.quarter("l_shipdate").alias("q"))
+    cells = _cells(spark, d, q="quarter(l_shipdate)")
     later = cells.withColumn("before", F.explode(F.sequence(F.col("q") + 1, F.lit(5)))).withColumn("group", F.col("season") * 10 + F.col("before"))
     x = later.groupBy("group", "entity", "opponent").agg((F.sum(F.expr("mean * weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"))
     return ridge_ratings(x, "group")
@@ -93,12 +93,12 @@ def key_number_weights(spark, d):
 
 
 @query("""with g as (select p_partkey, p_size, unnest(range(-100, 101)) as m from part), p as (select p_partkey, m, exp(-0.5 * power((m - (p_size - 25)) / 16.0, 2)) as k from g), n as (select p_partkey, m, k / sum(k) over (partition by p_partkey) as p from p)
-select p_partkey, round(sum(case when m > 0 then p else 0 end), 9) as p_win, round(sum(case when m = 0 then p else 0 end), 9) as p_tie, round(sum(m * p), 6) as mean from n group by p_partkey""")
+select p_partkey, round(sum(case when m > 0 then p else 0 end), 9) as p_win, round(sum(case when m = 0 then p else 0 end), 9) as p_tie, round(sum(m * p), 6) + 0.0 as mean from n group by p_partkey""")
 def margin_distribution(spark, d):
     x = read_table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(-100), F.lit(100))).alias("m"))
     x = x.withColumn("k", F.exp(-0.5 * F.pow((F.col("m") - (F.col("p_size") - 25)) / 16.0, 2)))
     total = F.sum("k")
-    return x.groupBy("p_partkey").agg(F.round(F.sum(F.when(F.col("m") > 0, F.col("k")).otherwise(0.0)) / total, 9).alias("p_win"), F.round(F.sum(F.when(F.col("m") == 0, F.col("k")).otherwise(0.0)) / total, 9).alias("p_tie"), F.round(F.sum(F.col("m") * F.col("k")) / total, 6).alias("mean"))
+    return x.groupBy("p_partkey").agg(F.round(F.sum(F.when(F.col("m") > 0, F.col("k")).otherwise(0.0)) / total, 9).alias("p_win"), F.round(F.sum(F.when(F.col("m") == 0, F.col("k")).otherwise(0.0)) / total, 9).alias("p_tie"), (F.round(F.sum(F.col("m") * F.col("k")) / total, 6) + F.lit(0.0)).alias("mean"))
 
 
 @query("with g as (select unnest(range(0, 52)) as x), h as (select l_quantity as q, count(*) as n from lineitem group by 1) select cast(x as integer) as x, round(coalesce(sum(n * greatest(0, 1 - abs(q - x) / 2.0)), 0) / (select count(*) * 2.0 from lineitem), 9) as density from g left join h on abs(q - x) < 2 group by x")
