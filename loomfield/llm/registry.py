@@ -6,8 +6,10 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard_rtree
 from .packing import op10_pattern_packing
 from .quality import op2_quality_gam
+from .search import op9_bm25_top10
 from .sharding import op4_external_shuffle
 from .suffix_dedup import op1_suffix_dedup
+from .token_files import op7_separator_scan, op8_feistel_order
 from .toxicity import op3_toxicity_trees
 
 
@@ -19,6 +21,9 @@ def queries():
         "op4_external_shuffle": op4_external_shuffle,
         "op5_jaccard_rtree": op5_jaccard_rtree,
         "op6_decontaminate": op6_decontaminate,
+        "op7_separator_scan": op7_separator_scan,
+        "op8_feistel_order": op8_feistel_order,
+        "op9_bm25_top10": op9_bm25_top10,
         "op10_pattern_packing": op10_pattern_packing,
     }
 
