@@ -289,12 +289,12 @@ def gaps_islands_plateau(spark, d):
 
 
 @query("""with h as (select cast(l_quantity as integer) as q, count(*) as n from lineitem group by 1), p as (select q, n / sum(n) over () as p from h)
-select q, round(p, 9) as p, round(coalesce(sum(p) over (order by q rows between unbounded preceding and 1 preceding), 0), 9) as below, round(1 - sum(p) over (order by q), 9) as above from p""")
+select q, round(p, 9) as p, round(coalesce(sum(p) over (order by q rows between unbounded preceding and 1 preceding), 0), 9) as below, round(abs(1 - sum(p) over (order by q)), 9) as above from p""")
 def cum_ladder(spark, d):
     h = read_table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("q")).count()  # fifty rows
     w = Window.orderBy("q")
     p = h.select("q", (F.col("count") / F.sum("count").over(Window.partitionBy())).alias("p"))
-    return p.select("q", F.round("p", 9).alias("p"), F.round(F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 9).alias("below"), F.round(1 - F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("above"))
+    return p.select("q", F.round("p", 9).alias("p"), F.round(F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 9).alias("below"), F.round(F.abs(1 - F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))), 9).alias("above"))
 
 
 @query("select o_custkey, string_agg(distinct o_orderpriority, ', ' order by o_orderpriority) as kinds from orders group by o_custkey")
