@@ -246,20 +246,21 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(groups: DataFrame, settled: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Members (token, c, node, component, n, vector) of groups by pivot and size that hold several components.
+    """Members (token, c, own, node, component, n, vector) of groups by pivot and size with several components.
 
-    Sizes that may link lie in one class of sizes or in neighbouring ones, so such nodes share a slot.
+    Sizes that may link lie in one class of sizes or in neighbouring ones. A node is at home in the slot of its
+    class and a guest in the next one; pairs meet where at least one of them is at home, hence once.
     """
     sized = groups.join(points.select("node", "n"), "node").join(settled.select("node", "component"), "node", "left")
     level = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    slots = sized.select("node", F.coalesce("component", "node").alias("component"), F.explode(F.array(level, level + 1)).alias("slot"), "pivot")
-    slots = slots.select("node", "component", F.xxhash64("pivot", "slot").alias("token"))
-    mixed = slots.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "c")
-    return slots.join(mixed, "token").join(points, "node").select("token", "c", "node", "component", "n", "vector")
+    slots = sized.select("node", F.coalesce("component", "node").alias("component"), F.explode(F.array(F.struct(level.alias("slot"), F.lit(1).alias("own")), F.struct((level + 1).alias("slot"), F.lit(0).alias("own")))).alias("s"), "pivot")
+    slots = slots.select("node", "component", "s.own", F.xxhash64("pivot", "s.slot").alias("token"))
+    mixed = slots.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("home")).where("lo <> hi and home = 1").select("token", "c")
+    return slots.join(mixed, "token").join(points, "node").select("token", "c", "own", "node", "component", "n", "vector")
 
 
 def _search_buckets(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs of different components in groups (token, c, node, component, n, vector); with ``forest``
+    """Candidate pairs of different components in groups (token, c, own, node, component, n, vector); with ``forest``
     only as many as would join the components that candidates may join.
 
     Groups of more than BLOCK nodes are cut; each pair of blocks is a group of its own.
@@ -269,7 +270,7 @@ def _search_buckets(members: DataFrame, percent: int, forest: bool) -> DataFrame
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select(
         F.xxhash64("token", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"),
-        "token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "component", "n", "vector",
+        "token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "own", "node", "component", "n", "vector",
     )
     schema = "a bigint, b bigint"
 
@@ -291,7 +292,7 @@ def _search_buckets(members: DataFrame, percent: int, forest: bool) -> DataFrame
         yield _pairs_batch(found)
 
     spread = cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return spread.select("token", "i", "j", "side", "node", "component", "n", "vector").mapInArrow(run, schema)
+    return spread.select("token", "i", "j", "side", "own", "node", "component", "n", "vector").mapInArrow(run, schema)
 
 
 def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -302,6 +303,7 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 def _pairs_in(group: pd.DataFrame, percent: int, forest: bool) -> np.ndarray:
     """Pairs of one group by its R-tree: within a block, or of either block with the other one."""
     component, node, n = (group[c].to_numpy(np.int64) for c in ("component", "node", "n"))
+    own = group["own"].to_numpy() == 1
     none = np.zeros((0, 2), np.int64)
     if len(node) < 2 or (component == component[0]).all():
         return none
@@ -309,8 +311,8 @@ def _pairs_in(group: pd.DataFrame, percent: int, forest: bool) -> np.ndarray:
     vectors = np.stack([folded(v, GROUPS) for v in fine])
     stacks = {}
     for g in {len(v) for v in fine}:
-        own = [k for k, v in enumerate(fine) if len(v) == g]
-        stacks[g] = (np.stack([fine[k] for k in own]), dict(zip(own, range(len(own)))))
+        alike = [k for k, v in enumerate(fine) if len(v) == g]
+        stacks[g] = (np.stack([fine[k] for k in alike]), dict(zip(alike, range(len(alike)))))
     two = bool((group["i"].to_numpy() != group["j"].to_numpy()).any())
     side = group["side"].to_numpy(np.int64)
     inside = np.flatnonzero(side == 0) if two else np.arange(len(node))
@@ -328,7 +330,7 @@ def _pairs_in(group: pd.DataFrame, percent: int, forest: bool) -> np.ndarray:
 
     for k in asking:
         near = inside[tree.search(vectors[k], int(n[k]), percent)]
-        near = near[component[near] != component[k]]
+        near = near[(component[near] != component[k]) & (own[near] | own[k])]
         if not two:
             near = near[node[near] > node[k]]
         near = near[_finer(fine, stacks, near, int(k)) >= required(n[near], int(n[k]), percent)] if len(near) else near
