@@ -161,10 +161,10 @@ def pivot_event_counts(spark, d):
     return x.select("user_id", *kinds)
 
 
-@query("select o_orderstatus, year(o_orderdate) as y, round(median(o_totalprice), 4) as med, round(avg(o_totalprice), 4) as mean from orders group by grouping sets ((o_orderstatus), (year(o_orderdate)), (o_orderstatus, year(o_orderdate)))")
+@query("select o_orderstatus, year(o_orderdate) as y, round(median(o_totalprice), 6) as med, round(avg(o_totalprice), 7) as mean from orders group by grouping sets ((o_orderstatus), (year(o_orderdate)), (o_orderstatus, year(o_orderdate)))")
 def multi_grain_sets(spark, d):
     read_table(spark, d, "orders").select("o_orderstatus", F.year("o_orderdate").alias("y"), "o_totalprice").createOrReplaceTempView("_orders_by_year")
-    return spark.sql("select o_orderstatus, y, round(median(o_totalprice), 4) as med, round(avg(o_totalprice), 4) as mean from _orders_by_year group by grouping sets ((o_orderstatus), (y), (o_orderstatus, y))")
+    return spark.sql("select o_orderstatus, y, round(median(o_totalprice), 6) as med, round(avg(o_totalprice), 7) as mean from _orders_by_year group by grouping sets ((o_orderstatus), (y), (o_orderstatus, y))")
 
 
 @query("select l_suppkey, round(quantile_cont(l_quantity, 0.02), 6) as p02, round(median(l_quantity), 6) as p50, round(quantile_cont(l_quantity, 0.98), 6) as p98, round(stddev_samp(l_extendedprice), 4) as sd, round(stddev_pop(l_extendedprice), 4) as sdp from lineitem group by l_suppkey")
