@@ -284,6 +284,7 @@ def _search_buckets(members: DataFrame, percent: int, forest: bool) -> DataFrame
             for lo, hi in zip(np.concatenate(([0], cuts[:-1])) if len(cuts) else [], cuts):
                 found.append(_pairs_in(frame.iloc[int(lo) : int(hi)], percent, forest))
             rest = frame.iloc[int(cuts[-1]) if len(cuts) else 0 :]
+            T.release()
             if sum(map(len, found)) > 200_000:
                 yield _pairs_batch(found)
                 found = []

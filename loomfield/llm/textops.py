@@ -6,6 +6,7 @@ whole documents of a bounded number of bytes, so that memory does not follow the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
-_MASK = (1 << 64) - 1
+_LIBC = ctypes.CDLL(None)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xD1B54A32D192ED03
 _POWERS: dict[int, tuple[np.ndarray, int]] = {}
@@ -40,6 +41,14 @@ def blocks(column, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarr
         hi = min(hi, lo + 65536, n)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give memory that a batch has freed back to the machine; reused workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
