@@ -6,8 +6,8 @@ windows of one anchor travel as one segment. Anchors that occur once in the corp
 are dropped before any text moves. The segments of an anchor meet in one task, which orders all their windows
 by deep-shallow suffix sorting; windows equal to a neighbour in that order are repeats. Equal documents
 collapse to one beforehand: every window of a copy is a repeat. Anchors of more than ``hot`` segments (a
-passage that a third of the rows hold) are not sent to one task; their windows are counted by 128-bit
-fingerprints, which pre-aggregates before the shuffle and spreads evenly.
+passage that a third of the rows hold) are not sent to one task: equal segments collapse, and the others descend
+a trie of aligned spans, told by 128-bit fingerprints, whose levels are grouped by Spark and spread evenly.
 
 A null or empty text keeps nothing and loses nothing; texts under ``length`` bytes lose nothing. Repeated rows
 and ties are copies, and each loses all that repeats. Ids may repeat or be null. No rows give no rows.
@@ -32,6 +32,8 @@ HOT = 1000
 #: Windows of one segment at most, and bytes of segments that are sorted together.
 SEGMENT, SORT_BYTES = 1024, 1 << 20
 PIECE = 4 << 20
+#: Rows of a key from which it is broadcast, where that is more than one row in 256.
+HEAVY = 1000
 _AT = np.uint64((1 << 24) - 1)
 
 
@@ -202,24 +204,131 @@ def _repeats(segments: DataFrame, length: int) -> DataFrame:
     return segments.repartition("m").sortWithinPartitions("m").mapInArrow(run, "h binary, a int, b int")
 
 
-def _hot_windows(candidates: DataFrame, length: int) -> DataFrame:
-    """(f, g, h, a): fingerprints of the windows of hot anchors."""
+def _hot_segments(candidates: DataFrame, length: int) -> DataFrame:
+    """(f, g, h, a, lo, hi, segment): the runs of hot anchors, cut where the anchor's place changes. A window is
+    named by the distance from its start to that place, lo to hi in a run, so that equal windows have equal names;
+    f and g tell the segment and its names."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                runs = batch.column(2)[k].values
-                data = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint8)
-                a, b = (runs.field(x).to_numpy().astype(np.int64) for x in (1, 2))
-                own = np.flatnonzero(runs.field(3).to_numpy(zero_copy_only=False))
-                at = T.ragged(a[own], b[own] - a[own] + 1)
-                for lo in range(0, len(at), 1 << 16):
-                    s = at[lo : lo + (1 << 16)]
-                    f, g = T.span_hashes_128(data, s, s + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array([batch.column(0)[k].as_py()] * len(s), pa.binary()), pa.array(s.astype(np.int32))], ["f", "g", "h", "a"])
+            texts, lists = batch.column(1), batch.column(2)
+            flat, at = lists.flatten(), np.asarray(lists.offsets)
+            at = at - at[0]
+            a, b = (flat.field(k).to_numpy().astype(np.int64) for k in (1, 2))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            hot = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False))
+            for x in range(0, len(hot), 1024):
+                own = hot[x : x + 1024]
+                raw = {k: texts[int(k)].as_py() for k in np.unique(doc[own])}
+                parts = b"".join(raw[k][y : z + length] for k, y, z in zip(doc[own], a[own].tolist(), b[own].tolist()))
+                data = np.frombuffer(parts, np.uint8)
+                windows = b[own] - a[own] + 1
+                begin = np.cumsum(windows + length - 1) - (windows + length - 1)
+                starts, run_of = T.ragged(begin, windows), np.repeat(np.arange(len(own)), windows)
+                hashes = _gram_hashes(data, GRAM)
+                chosen = _window_min((hashes & ~_AT) | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)
+                place = (chosen[starts] & _AT).astype(np.int64)
+                fresh = np.ones(len(starts), bool)
+                fresh[1:] = (place[1:] != place[:-1]) | (run_of[1:] != run_of[:-1])
+                first = np.flatnonzero(fresh)
+                n = np.diff(np.concatenate((first, [len(starts)])))
+                start, which = starts[first], run_of[first]
+                end, far = start + n - 1 + length, place[first] - start
+                f, g = T.span_hashes_128(data, start, end)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(_named(f, far).view(np.int64)),
+                        pa.array(_named(g, far).view(np.int64)),
+                        batch.column(0).take(pa.array(doc[own][which])),
+                        pa.array(a[own][which] + start - begin[which]),
+                        pa.array(far - n + 1),
+                        pa.array(far),
+                        pa.array([parts[y:z] for y, z in zip(start.tolist(), end.tolist())], pa.binary()),
+                    ],
+                    ["f", "g", "h", "a", "lo", "hi", "segment"],
+                )
 
     hot = candidates.where(F.exists("runs", lambda r: r["hot"] == 1))
-    return hot.select("h", "text", "runs").mapInArrow(run, "f bigint, g bigint, h binary, a int")
+    return hot.select("h", "text", "runs").mapInArrow(run, "f bigint, g bigint, h binary, a bigint, lo bigint, hi bigint, segment binary")
+
+
+def _named(hashes: np.ndarray, name: np.ndarray) -> np.ndarray:
+    return T.mix(hashes + T.mix(name.astype(np.uint64) + np.uint64(1)))
+
+
+def _branches(spans: DataFrame, width: int, length: int) -> DataFrame:
+    """Spans (kf, kg, lo, hi, segment) cut at multiples of ``width``: their own fingerprint (sf, sg), and that (cf,
+    cg) of the core, the bytes that all windows of such a whole block share; equal windows have equal cores."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y, data, at in T.blocks(batch.column(4)):
+                lo, hi = (batch.column(k).slice(x, y - x).to_numpy() for k in (2, 3))
+                kids = hi // width - lo // width + 1
+                of = np.repeat(np.arange(y - x), kids)
+                base = (lo[of] // width + T.ragged(np.zeros(y - x, np.int64), kids)) * width
+                c1, c2, top = np.maximum(base, lo[of]), np.minimum(base + width - 1, hi[of]), np.minimum(base + width - 1, length - GRAM)
+                zero = at[:-1][of] + hi[of]
+                start, end = zero - c2, zero - c1 + length
+                sf, sg = (_named(_named(v, c1), c2) for v in T.span_hashes_128(data, start, end))
+                cf, cg = (_named(v, base) for v in T.span_hashes_128(data, zero - base, zero - top + length))
+                raw, take = data.tobytes(), pa.array(of + x)
+                numbers = [pa.array(v.view(np.int64)) for v in (sf, sg, cf, cg)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(c1), pa.array(c2), pa.array([raw[u:v] for u, v in zip(start.tolist(), end.tolist())], pa.binary()), *numbers],
+                    ["kf", "kg", "lo", "hi", "segment", "sf", "sg", "cf", "cg"],
+                )
+
+    schema = "kf bigint, kg bigint, lo bigint, hi bigint, segment binary, sf bigint, sg bigint, cf bigint, cg bigint"
+    return spans.select("kf", "kg", "lo", "hi", "segment").mapInArrow(run, schema)
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys`` (on, n, ...), where n is the number of rows of a key. Keys of more than one row
+    in 256 (so at most 256 of them) are broadcast, and only the others' rows are dealt out by key."""
+    heavy = F.col("n") > max(HEAVY, rows.count() // 256)
+    large = F.broadcast(keys.where(heavy).drop("n"))
+    rest = rows.join(F.broadcast(keys.where(heavy).select(*on)), on, "left_anti").join(keys.where(~heavy).drop("n"), on)
+    return rows.join(large, on).unionByName(rest)
+
+
+def _hot_repeats(candidates: DataFrame, length: int) -> DataFrame:
+    """(h, windows): repeated windows of hot anchors, by descending a trie of spans around the anchor.
+
+    Equal segments collapse to one first, and all their windows are repeats. Then the others branch by blocks of
+    64, 16, 4 and 1 windows: a block that also occurs elsewhere is repeated as a whole, one whose core has no other
+    block ends there, and of equal blocks one goes on for all, so work follows the places where texts part.
+    """
+    segments = materialize(_hot_segments(candidates, length), "segments")
+    distinct = segments.groupBy("f", "g").agg(F.count("*").alias("n"), F.first(F.struct("lo", "hi", "segment")).alias("s"))
+    distinct = materialize(distinct.select(F.col("f").alias("kf"), F.col("g").alias("kg"), "n", "s.*"), "distinct")
+    found, spans = distinct.where("n > 1").select("kf", "kg", "lo", "hi"), distinct
+    width = 1
+    while width * 4 <= length - GRAM:
+        width *= 4
+    while width:
+        parts = materialize(_branches(spans, width, length), f"branches{width}")
+        blocks = parts.groupBy("sf", "sg", "cf", "cg").agg(F.count("*").alias("n"), F.first(F.struct("kf", "kg", "lo", "hi", "segment")).alias("s"))
+        blocks = materialize(blocks, f"blocks{width}")
+        twice = blocks.where("n > 1").select("sf", "sg", "n")
+        found = found.union(_with_keys(parts.select("sf", "sg", "kf", "kg", "lo", "hi"), twice, ["sf", "sg"]).select("kf", "kg", "lo", "hi"))
+        if width > 1:
+            parting = blocks.groupBy("cf", "cg").agg(F.count("*").alias("n")).where("n > 1")
+            spans = _with_keys(blocks.select("cf", "cg", "s"), parting, ["cf", "cg"]).select("s.*")
+        width //= 4
+    joined = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("lo", "hi"))),
+        F.array().cast("array<struct<lo:bigint,hi:bigint>>"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["hi"] >= x["lo"] - 1),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["lo"].alias("lo"), F.greatest(F.element_at(done, -1)["hi"], x["hi"]).alias("hi")))),
+        ).otherwise(F.concat(done, F.array(x))),
+    )
+    repeats = materialize(found.groupBy("kf", "kg").agg(joined.alias("names")), "repeats")
+    keys = repeats.join(distinct.select("kf", "kg", "n"), ["kf", "kg"]).select(F.col("kf").alias("f"), F.col("kg").alias("g"), "names", "n")
+    out = _with_keys(segments.select("f", "g", "h", "a", F.col("hi").alias("far")), keys, ["f", "g"])
+    windows = F.transform("names", lambda x: F.struct((F.col("a") + F.col("far") - x["hi"]).cast("int").alias("a"), (F.col("a") + F.col("far") - x["lo"]).cast("int").alias("b")))
+    return out.select("h", windows.alias("windows"))
 
 
 _CUT = "h binary, n_removed bigint, n_spans bigint, kept_sha binary, spans array<struct<start:int,end:int>>, kept binary"
@@ -227,7 +336,7 @@ _CUT = "h binary, n_removed bigint, n_spans bigint, kept_sha binary, spans array
 
 def _cut(candidates: DataFrame, found: DataFrame, length: int, keep_text: bool) -> DataFrame:
     """Remove the bytes of all repeated windows from their documents."""
-    lists = found.groupBy("h").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
+    lists = found.groupBy("h").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
     def run(batches):
         for batch in batches:
@@ -267,10 +376,7 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, keep_
     candidates = texts.join(lists, F.col("_id").eqNullSafe(F.col("doc_id"))).where(F.expr("substring(unhex(sha2(text, 256)), 1, 16) = h"))
     candidates = materialize(candidates.select("h", "text", "runs"), "candidates")
     cold = _repeats(_segments(candidates, length), length)
-    windows = _hot_windows(candidates, length)
-    twice = windows.groupBy("f", "g").agg(F.count("*").alias("n")).where("n > 1").select("f", "g")
-    warm = windows.join(twice, ["f", "g"]).select("h", "a", F.col("a").alias("b"))
-    found = cold.union(warm)
+    found = cold.select("h", F.array(F.struct("a", "b")).alias("windows")).union(_hot_repeats(candidates, length))
     return runs.drop("runs").join(copied.select("h", "copies"), "h", "left"), _cut(candidates, found, length, keep_text)
 
 

@@ -88,6 +88,33 @@ def test_suffix_dedup(spark, docs, none, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_parts_of_one_passage(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 3)
+    rng = np.random.default_rng(11)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    passage, beat = word(700), word(90)
+    texts = []
+    for k in range(70):
+        x = int(rng.integers(0, 400)) if k % 2 else 100
+        part = bytearray(passage[x : x + int(rng.integers(150, 600))])
+        if k % 5 == 0 and len(part) > 300:
+            part[int(rng.integers(0, len(part)))] = 65
+        texts.append((word(int(rng.integers(0, 60))) + bytes(part) + word(int(rng.integers(0, 60))) + (beat * (k % 4) if k % 7 == 0 else b"")).decode())
+    seen = Counter(t.encode()[k : k + 200] for t in texts for k in range(len(t) - 199))
+    want = []
+    for t in texts:
+        hit = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if seen[t.encode()[k : k + 200]] > 1:
+                hit[k : k + 200] = True
+        want.append(int(hit.sum()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for hot in (1, 20):
+        found, cuts = suffix_dedup.find_repeats(docs, hot=hot)
+        lost = found.join(cuts, "h", "left").selectExpr("doc_id", "coalesce(n_removed, 0) as n")
+        assert [r.n for r in lost.orderBy("doc_id").collect()] == want
+
+
 def test_jaccard(spark, docs, none):
     sets = {}
     for i, t, *_ in rows():
