@@ -34,6 +34,8 @@ SEGMENT, SORT_BYTES = 1024, 1 << 20
 PIECE = 4 << 20
 #: Rows of a key from which it is broadcast, where that is more than one row in 256.
 HEAVY = 1000
+#: Runs of hot anchors in a chunk, about.
+CHUNK = 8
 _AT = np.uint64((1 << 24) - 1)
 
 
@@ -204,52 +206,66 @@ def _repeats(segments: DataFrame, length: int) -> DataFrame:
     return segments.repartition("m").sortWithinPartitions("m").mapInArrow(run, "h binary, a int, b int")
 
 
-def _hot_segments(candidates: DataFrame, length: int) -> DataFrame:
-    """(f, g, h, a, lo, hi, segment): the runs of hot anchors, cut where the anchor's place changes. A window is
-    named by the distance from its start to that place, lo to hi in a run, so that equal windows have equal names;
-    f and g tell the segment and its names."""
+def _hot_chunks(candidates: DataFrame, length: int) -> DataFrame:
+    """(uf, ug, h, a, last, chunk): adjoining runs of hot anchors, cut by the anchors' bits; fingerprint uf, ug. Where
+    they are cut decides cost, never results."""
 
     def run(batches):
         for batch in batches:
             texts, lists = batch.column(1), batch.column(2)
             flat, at = lists.flatten(), np.asarray(lists.offsets)
-            at = at - at[0]
-            a, b = (flat.field(k).to_numpy().astype(np.int64) for k in (1, 2))
+            m, a, b = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
             hot = np.flatnonzero(flat.field(3).to_numpy(zero_copy_only=False))
-            for x in range(0, len(hot), 1024):
-                own = hot[x : x + 1024]
-                raw = {k: texts[int(k)].as_py() for k in np.unique(doc[own])}
-                parts = b"".join(raw[k][y : z + length] for k, y, z in zip(doc[own], a[own].tolist(), b[own].tolist()))
-                data = np.frombuffer(parts, np.uint8)
-                windows = b[own] - a[own] + 1
-                begin = np.cumsum(windows + length - 1) - (windows + length - 1)
-                starts, run_of = T.ragged(begin, windows), np.repeat(np.arange(len(own)), windows)
+            hot = hot[np.lexsort((a[hot], doc[hot]))]
+            m, a, b, doc = m[hot], a[hot], b[hot], doc[hot]
+            fresh = np.ones(len(hot), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (a[1:] != b[:-1] + 1) | ((m[1:] >> 40) % CHUNK == 0)
+            since = np.arange(len(hot)) - np.maximum.accumulate(np.where(fresh, np.arange(len(hot)), 0))
+            first = np.flatnonzero(fresh | (since % (4 * CHUNK) == 0))
+            last = np.concatenate((first[1:], [len(hot)])) - 1
+            for x in range(0, len(first), 64):
+                begin, end, own = a[first[x : x + 64]], b[last[x : x + 64]], doc[first[x : x + 64]]
+                raw = {k: texts[int(k)].as_py() for k in np.unique(own)}
+                chunks = [raw[k][y : z + length] for k, y, z in zip(own, begin.tolist(), end.tolist())]
+                ends = np.cumsum(end - begin + length)
+                f, g = T.span_hashes_128(np.frombuffer(b"".join(chunks), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+                numbers = [pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), batch.column(0).take(pa.array(own)), pa.array(begin), pa.array(end - begin)]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(chunks, pa.binary())], ["uf", "ug", "h", "a", "last", "chunk"])
+
+    hot = candidates.where(F.exists("runs", lambda r: r["hot"] == 1))
+    return hot.select("h", "text", "runs").mapInArrow(run, "uf bigint, ug bigint, h binary, a bigint, last bigint, chunk binary")
+
+
+def _hot_segments(chunks: DataFrame, length: int) -> DataFrame:
+    """(f, g, uf, ug, alone, a, lo, hi, segment): the windows of chunks (uf, ug, alone, chunk), cut where the place of
+    their anchor changes. A window is named by the distance from its start to that place, lo to hi in a segment, so
+    that equal windows have equal names; f and g tell the segment and its names."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y, data, offsets in T.blocks(batch.column(3)):
+                windows = np.diff(offsets) - length + 1
+                starts, chunk = T.ragged(offsets[:-1], windows), np.repeat(np.arange(y - x), windows)
                 hashes = _gram_hashes(data, GRAM)
                 chosen = _window_min((hashes & ~_AT) | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1)
                 place = (chosen[starts] & _AT).astype(np.int64)
                 fresh = np.ones(len(starts), bool)
-                fresh[1:] = (place[1:] != place[:-1]) | (run_of[1:] != run_of[:-1])
+                fresh[1:] = (place[1:] != place[:-1]) | (chunk[1:] != chunk[:-1])
                 first = np.flatnonzero(fresh)
                 n = np.diff(np.concatenate((first, [len(starts)])))
-                start, which = starts[first], run_of[first]
+                start, which = starts[first], chunk[first]
                 end, far = start + n - 1 + length, place[first] - start
-                f, g = T.span_hashes_128(data, start, end)
+                f, g = (pa.array(_named(v, far).view(np.int64)) for v in T.span_hashes_128(data, start, end))
+                raw, take = data.tobytes(), pa.array(which + x)
+                parts = pa.array([raw[u:v] for u, v in zip(start.tolist(), end.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(_named(f, far).view(np.int64)),
-                        pa.array(_named(g, far).view(np.int64)),
-                        batch.column(0).take(pa.array(doc[own][which])),
-                        pa.array(a[own][which] + start - begin[which]),
-                        pa.array(far - n + 1),
-                        pa.array(far),
-                        pa.array([parts[y:z] for y, z in zip(start.tolist(), end.tolist())], pa.binary()),
-                    ],
-                    ["f", "g", "h", "a", "lo", "hi", "segment"],
+                    [f, g, *(batch.column(k).take(take) for k in range(3)), pa.array(start - offsets[which]), pa.array(far - n + 1), pa.array(far), parts],
+                    ["f", "g", "uf", "ug", "alone", "a", "lo", "hi", "segment"],
                 )
 
-    hot = candidates.where(F.exists("runs", lambda r: r["hot"] == 1))
-    return hot.select("h", "text", "runs").mapInArrow(run, "f bigint, g bigint, h binary, a bigint, lo bigint, hi bigint, segment binary")
+    schema = "f bigint, g bigint, uf bigint, ug bigint, alone boolean, a bigint, lo bigint, hi bigint, segment binary"
+    return chunks.select("uf", "ug", "alone", "chunk").mapInArrow(run, schema)
 
 
 def _named(hashes: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -295,11 +311,14 @@ def _with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def _hot_repeats(candidates: DataFrame, length: int) -> DataFrame:
     """(h, windows): repeated windows of hot anchors, by descending a trie of spans around the anchor.
 
-    Equal segments collapse to one first, and all their windows are repeats. Then the others branch by blocks of
-    64, 16, 4 and 1 windows: a block that also occurs elsewhere is repeated as a whole, one whose core has no other
+    Equal chunks collapse to one first, then equal segments, and all their windows are repeats. Then the others
+    branch by blocks of 64, 16, 4 and 1 windows: a block that also occurs elsewhere is repeated as a whole, one whose core has no other
     block ends there, and of equal blocks one goes on for all, so work follows the places where texts part.
     """
-    segments = materialize(_hot_segments(candidates, length), "segments")
+    chunks = materialize(_hot_chunks(candidates, length), "chunks")
+    kinds = chunks.groupBy("uf", "ug").agg(F.count("*").alias("n"), F.first("last").alias("last"), F.first("chunk").alias("chunk"))
+    kinds = materialize(kinds.withColumn("alone", F.col("n") == 1), "kinds")
+    segments = materialize(_hot_segments(kinds, length), "segments")
     distinct = segments.groupBy("f", "g").agg(F.count("*").alias("n"), F.first(F.struct("lo", "hi", "segment")).alias("s"))
     distinct = materialize(distinct.select(F.col("f").alias("kf"), F.col("g").alias("kg"), "n", "s.*"), "distinct")
     found, spans = distinct.where("n > 1").select("kf", "kg", "lo", "hi"), distinct
@@ -326,9 +345,14 @@ def _hot_repeats(candidates: DataFrame, length: int) -> DataFrame:
     )
     repeats = materialize(found.groupBy("kf", "kg").agg(joined.alias("names")), "repeats")
     keys = repeats.join(distinct.select("kf", "kg", "n"), ["kf", "kg"]).select(F.col("kf").alias("f"), F.col("kg").alias("g"), "names", "n")
-    out = _with_keys(segments.select("f", "g", "h", "a", F.col("hi").alias("far")), keys, ["f", "g"])
-    windows = F.transform("names", lambda x: F.struct((F.col("a") + F.col("far") - x["hi"]).cast("int").alias("a"), (F.col("a") + F.col("far") - x["lo"]).cast("int").alias("b")))
-    return out.select("h", windows.alias("windows"))
+    out = _with_keys(segments.where("alone").select("f", "g", "uf", "ug", "a", F.col("hi").alias("far")), keys, ["f", "g"])
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("a"), hi.cast("int").alias("b"))
+    windows = F.transform("names", lambda x: span(F.col("a") + F.col("far") - x["hi"], F.col("a") + F.col("far") - x["lo"]))
+    parts = out.groupBy("uf", "ug").agg(F.flatten(F.collect_list(windows)).alias("windows")).withColumn("n", F.lit(1).cast("bigint"))
+    whole = kinds.where("n > 1").select("uf", "ug", F.array(span(F.lit(0), F.col("last"))).alias("windows"), "n")
+    known = materialize(parts.unionByName(whole), "known")
+    found = _with_keys(chunks.select("uf", "ug", "h", "a"), known, ["uf", "ug"])
+    return found.select("h", F.transform("windows", lambda x: span(F.col("a") + x["a"], F.col("a") + x["b"])).alias("windows"))
 
 
 _CUT = "h binary, n_removed bigint, n_spans bigint, kept_sha binary, spans array<struct<start:int,end:int>>, kept binary"
