@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomfield.plans import events_lineitem, models
+from loomfield.plans import events_lineitem, models, repairs
 
-_PARTS = (events_lineitem, models)
+_PARTS = (events_lineitem, models, repairs)
 
 
 def queries():
