@@ -6,7 +6,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -46,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_digest(column: str) -> Column:
+    """The first 16 bytes of the SHA-256 of a text; a null text is an empty one."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(column).cast("binary"), F.lit(b"")), 256), 1, 32))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

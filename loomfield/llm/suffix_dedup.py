@@ -10,7 +10,7 @@ passage that a third of the rows hold) are not sent to one task: equal segments
 a trie of aligned spans, told by 128-bit fingerprints, whose levels are grouped by Spark and spread evenly.
 
 A null or empty text keeps nothing and loses nothing; texts under ``length`` bytes lose nothing. Repeated rows
-and ties are copies, and each loses all that repeats. Ids may repeat or be null. No rows give no rows.
+and ties are copies, and each loses all that repeats. Ids may repeat or be null: texts are told by digest. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import materialize, table
+from .shared import materialize, table, text_digest
 from .suffix_sort import sort_windows
 
 LENGTH = 200
@@ -388,20 +388,22 @@ def _cut(candidates: DataFrame, found: DataFrame, length: int, keep_text: bool)
 
 def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, cuts): documents (doc_id, h, sha, n_bytes, copies) for every row of ``docs`` (doc_id, text), and
-    cuts by digest h of the texts that lose bytes though they have no copy of at least ``length`` bytes."""
-    runs = materialize(_runs(docs, length), "runs")
-    groups = runs.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
+    cuts, one for each digest h of the texts that hold repeated windows; a text of at least ``length`` bytes that has
+    copies is lost whole."""
+    runs = materialize(_runs(docs, length).withColumn("row", F.monotonically_increasing_id()), "runs")
+    groups = runs.groupBy("h").agg(F.count("*").alias("copies"), F.min("row").alias("rep"))
     copied = materialize(groups.where("copies > 1"), "copies")
     one = runs.where("n_bytes >= %d" % length).join(copied.select("h", "rep"), "h", "left")
-    one = one.where(F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "h", F.explode("runs").alias("r")).select("doc_id", "h", "r.*")
+    # one row of each digest stands for its copies, whatever their ids
+    one = one.where("rep is null or row = rep").select("h", F.explode("runs").alias("r")).select("h", "r.*")
     counts = one.groupBy("m").agg(F.sum(F.col("c") + 1).alias("n")).where("n > 1").select("m", (F.col("n") > hot).cast("int").alias("hot"))
-    lists = one.join(counts, "m").groupBy("h", "doc_id").agg(F.collect_list(F.struct("m", "a", "b", "hot")).alias("runs"))
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    candidates = texts.join(lists, F.col("_id").eqNullSafe(F.col("doc_id"))).where(F.expr("substring(unhex(sha2(text, 256)), 1, 16) = h"))
+    lists = one.join(counts, "m").groupBy("h").agg(F.collect_list(F.struct("m", "a", "b", "hot")).alias("runs"))
+    texts = docs.select(text_digest("text").alias("h"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
+    candidates = texts.groupBy("h").agg(F.first("text").alias("text")).join(lists, "h")
     candidates = materialize(candidates.select("h", "text", "runs"), "candidates")
     cold = _repeats(_segments(candidates, length), length)
     found = cold.select("h", F.array(F.struct("a", "b")).alias("windows")).union(_hot_repeats(candidates, length))
-    return runs.drop("runs").join(copied.select("h", "copies"), "h", "left"), _cut(candidates, found, length, keep_text)
+    return runs.drop("runs", "row").join(copied.select("h", "copies"), "h", "left"), _cut(candidates, found, length, keep_text)
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
