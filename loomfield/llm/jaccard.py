@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .graph import components
-from .shared import arrow_rows, materialize, table
+from .shared import arrow_rows, materialize, table, text_digest
 
 SIZE = 4
 PERCENT = 85
@@ -89,8 +89,9 @@ def _digest(grams: np.ndarray) -> bytes:
     return hashlib.md5(grams.tobytes()).digest()
 
 
-def _profile(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
-    """doc_id, n, and for non-empty sets their digest, count vector and prefix."""
+def _profile(docs: DataFrame, frequent, size: int, percent: int, carried: str | None = None) -> DataFrame:
+    """doc_id, n, and for non-empty sets their digest, count vector and prefix; a binary column ``carried`` rides along."""
+    more = [carried] if carried else []
 
     def run(batches):
         often = frequent.value
@@ -114,11 +115,12 @@ def _profile(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
                 at[row] = len(chosen)
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), T.list_array(values, np.concatenate(([0], np.cumsum(at))))],
-                ["doc_id", "n", "digest", "vector", "prefix"],
+                [keys.cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), T.list_array(values, np.concatenate(([0], np.cumsum(at)))), *batch.columns[2:]],
+                ["doc_id", "n", "digest", "vector", "prefix", *more],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, digest binary, vector binary, prefix array<bigint>")
+    schema = "doc_id bigint, n bigint, digest binary, vector binary, prefix array<bigint>"
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join([schema, *(f"{c} binary" for c in more)]))
 
 
 def _frequent(docs: DataFrame, size: int):
@@ -365,11 +367,12 @@ def _finer(fine: list[np.ndarray], stacks: dict, near: np.ndarray, k: int) -> np
 def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     with arrow_rows(docs.sparkSession, 1000):  # pairs carry two sets; every Python step ends in a written table
-        return _components_of(docs, size, percent)
+        return _components_of(docs, size, percent).drop("component")
 
 
-def _components_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    profile = materialize(_profile(docs, _frequent(docs, size), size, percent), "profile")
+def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, component (null for an empty set) and ``carried`` for every row."""
+    profile = materialize(_profile(docs, _frequent(docs, size), size, percent, carried), "profile")
     nodes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     points = nodes.select("node", "n", "vector")
@@ -397,15 +400,28 @@ def _components_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
     final = settled
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_digest = named.join(smallest, "component").select("digest", "component_id")
-    out = profile.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """Of every component the document of the smallest doc_id, unchanged; ids are taken to be unique."""
-    kept = jaccard_components(docs, **how).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    by_digest = named.join(smallest, "component").select("digest", "component", "component_id")
+    more = [carried] if carried else []
+    out = profile.select("doc_id", "n", "digest", *more).join(by_digest, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", *more)
+
+
+def keep_one_of_each(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Of every component one row, unchanged: that of the smallest doc_id (nulls last), then of the smallest digest of
+    its text, then of the smallest other columns. Rows without words are components of their own, so all stay."""
+    keyed = docs.withColumn("_h", text_digest("text"))
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = _components_of(keyed.select("doc_id", "text", "_h"), size, percent, "_h")
+        rows = materialize(rows.groupBy("component", "doc_id", "_h").agg(F.count("*").alias("n")), "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "n")
+    best = rows.where("component is not null").groupBy("component").agg(F.min(order).alias("best")).select("component", "best.*")
+    one = best.where("n = 1").select("doc_id", "_h").union(rows.where("component is null").select("doc_id", "_h"))
+    again = best.where("n > 1").select("doc_id", "_h")
+    on = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & (keyed["_h"] == x["_h"])
+    kept = keyed.join(one, on(one), "left_semi").select(*docs.columns)
+    several = keyed.join(again, on(again), "left_semi")
+    least = F.min_by(F.struct(*docs.columns), F.to_json(F.struct("_h", *(c for c in docs.columns if c not in ("doc_id", "text")))))
+    return kept.unionByName(several.groupBy("doc_id", "_h").agg(least.alias("row")).select("row.*"))
 
 
 def op5_jaccard_rtree(spark, sf_dir: str) -> DataFrame:

@@ -412,11 +412,13 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     A cut may fall inside a character; such broken bytes are left out. A column n_chars follows the text.
     """
     rows, cuts = find_repeats(docs.select("doc_id", "text"), length=length, keep_text=True)
-    gone = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= length)
-    changed = rows.join(cuts.select("h", "kept"), "h", "left").where(gone | F.col("kept").isNotNull())
-    changed = changed.select(F.col("doc_id").alias("_id"), F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("_kept"))
+    gone = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("h", "copies").distinct()
+    heavy = F.col("copies") > max(HEAVY, rows.count() // 256)
+    # what a text loses depends on its bytes alone, so cuts come back by digest; heavy ones meet no join by key
+    light = gone.where(~heavy).select("h", F.lit(b"").alias("_kept"))
+    changed = cuts.join(gone, "h", "left_anti").select("h", F.col("kept").alias("_kept")).union(light).withColumnRenamed("h", "_h")
     names = docs.columns
-    out = docs.join(changed.dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = docs.withColumn("_h", text_digest("text")).join(F.broadcast(gone.where(heavy).select(F.col("h").alias("_h"))), "_h", "left_anti").join(changed, "_h", "left")
     text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.decode("_kept", "UTF-8"))
     out = out.withColumn("text", text).where("_kept is null or octet_length(text) > 0")
     if "n_chars" in names:
