@@ -7,8 +7,9 @@ from sampled suffix positions, and merges them to spans. A document lies in one
 Words are `[0-9a-z]` and non-ASCII bytes after lower-casing A-Z. A window is ``window`` consecutive words of
 an item; an item of fewer words is one window. Null, empty or wordless texts have no words and are never
 contaminated; wordless items have no windows; equal items count by their distinct ids; repeated documents are
-judged each on their own. The benchmark is broadcast only up to ``block_bytes`` of text; a larger one is
-searched in blocks, and the blocks' spans are merged by document.
+judged each on their own. Items are cut into pieces of hashed words by Spark. What of them is searched at once is
+bounded by ``block_bytes`` of windows and by the index's alphabet; a larger benchmark is searched block by block,
+each block's spans are written and its broadcast released before the next, and spans are merged by text.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql.types import StructType
 
 from . import textops as T
 from .fm_index import FMIndex
-from .shared import table
+from .shared import materialize, table, text_digest
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Distinct words that an index can tell, windows of a piece at most, and bytes that a window takes in a block.
+VOCABULARY, PIECE, WINDOW_BYTES = 65534, 4096, 48
 _SPANS = "array<struct<first:int,last:int,start:int,end:int>>"
 
 
@@ -40,34 +43,29 @@ def _words(column: pa.Array):
 
 
 class Phrases:
-    """Distinct windows of benchmark items as symbols of their own vocabulary."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
-        hashes, owner = [], []
-        for lo, _, data, _, starts, ends, at in _words(pa.array(texts, pa.string())):
-            h = T.span_hashes(data, starts, ends)
-            for k in range(len(at) - 1):
-                own = h[at[k] : at[k + 1]]
-                for i in range(max(1, len(own) - window + 1) if len(own) else 0):
-                    hashes.append(own[i : i + window])
-                    owner.append(lo + k)
+    """Distinct windows of pieces of items (id, hashes of its words) as symbols of their own vocabulary."""
+
+    def __init__(self, ids: list[str], words: list[np.ndarray], window: int = WINDOW):
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.ids = ids
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        self.lengths = np.array([len(h) for h in hashes], np.int64)
-        self.rows = np.zeros((len(hashes), window), np.int64)
-        for k, h in enumerate(hashes):
-            self.rows[k, window - len(h) :] = np.searchsorted(self.vocabulary, h) + 1
-        self.owner = np.array(owner, np.int64)
-        if len(hashes):
-            both = np.column_stack((self.rows, self.lengths))
-            distinct, of = np.unique(both, axis=0, return_inverse=True)
-            order = np.argsort(of.ravel(), kind="stable")
-            self.owners, self.owner_at = self.owner[order], np.searchsorted(of.ravel()[order], np.arange(len(distinct) + 1))
-            self.rows, self.lengths = np.ascontiguousarray(distinct[:, :-1]), distinct[:, -1].copy()
-        else:
-            self.owners, self.owner_at = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        if len(self.vocabulary) >= 65535:
-            raise ValueError("a benchmark block has 65,535 distinct words or more; use a smaller block_bytes")
+        self.vocabulary, symbol = np.unique(flat, return_inverse=True)
+        if len(self.vocabulary) > VOCABULARY:
+            raise OverflowError(len(self.vocabulary))
+        windows = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        owner = np.repeat(np.arange(len(words)), windows)
+        lengths = np.minimum(n[owner], window)
+        end = T.ragged(np.cumsum(n) - n, windows) + lengths
+        # a window stands at the right end of its row, and its length in the column after that
+        both = np.zeros((len(owner), window + 1), np.uint16)
+        both[:, window] = lengths
+        padded = np.concatenate((np.zeros(window, np.uint16), (symbol.ravel() + 1).astype(np.uint16)))
+        for k in range(window):
+            both[:, k] = np.where(window - k <= lengths, padded[end + k], 0)
+        _, first, of = np.unique(both.view(f"V{2 * window + 2}").ravel(), return_index=True, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        self.owners, self.owner_at = owner[order].astype(np.int32), np.searchsorted(of.ravel()[order], np.arange(len(first) + 1))
+        self.rows, self.lengths = np.ascontiguousarray(both[first, :window]), both[first, window].astype(np.int64)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -141,22 +139,54 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.
             reach = phrases.owner_at[which + 1] - phrases.owner_at[which]
             pairs = np.unique(np.column_stack((np.repeat(doc_of[first], reach), phrases.owners[T.ragged(phrases.owner_at[which], reach)])), axis=0)
             items_at = np.searchsorted(pairs[:, 0], np.arange(n_docs + 1))
-            names = pa.array([phrases.ids[k] for k in pairs[:, 1]], pa.string())
+            names = pa.array([phrases.ids[k] for k in pairs[:, 1]], pa.string())  # an item of several pieces may repeat
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, n_docs), pa.array(n_words), pa.array(n_hit), T.list_array(spans, spans_at), T.list_array(names, items_at)],
                 ["key", "n_words", "n_hit", "hits", "items"],
             )
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Benchmark items in driver-sized blocks; one block unless the table is larger than that."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(id, words, size): hashed words of items, long items in pieces that share ``window`` - 1 words."""
+    most = min(PIECE, VOCABULARY - window + 1)
+
+    def run(batches):
+        for batch in batches:
+            for lo, _, data, _, starts, ends, at in _words(batch.column(1)):
+                h = T.span_hashes(data, starts, ends)
+                rows, parts = [], []
+                for k in range(len(at) - 1):
+                    for x in range(int(at[k]), max(int(at[k]) + 1, int(at[k + 1]) - window + 1) if at[k + 1] > at[k] else 0, most):
+                        rows.append(lo + k)
+                        parts.append(h[x : min(x + most + window - 1, int(at[k + 1]))].tobytes())
+                        if len(parts) == 256:
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(parts, pa.binary())], ["id", "words"])
+                            rows, parts = [], []
+                if parts:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(parts, pa.binary())], ["id", "words"])
+
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("None")).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    pieces = items.mapInArrow(run, "id string, words binary").distinct()
+    windows = F.greatest(F.octet_length("words") / 8 - (window - 1), F.lit(1))
+    return pieces.withColumn("size", (windows * WINDOW_BYTES + F.octet_length("id") + 32).cast("bigint"))
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[tuple[bool, Phrases]]:
+    """(only one, phrases) for blocks of pieces; a block of too many distinct words is cut again by hash."""
+    pieces = _pieces(benchmark, id_col, text_col, window)
+    pieces = materialize(pieces.withColumn("key", F.xxhash64("id", "words")), "pieces")
+    size = pieces.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        rows = part.collect()
-        yield n, [str(r.id) for r in rows], [r.text for r in rows]
+    todo = [(k, n) for k in range(n - 1, -1, -1)]
+    while todo:
+        k, of = todo.pop()
+        rows = pieces.where(F.pmod("key", F.lit(of)) == k).select("id", "words").collect()
+        try:
+            phrases = Phrases([r.id for r in rows], [np.frombuffer(r.words, np.uint64) for r in rows], window)
+        except OverflowError:
+            todo += [(k + of, 2 * of), (k, 2 * of)]
+            continue
+        yield of == 1, phrases
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, block_bytes=BLOCK_BYTES) -> DataFrame:
@@ -167,28 +197,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col="text"
     spark = docs.sparkSession
     added = ["n_words", "n_hit", "hits", "items"]
     kept = docs.drop(*added)
-    names = [c for c in kept.columns]
-    parts = []
-    for n, ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        shipped = spark.sparkContext.broadcast(Phrases(ids, texts, window))
-        parts.append((n, shipped))
-    result = None
-    for n, shipped in parts:
-        found = _attach(kept, text_col, shipped)
-        if n == 1:
-            return found
-        found = found.withColumn("_row", F.sha2(F.to_json(F.struct(*names)), 256))
-        result = found if result is None else result.unionByName(found)
-    # several blocks: equal rows have equal spans, so they merge to one row and are counted back
-    merged = result.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in names],
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hits")).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        (F.count("*") / F.lit(len(parts))).cast("int").alias("_copies"),
-    )
+    texts = kept.select(text_digest(text_col).alias("_h"), F.col(text_col).alias("text"))
+    found = None
+    for only, phrases in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        shipped = spark.sparkContext.broadcast(phrases)
+        if only:
+            distinct = F.array_distinct("items")
+            return _attach(kept, text_col, shipped).withColumn("items", distinct).select(*kept.columns, *added)
+        hit = _attach(texts, "text", shipped).where("n_hit > 0").select("_h", "hits", "items").dropDuplicates(["_h"])
+        hit = materialize(hit, "spans")
+        shipped.destroy()
+        found = hit if found is None else found.union(hit)
+    # spans depend on the text alone, so those of all blocks meet by its digest
+    merged = found.groupBy("_h").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = merged.withColumn("hits", _merge_spans("hits")).withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1))
-    return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names, *added)
+    merged = materialize(merged, "merged")
+    counted = _attach(kept, text_col, spark.sparkContext.broadcast(Phrases([], [], window))).drop("n_hit", "hits", "items")
+    out = counted.withColumn("_h", text_digest(text_col)).join(merged, "_h", "left")
+    none = {"n_hit": "0L", "hits": f"cast(array() as {_SPANS})", "items": "cast(array() as array<string>)"}
+    return out.select(*kept.columns, "n_words", *(F.expr(f"coalesce({c}, {x})").alias(c) for c, x in none.items()))
 
 
 def _merge_spans(column: str):
