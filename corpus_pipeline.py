@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents keep the one of the smallest id."""
-    return jaccard.keep_one_of_each(docs)
+    """Of linked documents (five-word shingles, similarity 0.8) keep the one of the smallest id."""
+    return jaccard.keep_one_of_each(docs, size=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
