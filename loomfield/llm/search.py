@@ -1,21 +1,31 @@
-"""Exact top-k BM25 search: an inverted index with block maxima per shard, dynamic pruning, exact merge.
+"""Exact top-k BM25 search: inverted indexes with block maxima by shard, WAND pruning, exact merge.
 
-Document counts, lengths and term frequencies are taken over all documents. Documents are hashed to shards of
-a bounded number of rows; each shard is an inverted index whose postings are cut into blocks of documents with
-the largest contribution of each term to each block. Queries come in blocks. For a query the block maxima of
-its terms add up to a bound for every block of documents; blocks are scored from the largest bound down until
-the bound falls under the k-th best score, which no other document can then reach. Shards' best are merged;
-scores use the same global statistics, so the merge is exact. Ties go to the smaller document id.
+Document counts, lengths and term frequencies are taken over all documents. Texts of the same words and counts
+are one class, indexed once with its number of copies and its ``k`` smallest ids (more cannot be among the best).
+Classes are dealt out by digest; a task builds one index after the other, each of a bounded number of postings,
+and stores it, so that all queries read what was built once. Postings of a term are cut into blocks of documents,
+each with its largest contribution.
 
-Words are lower-cased ASCII letters and digits and non-ASCII bytes. Null, empty and wordless texts are found
-by nothing and find nothing. Repeated rows are documents of their own.
+A query is first searched in a few shards of its own, which gives it a threshold that holds everywhere: the k-th best score
+so far. Everywhere else WAND's pivot rule is applied to a shard at once: terms in order of their maxima add up to
+the pivot term, where the sum passes the threshold; a document without the pivot term or a later one cannot be
+among the best, so only those lists are read. What the lists before the pivot may add to a document is bounded
+by their maxima in its block; documents whose bound is under the threshold are skipped, the others are scored from the
+largest bound down, the threshold rising with what is found. Scores use global statistics, so shards' best merge exactly;
+ties go to the smaller document id, nulls last.
+
+Queries go through the driver in blocks of at most ``block_bytes``, one block at a time, each released before the
+next. Words are lower-cased ASCII letters and digits and non-ASCII bytes. Null, empty and wordless texts are
+found by nothing and find nothing. Repeated rows are documents and queries of their own, ids may be null. Columns beside doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,11 +35,17 @@ from .shared import arrow_rows, materialize, table
 
 K = 10
 K1, B = 0.9, 0.4
-SHARD_ROWS, QUERY_ROWS, BLOCK_DOCS = 4096, 512, 32
+#: Postings and documents of a shard, documents of a block, bytes of a block of queries.
+SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 65_000, 64, 8 << 20
+#: Documents in which a query is searched for its first threshold, about.
+FIRST_DOCS = 4096
+#: Terms that a task counts together before it hands them on.
+COUNTED = 2_000_000
+EPS = 1e-9
 
 
 def _vectors(docs: DataFrame) -> DataFrame:
-    """doc_id, length, terms (uint64) and counts (uint32) of every text with words."""
+    """h, doc_id, length, terms (uint64, sorted) and counts (uint32) of every text with words; h tells terms and counts."""
 
     def run(batches):
         for batch in batches:
@@ -38,127 +54,278 @@ def _vectors(docs: DataFrame) -> DataFrame:
                 starts, ends = T.word_spans(data, at, T.ALNUM)
                 first = T.counts_by_doc(starts, at)
                 h = T.span_hashes(data, starts, ends)
-                rows, terms, counts = [], [], []
+                rows, digests, terms, counts = [], [], [], []
                 for k in range(hi - lo):
                     if first[k + 1] > first[k]:
                         t, c = np.unique(h[first[k] : first[k + 1]], return_counts=True)
                         rows.append(k)
                         terms.append(t.tobytes())
                         counts.append(c.astype("<u4").tobytes())
+                        digests.append(hashlib.md5(terms[-1] + counts[-1]).digest())
                 n = np.diff(first)[rows] if rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(rows, pa.int64())).cast(pa.int64()), pa.array(n), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "length", "terms", "counts"])
+                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(rows, pa.int64())).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, pa.array(n), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["h", "doc_id", "length", "terms", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, length bigint, terms binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "h binary, doc_id bigint, length bigint, terms binary, counts binary")
 
 
-class ShardIndex:
-    """Postings of one shard by term, with block maxima."""
-
-    def __init__(self, ids: np.ndarray, terms: list[np.ndarray], impacts: list[np.ndarray]):
-        self.ids = ids
-        sizes = np.array([len(t) for t in terms])
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        flat, impact = np.concatenate(terms), np.concatenate(impacts)
-        order = np.lexsort((doc, flat))
-        self.doc, self.impact = doc[order], impact[order]
+def _frequencies(vectors: DataFrame) -> DataFrame:
+    """(term, df): tasks count what they read before anything is shuffled."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        size = 0
+
+        def counted():
+            flat = np.concatenate(held)
+            term, where = np.unique(flat, return_inverse=True)
+            return term, np.bincount(where.ravel(), weights=np.concatenate(counts), minlength=len(term)).astype(np.int64)
+
+        def batch_of(term, n):
+            for x in range(0, len(term), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(term[x : x + 100_000].view(np.int64)), pa.array(n[x : x + 100_000])], ["term", "df"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.uint64).copy())
+                counts.append(np.ones(len(held[-1]), np.int64))
+                size += len(held[-1])
+                if size > COUNTED:
+                    term, n = counted()
+                    if len(term) > COUNTED // 2:
+                        yield from batch_of(term, n)
+                        term, n = term[:0], n[:0]
+                    held, counts, size = [term], [n], len(term)
+        if size:
+            yield from batch_of(*counted())
+        T.release()
+
+    return vectors.select("terms").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _classes(vectors: DataFrame, k: int) -> DataFrame:
+    """One row for each class: h, length, terms, counts, copies, and its k smallest ids."""
+    order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last())
+    best = vectors.select("h", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    ids = best.groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
+    counted = vectors.groupBy("h").agg(F.count("*").alias("copies"))
+    one = vectors.groupBy("h").agg(*(F.first(c).alias(c) for c in ("length", "terms", "counts")))
+    return one.join(counted, "h").join(ids, "h").select("length", "terms", "counts", "copies", "ids")
+
+
+_INDEX = "shard bigint, docs int, vocabulary binary, at binary, doc binary, tf binary, length binary, copies binary, ids array<bigint>, ids_at binary"
+
+
+def _indexes(classes: DataFrame, shard_postings: int) -> DataFrame:
+    """Stored indexes: postings sorted by term, then by document."""
+
+    def built(number, rows):
+        terms = [np.frombuffer(x, np.uint64) for x in rows["terms"]]
+        flat = np.concatenate(terms)
+        doc = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
+        tf = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
+        order = np.argsort(flat, kind="stable")
         flat = flat[order]
         at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        self.vocabulary, self.at = flat[at], np.concatenate((at, [len(flat)]))
+        parts = (flat[at], np.concatenate((at, [len(flat)])), doc[order], tf[order], np.array(rows["length"], np.int64), np.array(rows["copies"], np.int64))
+        raw = [pa.array([x.tobytes()], pa.binary()) for x in parts]
+        ids = [i for x in rows["ids"] for i in x]
+        ids_at = np.concatenate(([0], np.cumsum([len(x) for x in rows["ids"]])))
+        name = (TaskContext.get().partitionId() << 24) + number
+        columns = [pa.array([name], pa.int64()), pa.array([len(terms)], pa.int32()), *raw, pa.array([ids], pa.list_(pa.int64())), pa.array([ids_at.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _INDEX.split(", ")])
+
+    def run(batches):
+        names = ("length", "terms", "counts", "copies", "ids")
+        held: dict[str, list] = {c: [] for c in names}
+        postings = number = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                for c, v in zip(names, row):
+                    held[c].append(v)
+                postings += len(row[1]) // 8
+                if postings >= shard_postings or len(held["ids"]) >= SHARD_DOCS:
+                    yield built(number, held)
+                    held, postings, number = {c: [] for c in names}, 0, number + 1
+                    T.release()
+        if held["ids"]:
+            yield built(number, held)
+
+    return classes.mapInArrow(run, _INDEX)
+
+
+class ShardIndex:
+    """Postings of one shard by term with block maxima, and by document."""
+
+    def __init__(self, vocabulary, at, doc, tf, length, copies, mean: float):
+        self.vocabulary, self.at, self.doc = vocabulary, at, doc.astype(np.int64)
+        self.copies, self.n_docs = copies, len(length)
+        tf = tf.astype(float)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
+        self.list_max = np.maximum.reduceat(self.impact, at[:-1])
+        slot = np.repeat(np.arange(len(vocabulary)), np.diff(at))
         block = self.doc // BLOCK_DOCS
-        cut = np.ones(len(flat), bool)
-        cut[1:] = (flat[1:] != flat[:-1]) | (block[1:] != block[:-1])
+        cut = np.ones(len(doc), bool)
+        cut[1:] = (slot[1:] != slot[:-1]) | (block[1:] != block[:-1])
         begin = np.flatnonzero(cut)
-        self.block, self.block_begin = block[begin], np.concatenate((begin, [len(flat)]))
-        self.block_max = np.maximum.reduceat(self.impact, begin)
-        self.block_at = np.searchsorted(begin, self.at)
-        self.n_blocks = -(-len(ids) // BLOCK_DOCS)
+        self.block, self.block_max = block[begin], np.maximum.reduceat(self.impact, begin)
+        self.block_at = np.searchsorted(begin, at)
+        self.n_blocks = -(-self.n_docs // BLOCK_DOCS)
+        self.doc_block = np.arange(self.n_docs) // BLOCK_DOCS
+        by_doc = np.argsort(doc, kind="stable")
+        self.own_slot, self.own_impact = slot[by_doc], self.impact[by_doc]
+        self.own_at = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=self.n_docs))))
+        self.weight = np.zeros(len(vocabulary))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (score, id) for a query of weighted terms."""
+    def slots(self, terms: np.ndarray) -> np.ndarray:
+        """Where each of the terms stands in the vocabulary; -1 where it does not."""
         slot = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
-        known = self.vocabulary[slot] == terms
-        slot, weights = slot[known], weights[known]
-        if not len(slot):
-            return []
-        n = self.block_at[slot + 1] - self.block_at[slot]
-        entry = T.ragged(self.block_at[slot], n)
-        weight = np.repeat(weights, n)
-        bound = np.bincount(self.block[entry], weights=self.block_max[entry] * weight, minlength=self.n_blocks)
-        ranked = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(self.block[entry], kind="stable")
-        edges = np.searchsorted(self.block[entry][by_block], np.arange(self.n_blocks + 1))
-        best: list[tuple[float, int]] = []
-        step = 4
-        for lo in range(0, len(ranked), step):
-            group = ranked[lo : lo + step]
-            if bound[group[0]] <= 0 or (len(best) == k and bound[group[0]] < -best[-1][0] - 1e-9):
+        return np.where(self.vocabulary[slot] == terms, slot, -1)
+
+    def exact(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents under the query whose weights are set; terms add up in one order everywhere."""
+        n = self.own_at[docs + 1] - self.own_at[docs]
+        own = T.ragged(self.own_at[docs], n)
+        return np.bincount(np.repeat(np.arange(len(docs)), n), weights=self.weight[self.own_slot[own]] * self.own_impact[own], minlength=len(docs))
+
+    def _kth(self, score: np.ndarray, docs: np.ndarray, k: int) -> float:
+        """The k-th best score, copies counted; nothing where there are fewer."""
+        order = np.argsort(-score, kind="stable")
+        at = int(np.searchsorted(np.cumsum(self.copies[docs[order]]), k))
+        return float(score[order[at]]) if at < len(order) else -np.inf
+
+    def search(self, slot: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best that reach ``floor``, for terms at ``slot`` of positive weights."""
+        most = weights * self.list_max[slot]
+        order = np.argsort(most, kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(most[order]), floor - EPS)) if floor > 0 else 0
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if pivot >= len(order):
+            return none
+        before, rest = order[:pivot], order[pivot:]
+        n = self.at[slot[rest] + 1] - self.at[slot[rest]]
+        posting = T.ragged(self.at[slot[rest]], n)
+        part = np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights[rest], n), minlength=self.n_docs)
+        bound = part
+        if pivot:
+            n = self.block_at[slot[before] + 1] - self.block_at[slot[before]]
+            entry = T.ragged(self.block_at[slot[before]], n)
+            more = np.bincount(self.block[entry], weights=self.block_max[entry] * np.repeat(weights[before], n), minlength=self.n_blocks)
+            bound = part + more[self.doc_block]
+        live = np.flatnonzero((part > 0) & (bound >= floor - EPS))
+        if len(live) > k:  # what is known of them in part may raise the threshold at once
+            top = live[np.argpartition(-part[live], k - 1)[:k]]
+            floor = max(floor, self._kth(part[top], top, k))
+            live = live[bound[live] >= floor - EPS]
+        live = live[np.argsort(-bound[live], kind="stable")]
+        self.weight[slot] = weights
+        docs, scores = none
+        step = 64
+        for x in range(0, len(live), step):
+            if bound[live[x]] < floor - EPS:
                 break
-            own = np.concatenate([by_block[edges[b] : edges[b + 1]] for b in group])
-            e = entry[own]
-            size = self.block_begin[e + 1] - self.block_begin[e]
-            posting = T.ragged(self.block_begin[e], size)
-            found, where = np.unique(self.doc[posting], return_inverse=True)
-            score = np.bincount(where, weights=self.impact[posting] * np.repeat(weight[own], size))
-            best = sorted(best + [(-s, int(i)) for s, i in zip(score.tolist(), self.ids[found].tolist())])[:k]
-        return [(-s, i) for s, i in best]
+            docs = np.concatenate((docs, live[x : x + step]))
+            scores = np.concatenate((scores, self.exact(live[x : x + step])))
+            floor = max(floor, self._kth(scores, docs, k))
+            good = scores >= floor - EPS
+            docs, scores = docs[good], scores[good]
+        self.weight[slot] = 0.0
+        return docs, scores
 
 
-def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
-    """(query_id, rank, doc_id, score) of ``queries`` (doc_id, text) against ``docs`` (doc_id, text)."""
-    with arrow_rows(docs.sparkSession, 1000):
-        return _top_k(docs, queries, k)
+def _block_of(rows) -> tuple:
+    """Queries (q, terms, weights, floor, home) of one block, and the distinct terms of all."""
+    terms = [np.array([x.term for x in r.q], np.int64).view(np.uint64) for r in rows]
+    distinct, which = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.uint64), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum([len(t) for t in terms]))).astype(np.int64)
+    weights = np.array([x.w for r in rows for x in r.q])
+    return [bytes(r.h) for r in rows], distinct, which.ravel(), at, weights, np.array([r.floor for r in rows], float), np.array([r.home for r in rows], np.int64)
+
 
+def _search(indexes: DataFrame, shipped, mean: float, k: int, first: bool, homes: int) -> DataFrame:
+    """(h, doc_id, score): a block of queries in their own shards (``first``) or in all the others."""
 
-def _top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        names, distinct, which, at, weights, floors, home, shards = shipped.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(k)[i] for k, c in enumerate(batch.schema.names)}
+                raw = lambda c, t: np.frombuffer(row[c].as_buffer(), t)  # noqa: E731, B023
+                index = ShardIndex(raw("vocabulary", np.uint64), raw("at", np.int64), raw("doc", np.uint16), raw("tf", "<u4"), raw("length", np.int64), raw("copies", np.int64), mean)
+                ids, ids_at = row["ids"].values, raw("ids_at", np.int64)
+                own = (shards[row["shard"].as_py()] - home) % len(shards) < homes
+                slot = index.slots(distinct)[which]
+                known = slot >= 0
+                # a shard whose maxima do not add up to the threshold has nothing for a query
+                most = np.bincount(np.repeat(np.arange(len(names)), np.diff(at))[known], weights=weights[known] * index.list_max[slot[known]], minlength=len(names))
+                found = []
+                for q in np.flatnonzero((own == first) & (most > 0) & (most >= floors - EPS)).tolist():
+                    here = known[at[q] : at[q + 1]]
+                    docs, scores = index.search(slot[at[q] : at[q + 1]][here], weights[at[q] : at[q + 1]][here], k, float(floors[q]))
+                    if len(docs):
+                        found.append((q, docs, scores))
+                if found:
+                    docs = np.concatenate([d for _, d, _ in found])
+                    n = ids_at[docs + 1] - ids_at[docs]
+                    asked = np.repeat(np.repeat([q for q, _, _ in found], [len(d) for _, d, _ in found]), n)
+                    rows = [pa.array([names[q] for q in asked], pa.binary()), ids.take(pa.array(T.ragged(ids_at[docs], n))), pa.array(np.repeat(np.concatenate([s for _, _, s in found]), n))]
+                    yield pa.RecordBatch.from_arrays(rows, ["h", "doc_id", "score"])
+                T.release()
+
+    return indexes.mapInArrow(run, "h binary, doc_id bigint, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("h").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, block_bytes: int = BLOCK_BYTES, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """(query_id, rank, doc_id, score) of ``queries`` (doc_id, text) against ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    vectors = materialize(_vectors(docs), "vectors")
-    n, total = vectors.agg(F.count("*"), F.sum("length")).first()
-    n, mean = n or 0, (total or 1) / max(1, n or 1)
-    asked = materialize(_vectors(queries), "queries")
-    wanted = _terms(asked.select("terms")).distinct()
-    df = _terms(vectors.select("terms")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    # a query row gets the weights of its own terms
-    own = _terms(asked.select("terms", "doc_id"), "doc_id").join(df, "term").withColumn("w", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighted = materialize(own.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("q")), "weighted")
-    shards = max(1, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-weighted.count() // QUERY_ROWS))
-    sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("doc_id", "terms"), F.lit(shards)))
+    with arrow_rows(spark, 1000):
+        vectors = materialize(_vectors(docs), "vectors")
+        indexes = materialize(_indexes(_classes(vectors, k), shard_postings), "indexes")
+        asked = materialize(_vectors(queries), "queries")
+        n, total = vectors.agg(F.count("*"), F.sum("length")).first()
+        n, mean = n or 0, (total or 1) / max(1, n or 1)
+        weighted, size = _weighted(asked, _frequencies(vectors), n)
+    shards = {r.shard: i for i, r in enumerate(indexes.select("shard").orderBy("shard").collect())}  # one number for each shard
+    homes = max(1, -(-FIRST_DOCS * len(shards) // max(1, n)))
+    blocks = max(1, -(-size // block_bytes))
     found = None
-    for b in range(blocks):
-        part = weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b)
-        # one block of queries is bounded by QUERY_ROWS on average, whatever the corpus
-        block = [(r.doc_id, np.array([x.term for x in r.q], np.int64).view(np.uint64), np.array([x.w for x in r.q])) for r in part.collect()]
-        shipped = spark.sparkContext.broadcast(block)
-        out = _search(sharded, shipped, mean, k)
-        found = out if found is None else found.union(out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
-
-
-def _terms(rows: DataFrame, *keep: str) -> DataFrame:
+    with arrow_rows(spark, 1):  # a row is a whole shard
+        for b in range(blocks):
+            rows = weighted.where(F.pmod("home", F.lit(blocks)) == b)
+            for first in (True, False):
+                got = rows.withColumn("floor", F.lit(0.0)) if first else rows.join(floors, "h", "left").fillna(0.0, ["floor"])
+                # at most about block_bytes, whatever the corpus
+                shipped = spark.sparkContext.broadcast((*_block_of(got.collect()), shards))
+                out = materialize(_search(indexes, shipped, mean, k, first, homes), "found")
+                shipped.destroy()
+                found = out if found is None else found.union(out)
+                floors = _best(out, k).where(F.col("rank") == k).select("h", F.col("score").alias("floor"))
+    lists = _best(found, k).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("best"))
+    rows = asked.select(F.col("doc_id").alias("query_id"), "h").join(lists, "h").select("query_id", F.explode("best").alias("r"))
+    return rows.select("query_id", "r.rank", "r.doc_id", "r.score")
+
+
+def _weighted(asked: DataFrame, df: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Distinct queries (h, home, q: terms that documents have, with their weights), and about how many bytes they take."""
+
     def run(batches):
         for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
-            n = [len(p) for p in parts]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            at = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([pa.array(flat), *(batch.column(1 + k).take(at) for k in range(len(keep)))], ["term", *keep])
-
-    return rows.mapInArrow(run, ", ".join(["term bigint", *(f"{c} bigint" for c in keep)]))
-
-
-def _search(sharded: DataFrame, shipped, mean: float, k: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        terms = [np.frombuffer(x, np.uint64) for x in pdf["terms"]]
-        impacts = []
-        for c, length in zip(pdf["counts"], pdf["length"]):
-            tf = np.frombuffer(c, "<u4").astype(float)
-            impacts.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
-        index = ShardIndex(pdf["doc_id"].to_numpy(np.int64), terms, impacts)
-        rows = [(q, i, s) for q, t, w in shipped.value for s, i in index.search(t, w, k)]
-        return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
-
-    return sharded.groupBy("shard").applyInPandas(run, "query_id bigint, doc_id bigint, score double")
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], ["h", "term"])
+
+    one = asked.groupBy("h").agg(F.first("terms").alias("terms"))
+    own = one.mapInArrow(run, "h binary, term bigint").join(df, "term")
+    own = own.withColumn("w", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    lists = own.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("q"))
+    weighted = materialize(lists.withColumn("home", F.pmod(F.xxhash64("h"), F.lit(1 << 30))), "weighted")
+    return weighted, weighted.agg(F.sum(F.size("q") * 16 + 64)).first()[0] or 0
 
 
 def op9_bm25_top10(spark, sf_dir: str) -> DataFrame:

@@ -227,22 +227,32 @@ def test_token_files(spark, docs, none):
     assert token_files.token_counts(token_files.write_token_files(none)[0]).count() == 0
 
 
-def test_search(spark, docs, none):
-    base = [(i, words6(t)) for i, t, *_ in rows()[:15]]
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    counts = {i: Counter(w) for i, w in base if w}
-    n, mean = len(counts), sum(sum(c.values()) for c in counts.values()) / len(counts)
-    df = Counter(t for c in counts.values() for t in c)
-    got = search.top_k(own, own.where("doc_id % 2 = 1"), k=4).collect()
-    for q in [i for i in counts if i % 2]:
-        score = {}
-        for i, c in counts.items():
-            for t in counts[q]:
-                if c[t]:
-                    score[i] = score.get(i, 0) + math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 1.9 / (c[t] + 0.9 * (0.6 + 0.4 * sum(c.values()) / mean))
-        mine = sorted((r.rank, r.score) for r in got if r.query_id == q)
-        assert np.allclose([s for _, s in mine], sorted(score.values(), reverse=True)[:4])
+def brute_search(base, asked, k):
+    """Sorted (query, rank, document, score) of every query row, by scoring all rows."""
+    counts = [(i, Counter(words6(t))) for i, t in base if words6(t)]
+    n, mean = len(counts), sum(sum(c.values()) for _, c in counts) / max(1, len(counts))
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for i, text in asked:
+        scored = []
+        for j, c in counts:
+            both = set(words6(text)) & set(c)
+            score = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 1.9 / (c[t] + 0.9 * (0.6 + 0.4 * sum(c.values()) / mean)) for t in both)
+            scored += [(-round(score, 7), j is None, j or 0, j)] if both else []
+        out += [(i, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scored, key=lambda x: x[:3])[:k])]
+    return out
+
+
+@pytest.mark.parametrize("postings,block_bytes", [(2_000_000, 8 << 20), (400, 200_000)])
+def test_search(spark, docs, none, postings, block_bytes):
+    """Null and repeated ids, repeated queries and ties; many small shards and several blocks of queries give the same."""
+    base = [(r[0], r[1]) for r in rows()] + [(k, f"tie one two w{k % 4}") for k in range(100, 140)] + [(None, "tie one"), (None, "tie one")]
+    own = spark.createDataFrame(base, "doc_id bigint, text string").withColumn("score", F.lit("x")).repartition(7)
+    asked = [r for r in base if r[0] is None or r[0] % 2] + [(5, A), (7, "no such words here"), (9, None)]
+    got = search.top_k(own, spark.createDataFrame(asked, "doc_id bigint, text string"), k=4, block_bytes=block_bytes, shard_postings=postings).collect()
+    assert sorted(((r.query_id, r.rank, r.doc_id, round(r.score, 5)) for r in got), key=str) == sorted(((q, r, d, round(s, 5)) for q, r, d, s in brute_search(base, asked, 4)), key=str)
     assert search.top_k(none.select("doc_id", "text"), none.select("doc_id", "text")).count() == 0
+    assert search.top_k(own, none.select("doc_id", "text")).count() == 0
 
 
 @pytest.mark.parametrize("op,label,threshold", [(quality.op2_quality_gam, "quality", 0.3), (toxicity.op3_toxicity_trees, "toxic", 0.7)])
