@@ -1,14 +1,17 @@
 """N-gram Jaccard join: count vectors in an R-tree, bounds by summed coordinate minima, exact verification.
 
-Documents with equal shingle sets collapse to one node. A node's shingles are ordered rare ones first (a fixed
-sample of documents tells which are frequent; the order decides cost, never results), and its prefix, which any
-node similar enough must share a shingle with, routes it to buckets. In a bucket first the smallest node is
-compared with all others; most copies link to it and join its component. Then the buckets of each smallest node
-are put together, and every such group that still holds several components is searched whole: its count vectors (shingles hashed into groups) are packed into
+Documents with equal shingle sets collapse to one node. Two sets that are similar enough differ in at most d shingles, d
+following from their sizes. So the space of shingles is cut into more than d parts for each class of sizes: a part
+holds four to six shingles of a set, one part at least is the same in both sets, and the shingles of a part together
+make one signature, which routes a node to buckets. Texts that share a few shingles by chance share no signature, however
+many texts there are. A set with so many empty parts that only these may be the same is routed by its first shingles
+instead. In a bucket first the smallest node is compared with all others; most copies link to it and join its
+component. Then the buckets of each smallest node are put together, and every such group that still holds several
+components is searched whole: its count vectors (shingles hashed into groups) are packed into
 an R-tree, whose boxes and points bound the overlap by summed coordinate minima, and only pairs of different
 components that pass are verified on their sets. Larger sets have more groups;
 boxes use ``GROUPS`` sums of them. So no link is lost, yet pairs inside a component are not
-listed. Large buckets are cut into pairs of blocks. Components come from large-star and small-star steps.
+listed. Large groups are cut into pairs of blocks. Components come from large-star and small-star steps.
 
 A null, empty or wordless text has an empty set, links with nothing and is its own component. Fewer words than
 ``size`` make one shingle. Repeated rows and ties fall into one node; a node's id is its smallest doc_id.
@@ -31,10 +34,10 @@ from .shared import arrow_rows, materialize, table, text_digest
 SIZE = 4
 PERCENT = 85
 GROUPS = 64
-#: Documents that tell which shingles are frequent, and how many of them must hold one.
-ORDER_SAMPLE, FREQUENT = 8000, 4
-#: Nodes of a bucket that one task compares.
-BLOCK = 256
+#: Sizes of one class differ by this factor at most, in eighths.
+CLASS_EIGHTHS = 11
+#: Nodes of a group, and bytes of their count vectors, that are compared with each other at once.
+BLOCK, BLOCK_BYTES = 1024, 1 << 20
 #: Bits of the filter that keeps most uninvolved documents from being hashed again; a fixed 1 MB.
 FILTER_BITS = 1 << 23
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -89,55 +92,68 @@ def _digest(grams: np.ndarray) -> bytes:
     return hashlib.md5(grams.tobytes()).digest()
 
 
-def _profile(docs: DataFrame, frequent, size: int, percent: int, carried: str | None = None) -> DataFrame:
-    """doc_id, n, and for non-empty sets their digest, count vector and prefix; a binary column ``carried`` rides along."""
+class Signatures:
+    """Keys by which a set of shingles is routed: any two sets of similarity ``percent`` have one in common."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        step = max(CLASS_EIGHTHS, -(-800 // percent))
+        self.least = [1]  # the least size of each class
+        while self.least[-1] < 1 << 40:
+            self.least.append(max(self.least[-1] + 1, self.least[-1] * step // 8))
+        self.bounds = np.array(self.least)
+
+    def differ(self, total: int) -> int:
+        """Shingles at most that two similar sets of so many shingles in all do not share."""
+        return total * (100 - self.percent) // (100 + self.percent)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        n = len(grams)
+        own = int(np.searchsorted(self.bounds, n, side="right")) - 1
+        keys, first = [], False
+        for level in (own, own + 1):
+            if 100 * n < self.percent * self.least[level]:
+                break  # no set of the next class is similar enough
+            largest = self.least[level + 1] - 1
+            d = self.differ(n + min(largest, 100 * n // self.percent))
+            if not d:
+                continue  # only equal sets are similar, and those are one node
+            parts = self.differ(2 * largest) + 3
+            parts += parts // 32
+            part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            keys.append(T.mix(np.add.reduceat(T.mix(grams + np.uint64(level)), at) + part[at] * _MULTIPLIERS[1]))
+            first |= parts - len(at) >= parts - d
+        if first:  # empty parts might be all that two sets have in common
+            keys.append(T.mix(grams[: n + (-self.percent * n) // 100 + 1] ^ _MULTIPLIERS[2]))
+        return np.concatenate(keys) if keys else grams[:0]
+
+
+def _profile(docs: DataFrame, size: int, percent: int, carried: str | None = None) -> DataFrame:
+    """doc_id, n, and for non-empty sets their digest, count vector and signatures; a binary column ``carried`` rides along."""
     more = [carried] if carried else []
 
     def run(batches):
-        often = frequent.value
+        routes = Signatures(percent)
         for batch in batches:
             keys = batch.column(0)
-            rows, n, digest, vector, prefix, at = [], np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [], np.zeros(batch.num_rows, np.int64)
+            n, digest, vector, routed, at = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [], np.zeros(batch.num_rows, np.int64)
             for row, grams in shingle_sets(batch.column(1), size):
                 n[row] = len(grams)
                 digest[row] = _digest(grams)
                 vector[row] = count_vector(grams).tobytes()
-                take = len(grams) + (-percent * len(grams)) // 100 + 1
-                if len(often):
-                    slot = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-                    known = often[slot] == grams
-                    chosen = grams[~known][:take]
-                    if len(chosen) < take:
-                        chosen = np.concatenate((chosen, grams[known][: take - len(chosen)]))
-                else:
-                    chosen = grams[:take]
-                prefix.append(chosen.view(np.int64))
-                at[row] = len(chosen)
-            values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
+                routed.append(routes.of(grams).view(np.int64))
+                at[row] = len(routed[-1])
+            values = pa.array(np.concatenate(routed) if routed else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [keys.cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), T.list_array(values, np.concatenate(([0], np.cumsum(at)))), *batch.columns[2:]],
-                ["doc_id", "n", "digest", "vector", "prefix", *more],
+                ["doc_id", "n", "digest", "vector", "routes", *more],
             )
 
-    schema = "doc_id bigint, n bigint, digest binary, vector binary, prefix array<bigint>"
+    schema = "doc_id bigint, n bigint, digest binary, vector binary, routes array<bigint>"
     return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join([schema, *(f"{c} binary" for c in more)]))
 
 
-def _frequent(docs: DataFrame, size: int):
-    """Shingles that many documents of a bounded sample hold; only the order of prefixes depends on them."""
-    share = min(1.0, ORDER_SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def run(batches):
-        for batch in batches:
-            for _, grams in shingle_sets(batch.column(0), size):
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
-
-    counts = sample.select("text").mapInArrow(run, "gram bigint").groupBy("gram").count().where(F.col("count") >= FREQUENT)
-    found = np.array([r.gram for r in counts.select("gram").collect()], np.int64).view(np.uint64)  # bounded by the sample
-    return docs.sparkSession.sparkContext.broadcast(np.sort(found))
-
-
 def _bit_filter(ids: DataFrame, column: str) -> np.ndarray:
     """A bitmap of fixed size over hashed ids: it may pass others, never stops one of these."""
     bits = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit"))
@@ -248,26 +264,32 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(groups: DataFrame, settled: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Members (token, c, own, node, component, n, vector) of groups by pivot and size with several components.
+    """Members (token, c, own, node, component, n, vector) of groups by pivot and size with several components, to be
+    cut into c blocks.
 
     Sizes that may link lie in one class of sizes or in neighbouring ones. A node is at home in the slot of its
-    class and a guest in the next one; pairs meet where at least one of them is at home, hence once.
+    class and, where it may have partners there, a guest in the next one; pairs meet where at least one of them is at
+    home, hence once.
     """
-    sized = groups.join(points.select("node", "n"), "node").join(settled.select("node", "component"), "node", "left")
-    level = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    slots = sized.select("node", F.coalesce("component", "node").alias("component"), F.explode(F.array(F.struct(level.alias("slot"), F.lit(1).alias("own")), F.struct((level + 1).alias("slot"), F.lit(0).alias("own")))).alias("s"), "pivot")
-    slots = slots.select("node", "component", "s.own", F.xxhash64("pivot", "s.slot").alias("token"))
-    mixed = slots.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("home")).where("lo <> hi and home = 1").select("token", "c")
-    return slots.join(mixed, "token").join(points, "node").select("token", "c", "own", "node", "component", "n", "vector")
+    sized = groups.join(points.select("node", "n", F.octet_length("vector").alias("bytes")), "node").join(settled.select("node", "component"), "node", "left")
+    near = float(np.log(100 / percent))
+    wide = 3 * near
+    level = F.floor(F.log("n") / wide).cast("int")
+    # only sizes near the end of a class have partners in the next one
+    guest = F.when(F.log("n") >= wide * (level + 1) - near - 1e-9, F.struct((level + 1).alias("slot"), F.lit(0).alias("own")))
+    slots = sized.select("node", "bytes", F.coalesce("component", "node").alias("component"), F.explode(F.array_compact(F.array(F.struct(level.alias("slot"), F.lit(1).alias("own")), guest))).alias("s"), "pivot")
+    slots = slots.select("node", "bytes", "component", "s.own", F.xxhash64("pivot", "s.slot").alias("token"))
+    mixed = slots.groupBy("token").agg(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("own").alias("home")).where("lo <> hi and home = 1").select("token", F.ceil("c").cast("int").alias("c"))
+    return slots.drop("bytes").join(mixed, "token").join(points, "node").select("token", "c", "own", "node", "component", "n", "vector")
 
 
 def _search_buckets(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidate pairs of different components in groups (token, c, own, node, component, n, vector); with ``forest``
     only as many as would join the components that candidates may join.
 
-    Groups of more than BLOCK nodes are cut; each pair of blocks is a group of its own.
+    Large groups are cut; each pair of blocks is a group of its own.
     """
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    blocks = F.col("c")
     cut = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select(
@@ -372,11 +394,11 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
 
 def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, component (null for an empty set) and ``carried`` for every row."""
-    profile = materialize(_profile(docs, _frequent(docs, size), size, percent, carried), "profile")
-    nodes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("prefix").alias("prefix"))
+    profile = materialize(_profile(docs, size, percent, carried), "profile")
+    nodes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("routes").alias("routes"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     points = nodes.select("node", "n", "vector")
-    tokens = nodes.select("node", F.explode("prefix").alias("token"))
+    tokens = nodes.select("node", F.explode("routes").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
     # all buckets of one pivot make one group, so that a pair meets once and not in every shingle it shares
     groups = tokens.join(shared, "token").where("node <> pivot").select("pivot", "node").distinct()
