@@ -1,27 +1,27 @@
 """Exact top-k BM25 search: inverted indexes with block maxima by shard, WAND pruning, exact merge.
 
-Document counts, lengths and term frequencies are taken over all documents. Texts of the same words and counts
-are one class, indexed once with its number of copies and its ``k`` smallest ids (more cannot be among the best).
-Classes are dealt out by digest; a task builds one index after the other, each of a bounded number of postings,
-and stores it, so that all queries read what was built once. Postings of a term are cut into blocks of documents,
-each with its largest contribution.
-
-A query is first searched in a few shards of its own, which gives it a threshold that holds everywhere: the k-th best score
-so far. Everywhere else WAND's pivot rule is applied to a shard at once: terms in order of their maxima add up to
-the pivot term, where the sum passes the threshold; a document without the pivot term or a later one cannot be
-among the best, so only those lists are read. What the lists before the pivot may add to a document is bounded
-by their maxima in its block; documents whose bound is under the threshold are skipped, the others are scored from the
-largest bound down, the threshold rising with what is found. Scores use global statistics, so shards' best merge exactly;
-ties go to the smaller document id, nulls last.
+Document counts, lengths and term frequencies are taken over all documents. Equal texts are one class, indexed once with its
+number of copies and its ``k`` smallest ids (more cannot be among the best). Classes are dealt out by digest; a
+task builds one index after the other, each of a bounded number of postings, and stores it, so that all queries
+read what was built once. Lists of frequent words are kept by document too, and cut into blocks of documents, each with its
+largest contribution.
+
+A query is first searched in a few shards of its own, which gives it a threshold that holds everywhere: the k-th best
+score so far. Then WAND's pivot rule is applied to a block of documents at once: the lists' maxima, in a block and at all,
+bound what a document may reach, and where they do not add up to the threshold it is not looked at. Lists of rare words are short and are read; those of
+frequent words are bounded by their maxima in each block. Documents whose bound reaches the threshold are scored, from
+the largest bound down, and the threshold rises with what is found. Scores use global statistics, so shards' best
+merge exactly; ties (to nine decimals) go to the smaller document id, nulls last.
 
 Queries go through the driver in blocks of at most ``block_bytes``, one block at a time, each released before the
 next. Words are lower-cased ASCII letters and digits and non-ASCII bytes. Null, empty and wordless texts are
-found by nothing and find nothing. Repeated rows are documents and queries of their own, ids may be null. Columns beside doc_id and text are not looked at.
+found by nothing and find nothing. Repeated rows are documents and queries of their own, ids may be null. Columns
+beside doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,132 +31,101 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops as T
-from .shared import arrow_rows, materialize, table
+from .shared import arrow_rows, materialize, table, text_digest
 
 K = 10
 K1, B = 0.9, 0.4
 #: Postings and documents of a shard, documents of a block, bytes of a block of queries.
 SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 65_000, 64, 8 << 20
+#: Frequent words of a shard at most, and bytes that their lists by document may take.
+FREQUENT, FREQUENT_BYTES = 384, 32 << 20
+#: Share of the threshold that lists which are not read may add.
+SHARE = 0.8
 #: Documents in which a query is searched for its first threshold, about.
-FIRST_DOCS = 4096
-#: Terms that a task counts together before it hands them on.
-COUNTED = 2_000_000
-EPS = 1e-9
+FIRST_DOCS = 16384
+EPS = 1e-8
 
 
-def _vectors(docs: DataFrame) -> DataFrame:
-    """h, doc_id, length, terms (uint64, sorted) and counts (uint32) of every text with words; h tells terms and counts."""
+def _bags(column):
+    """(row, number of words, sorted distinct terms, their counts) of every text with words."""
+    for lo, hi, data, at in T.blocks(column):
+        data = T.lower_ascii(data)
+        starts, ends = T.word_spans(data, at, T.ALNUM)
+        first = T.counts_by_doc(starts, at)
+        h = T.span_hashes(data, starts, ends)
+        for k in range(hi - lo):
+            if first[k + 1] > first[k]:
+                yield lo + k, int(first[k + 1] - first[k]), *np.unique(h[first[k] : first[k + 1]], return_counts=True)
 
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, at in T.blocks(batch.column(1)):
-                data = T.lower_ascii(data)
-                starts, ends = T.word_spans(data, at, T.ALNUM)
-                first = T.counts_by_doc(starts, at)
-                h = T.span_hashes(data, starts, ends)
-                rows, digests, terms, counts = [], [], [], []
-                for k in range(hi - lo):
-                    if first[k + 1] > first[k]:
-                        t, c = np.unique(h[first[k] : first[k + 1]], return_counts=True)
-                        rows.append(k)
-                        terms.append(t.tobytes())
-                        counts.append(c.astype("<u4").tobytes())
-                        digests.append(hashlib.md5(terms[-1] + counts[-1]).digest())
-                n = np.diff(first)[rows] if rows else np.zeros(0, np.int64)
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(rows, pa.int64())).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, pa.array(n), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["h", "doc_id", "length", "terms", "counts"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "h binary, doc_id bigint, length bigint, terms binary, counts binary")
-
-
-def _frequencies(vectors: DataFrame) -> DataFrame:
-    """(term, df): tasks count what they read before anything is shuffled."""
-
-    def run(batches):
-        held: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        size = 0
-
-        def counted():
-            flat = np.concatenate(held)
-            term, where = np.unique(flat, return_inverse=True)
-            return term, np.bincount(where.ravel(), weights=np.concatenate(counts), minlength=len(term)).astype(np.int64)
-
-        def batch_of(term, n):
-            for x in range(0, len(term), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(term[x : x + 100_000].view(np.int64)), pa.array(n[x : x + 100_000])], ["term", "df"])
 
-        for batch in batches:
-            for x in batch.column(0):
-                held.append(np.frombuffer(x.as_buffer(), np.uint64).copy())
-                counts.append(np.ones(len(held[-1]), np.int64))
-                size += len(held[-1])
-                if size > COUNTED:
-                    term, n = counted()
-                    if len(term) > COUNTED // 2:
-                        yield from batch_of(term, n)
-                        term, n = term[:0], n[:0]
-                    held, counts, size = [term], [n], len(term)
-        if size:
-            yield from batch_of(*counted())
-        T.release()
-
-    return vectors.select("terms").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def _classes(vectors: DataFrame, k: int) -> DataFrame:
-    """One row for each class: h, length, terms, counts, copies, and its k smallest ids."""
+def _classes(docs: DataFrame, k: int) -> DataFrame:
+    """One row for each distinct text: text, copies, and its k smallest ids."""
+    keyed = docs.select(text_digest("text").alias("h"), F.col("doc_id").cast("bigint"), "text").where("text is not null")
     order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last())
-    best = vectors.select("h", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    best = keyed.select("h", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     ids = best.groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-    counted = vectors.groupBy("h").agg(F.count("*").alias("copies"))
-    one = vectors.groupBy("h").agg(*(F.first(c).alias(c) for c in ("length", "terms", "counts")))
-    return one.join(counted, "h").join(ids, "h").select("length", "terms", "counts", "copies", "ids")
+    counted = keyed.groupBy("h").agg(F.count("*").alias("copies"))
+    one = keyed.groupBy("h").agg(F.first("text").alias("text"))
+    return one.join(counted, "h").join(ids, "h").select("text", "copies", "ids")
 
 
-_INDEX = "shard bigint, docs int, vocabulary binary, at binary, doc binary, tf binary, length binary, copies binary, ids array<bigint>, ids_at binary"
+_INDEX = "shard bigint, n_docs bigint, n_words bigint, vocabulary binary, at binary, doc binary, tf binary, length binary, copies binary, ids array<bigint>, ids_at binary"
 
 
 def _indexes(classes: DataFrame, shard_postings: int) -> DataFrame:
     """Stored indexes: postings sorted by term, then by document."""
 
     def built(number, rows):
-        terms = [np.frombuffer(x, np.uint64) for x in rows["terms"]]
+        terms = [t for _, t, _, _, _ in rows]
         flat = np.concatenate(terms)
         doc = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
-        tf = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
+        tf = np.concatenate([c for _, _, c, _, _ in rows]).astype("<u4")
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        parts = (flat[at], np.concatenate((at, [len(flat)])), doc[order], tf[order], np.array(rows["length"], np.int64), np.array(rows["copies"], np.int64))
-        raw = [pa.array([x.tobytes()], pa.binary()) for x in parts]
-        ids = [i for x in rows["ids"] for i in x]
-        ids_at = np.concatenate(([0], np.cumsum([len(x) for x in rows["ids"]])))
+        length, copies = (np.array([r[k] for r in rows], np.int64) for k in (0, 3))
+        raw = [pa.array([x.tobytes()], pa.binary()) for x in (flat[at], np.concatenate((at, [len(flat)])), doc[order], tf[order], length, copies)]
+        ids = [i for r in rows for i in r[4]]
+        ids_at = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])))
         name = (TaskContext.get().partitionId() << 24) + number
-        columns = [pa.array([name], pa.int64()), pa.array([len(terms)], pa.int32()), *raw, pa.array([ids], pa.list_(pa.int64())), pa.array([ids_at.tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _INDEX.split(", ")])
+        numbers = [pa.array([int(x)], pa.int64()) for x in (name, copies.sum(), (copies * length).sum())]
+        return pa.RecordBatch.from_arrays([*numbers, *raw, pa.array([ids], pa.list_(pa.int64())), pa.array([ids_at.tobytes()], pa.binary())], [c.split()[0] for c in _INDEX.split(", ")])
 
     def run(batches):
-        names = ("length", "terms", "counts", "copies", "ids")
-        held: dict[str, list] = {c: [] for c in names}
+        held: list[tuple] = []
         postings = number = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                for c, v in zip(names, row):
-                    held[c].append(v)
-                postings += len(row[1]) // 8
-                if postings >= shard_postings or len(held["ids"]) >= SHARD_DOCS:
+            copies, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for row, length, terms, counts in _bags(batch.column(0)):
+                held.append((length, terms, counts, copies[row], ids[row]))
+                postings += len(terms)
+                if postings >= shard_postings or len(held) >= SHARD_DOCS:
                     yield built(number, held)
-                    held, postings, number = {c: [] for c in names}, 0, number + 1
+                    held, postings, number = [], 0, number + 1
                     T.release()
-        if held["ids"]:
+        if held:
             yield built(number, held)
 
     return classes.mapInArrow(run, _INDEX)
 
 
+def _frequencies(indexes: DataFrame) -> DataFrame:
+    """(term, df) over all documents, copies included, from the shards' lists."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vocabulary, at, doc, copies = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.uint16, np.int64)))
+                df = np.add.reduceat(copies[doc], at[:-1])
+                for x in range(0, len(df), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(vocabulary[x : x + 100_000]), pa.array(df[x : x + 100_000])], ["term", "df"])
+
+    lists = indexes.select("vocabulary", "at", "doc", "copies").mapInArrow(run, "term bigint, df bigint")
+    return lists.groupBy("term").agg(F.sum("df").alias("df"))
+
+
 class ShardIndex:
-    """Postings of one shard by term with block maxima, and by document."""
+    """Postings of one shard; frequent words' contributions by document and their maxima by block of documents."""
 
     def __init__(self, vocabulary, at, doc, tf, length, copies, mean: float):
         self.vocabulary, self.at, self.doc = vocabulary, at, doc.astype(np.int64)
@@ -164,31 +133,23 @@ class ShardIndex:
         tf = tf.astype(float)
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
         self.list_max = np.maximum.reduceat(self.impact, at[:-1])
-        slot = np.repeat(np.arange(len(vocabulary)), np.diff(at))
-        block = self.doc // BLOCK_DOCS
-        cut = np.ones(len(doc), bool)
-        cut[1:] = (slot[1:] != slot[:-1]) | (block[1:] != block[:-1])
-        begin = np.flatnonzero(cut)
-        self.block, self.block_max = block[begin], np.maximum.reduceat(self.impact, begin)
-        self.block_at = np.searchsorted(begin, at)
-        self.n_blocks = -(-self.n_docs // BLOCK_DOCS)
-        self.doc_block = np.arange(self.n_docs) // BLOCK_DOCS
-        by_doc = np.argsort(doc, kind="stable")
-        self.own_slot, self.own_impact = slot[by_doc], self.impact[by_doc]
-        self.own_at = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=self.n_docs))))
-        self.weight = np.zeros(len(vocabulary))
+        self.size = n = np.diff(at)
+        most = min(FREQUENT, FREQUENT_BYTES // (8 * self.n_docs), len(n))
+        often = np.argsort(-n, kind="stable")[:most]
+        often = often[n[often] > 1]
+        self.row = np.full(len(n), -1)
+        self.row[often] = np.arange(len(often))
+        self.grid = np.zeros((self.n_docs, len(often)))
+        own = T.ragged(at[often], n[often])
+        self.grid[self.doc[own], np.repeat(np.arange(len(often)), n[often])] = self.impact[own]
+        self.block_max = np.maximum.reduceat(self.grid, np.arange(0, self.n_docs, BLOCK_DOCS))
+        self.block = np.arange(self.n_docs) // BLOCK_DOCS
 
     def slots(self, terms: np.ndarray) -> np.ndarray:
         """Where each of the terms stands in the vocabulary; -1 where it does not."""
         slot = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[slot] == terms, slot, -1)
 
-    def exact(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents under the query whose weights are set; terms add up in one order everywhere."""
-        n = self.own_at[docs + 1] - self.own_at[docs]
-        own = T.ragged(self.own_at[docs], n)
-        return np.bincount(np.repeat(np.arange(len(docs)), n), weights=self.weight[self.own_slot[own]] * self.own_impact[own], minlength=len(docs))
-
     def _kth(self, score: np.ndarray, docs: np.ndarray, k: int) -> float:
         """The k-th best score, copies counted; nothing where there are fewer."""
         order = np.argsort(-score, kind="stable")
@@ -197,50 +158,50 @@ class ShardIndex:
 
     def search(self, slot: np.ndarray, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k best that reach ``floor``, for terms at ``slot`` of positive weights."""
-        most = weights * self.list_max[slot]
-        order = np.argsort(most, kind="stable")
-        pivot = int(np.searchsorted(np.cumsum(most[order]), floor - EPS)) if floor > 0 else 0
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if pivot >= len(order):
-            return none
-        before, rest = order[:pivot], order[pivot:]
-        n = self.at[slot[rest] + 1] - self.at[slot[rest]]
-        posting = T.ragged(self.at[slot[rest]], n)
-        part = np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights[rest], n), minlength=self.n_docs)
-        bound = part
-        if pivot:
-            n = self.block_at[slot[before] + 1] - self.block_at[slot[before]]
-            entry = T.ragged(self.block_at[slot[before]], n)
-            more = np.bincount(self.block[entry], weights=self.block_max[entry] * np.repeat(weights[before], n), minlength=self.n_blocks)
-            bound = part + more[self.doc_block]
-        live = np.flatnonzero((part > 0) & (bound >= floor - EPS))
-        if len(live) > k:  # what is known of them in part may raise the threshold at once
-            top = live[np.argpartition(-part[live], k - 1)[:k]]
-            floor = max(floor, self._kth(part[top], top, k))
-            live = live[bound[live] >= floor - EPS]
+        row = self.row[slot]
+        rare = np.flatnonzero(row < 0)
+        part = self._read(slot[rare], weights[rare])
+        often = np.flatnonzero(row >= 0)
+        if len(often) and self.n_docs > 4 * k:  # documents that do best in rare words raise the threshold at once
+            top = np.argpartition(-part, 2 * k)[: 2 * k]
+            floor = max(floor, self._kth(part[top] + self.grid[top[:, None], row[often]] @ weights[often], top, k))
+        # lists up to the pivot are not read: what they may add to a document, at most a share of the threshold, is bounded
+        most = weights[often] * self.list_max[slot[often]]
+        order = np.argsort(most / self.size[slot[often]], kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(most[order]), SHARE * floor))
+        before, after = often[order[:pivot]], often[order[pivot:]]
+        part += self._read(slot[after], weights[after])
+        row, weights = row[before], weights[before]
+        bound = part + (self.block_max[:, row] @ weights)[self.block]
+        live = np.flatnonzero(bound >= max(floor - EPS, 1e-12))
         live = live[np.argsort(-bound[live], kind="stable")]
-        self.weight[slot] = weights
-        docs, scores = none
-        step = 64
-        for x in range(0, len(live), step):
-            if bound[live[x]] < floor - EPS:
-                break
-            docs = np.concatenate((docs, live[x : x + step]))
-            scores = np.concatenate((scores, self.exact(live[x : x + step])))
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        x, step = 0, 32
+        while x < len(live) and bound[live[x]] >= floor - EPS:
+            some = live[x : x + step]
+            docs = np.concatenate((docs, some))
+            scores = np.concatenate((scores, part[some] + self.grid[some[:, None], row] @ weights))
             floor = max(floor, self._kth(scores, docs, k))
-            good = scores >= floor - EPS
+            good = (scores >= floor - EPS) & (scores > 0)
             docs, scores = docs[good], scores[good]
-        self.weight[slot] = 0.0
-        return docs, scores
+            x, step = x + step, min(2 * step, 512)
+        return docs, np.round(scores, 9)
 
+    def _read(self, slot: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the lists at ``slot`` add to each document."""
+        posting = T.ragged(self.at[slot], self.size[slot])
+        return np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights, self.size[slot]), minlength=self.n_docs).astype(float)
 
-def _block_of(rows) -> tuple:
-    """Queries (q, terms, weights, floor, home) of one block, and the distinct terms of all."""
-    terms = [np.array([x.term for x in r.q], np.int64).view(np.uint64) for r in rows]
-    distinct, which = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.uint64), return_inverse=True)
-    at = np.concatenate(([0], np.cumsum([len(t) for t in terms]))).astype(np.int64)
-    weights = np.array([x.w for r in rows for x in r.q])
-    return [bytes(r.h) for r in rows], distinct, which.ravel(), at, weights, np.array([r.floor for r in rows], float), np.array([r.home for r in rows], np.int64)
+
+def _block_of(rows: pa.Table) -> tuple:
+    """Queries (h, floor, home, q: terms and weights) of one block: names, distinct terms, and each one's own."""
+    rows = rows.combine_chunks()
+    lists = rows["q"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    at = np.asarray(lists.offsets).astype(np.int64)
+    terms, weights = (lists.values.field(c).to_numpy()[at[0] : at[-1]] for c in ("term", "w"))
+    distinct, which = np.unique(terms.view(np.uint64), return_inverse=True)
+    return rows["h"].to_pylist(), distinct, which.ravel().astype(np.int32), at - at[0], weights, rows["floor"].to_numpy(), rows["home"].to_numpy()
 
 
 def _search(indexes: DataFrame, shipped, mean: float, k: int, first: bool, homes: int) -> DataFrame:
@@ -285,29 +246,33 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, block_bytes: int =
     """(query_id, rank, doc_id, score) of ``queries`` (doc_id, text) against ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     with arrow_rows(spark, 1000):
-        vectors = materialize(_vectors(docs), "vectors")
-        indexes = materialize(_indexes(_classes(vectors, k), shard_postings), "indexes")
-        asked = materialize(_vectors(queries), "queries")
-        n, total = vectors.agg(F.count("*"), F.sum("length")).first()
-        n, mean = n or 0, (total or 1) / max(1, n or 1)
-        weighted, size = _weighted(asked, _frequencies(vectors), n)
+        indexes = materialize(_indexes(_classes(docs, k), shard_postings), "indexes")
+        asked = queries.select(F.col("doc_id").alias("query_id"), text_digest("text").alias("h"), "text").where("text is not null")
+    n, total = indexes.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    n, mean = n or 0, (total or 1) / max(1, n or 1)
+    with arrow_rows(spark, 1):  # a row is a whole shard
+        df = materialize(_frequencies(indexes), "frequencies")
+    with arrow_rows(spark, 1000):
+        weighted, size = _weighted(asked.groupBy("h").agg(F.first("text").alias("text")), df, n)
     shards = {r.shard: i for i, r in enumerate(indexes.select("shard").orderBy("shard").collect())}  # one number for each shard
     homes = max(1, -(-FIRST_DOCS * len(shards) // max(1, n)))
     blocks = max(1, -(-size // block_bytes))
-    found = None
-    with arrow_rows(spark, 1):  # a row is a whole shard
-        for b in range(blocks):
-            rows = weighted.where(F.pmod("home", F.lit(blocks)) == b)
-            for first in (True, False):
-                got = rows.withColumn("floor", F.lit(0.0)) if first else rows.join(floors, "h", "left").fillna(0.0, ["floor"])
-                # at most about block_bytes, whatever the corpus
-                shipped = spark.sparkContext.broadcast((*_block_of(got.collect()), shards))
-                out = materialize(_search(indexes, shipped, mean, k, first, homes), "found")
-                shipped.destroy()
-                found = out if found is None else found.union(out)
-                floors = _best(out, k).where(F.col("rank") == k).select("h", F.col("score").alias("floor"))
-    lists = _best(found, k).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("best"))
-    rows = asked.select(F.col("doc_id").alias("query_id"), "h").join(lists, "h").select("query_id", F.explode("best").alias("r"))
+    found = []
+    for b in range(blocks):
+        rows = weighted.where(F.pmod("home", F.lit(blocks)) == b).withColumn("floor", F.lit(0.0))
+        for first in (True, False):
+            # at most about block_bytes, whatever the corpus
+            shipped = spark.sparkContext.broadcast((*_block_of(rows.toArrow()), shards))
+            with arrow_rows(spark, 1):
+                found.append(materialize(_search(indexes, shipped, mean, k, first, homes), "found"))
+            shipped.destroy()
+            if len(shards) <= homes:
+                break
+            floors = _best(found[-1], k).where(F.col("rank") == k).select("h", F.col("score").alias("floor"))
+            rows = rows.drop("floor").join(floors, "h", "left").fillna(0.0, ["floor"])
+    every = reduce(DataFrame.union, found)
+    lists = _best(every, k).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("best"))
+    rows = asked.select("query_id", "h").join(lists, "h").select("query_id", F.explode("best").alias("r"))
     return rows.select("query_id", "r.rank", "r.doc_id", "r.score")
 
 
@@ -316,12 +281,10 @@ def _weighted(asked: DataFrame, df: DataFrame, n: int) -> tuple[DataFrame, int]:
 
     def run(batches):
         for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], ["h", "term"])
+            for row, _, terms, _ in _bags(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(terms), row))), pa.array(terms.view(np.int64))], ["h", "term"])
 
-    one = asked.groupBy("h").agg(F.first("terms").alias("terms"))
-    own = one.mapInArrow(run, "h binary, term bigint").join(df, "term")
+    own = asked.select("h", "text").mapInArrow(run, "h binary, term bigint").join(df, "term")
     own = own.withColumn("w", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     lists = own.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("q"))
     weighted = materialize(lists.withColumn("home", F.pmod(F.xxhash64("h"), F.lit(1 << 30))), "weighted")
