@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .graph import components
-from .shared import arrow_rows, materialize, table, text_digest
+from .shared import arrow_rows, forget, materialize, table, text_digest
 
 SIZE = 4
 PERCENT = 85
@@ -66,8 +66,8 @@ def shingle_sets(column, size: int = SIZE):
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    """Counts of shingles by hash group, a group for two to four shingles; 255 stands for 255 or more."""
-    bits = min(16, max(6, ((len(grams) - 1) // 4).bit_length()))
+    """Counts of shingles by hash group, at least a group for each shingle; 255 stands for 255 or more."""
+    bits = min(16, max(6, len(grams).bit_length()))
     return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -394,15 +394,20 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
 
 def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, component (null for an empty set) and ``carried`` for every row."""
-    profile = materialize(_profile(docs, size, percent, carried), "profile")
-    nodes = profile.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("routes").alias("routes"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    points = nodes.select("node", "n", "vector")
-    tokens = nodes.select("node", F.explode("routes").alias("token"))
+    more = [carried] if carried else []
+    wide = materialize(_profile(docs, size, percent, carried), "profile")
+    profile = materialize(wide.select("doc_id", "n", "digest", *more), "rows")
+    nodes = wide.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "vector", "routes")))
+    routed = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "routed")
+    forget(wide)
+    tokens = routed.select("node", F.explode("routes").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
     # all buckets of one pivot make one group, so that a pair meets once and not in every shingle it shares
     groups = tokens.join(shared, "token").where("node <> pivot").select("pivot", "node").distinct()
     groups = materialize(groups, "groups")
+    nodes = materialize(routed.drop("routes"), "nodes")
+    forget(routed)
+    points = nodes.select("node", "n", "vector")
     stars = materialize(_bounded(groups.select(F.col("pivot").alias("a"), F.col("node").alias("b")), points, percent), "stars")
     one_each = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialize(_verify(docs, one_each, nodes, size, percent), "links")
@@ -423,7 +428,6 @@ def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None
     named = nodes.select("node", "digest", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_digest = named.join(smallest, "component").select("digest", "component", "component_id")
-    more = [carried] if carried else []
     out = profile.select("doc_id", "n", "digest", *more).join(by_digest, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", *more)
 

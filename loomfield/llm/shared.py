@@ -34,7 +34,15 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.stored_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
