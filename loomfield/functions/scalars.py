@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,3 +59,7 @@ def season_of(day, first_month: int = 8) -> Column:
 def name_letters(x) -> Column:
     """Lower-case letters a to z alone; accents of Latin letters go."""
     return F.regexp_replace(F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), "[^a-z]", "")
+
+
+def snake_case(name: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomfield.plans import events_lineitem, models, repairs
+from loomfield.plans import events_lineitem, models, plays, repairs, texts
 
-_PARTS = (events_lineitem, models, repairs)
+_PARTS = (events_lineitem, models, repairs, plays, texts)
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,3 +46,37 @@ def write_guarded(df: DataFrame, path: str, least_rows: int) -> int:
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def flatten_struct(df: DataFrame, column: str) -> DataFrame:
+    """The fields of a struct as columns of their own, named after it."""
+    fields = df.schema[column].dataType.names
+    return df.select(*(c for c in df.columns if c != column), *(F.col(f"{column}.{f}").alias(f"{column}_{f}") for f in fields))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, which the whole cluster shares; the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/loomfield/{name}-{uuid.uuid4().hex}"
+
+
+def write_csv_by(df: DataFrame, path: str, by: str) -> None:
+    """One folder of CSV files with headers for each value of ``by``."""
+    df.repartition(by).write.option("header", True).partitionBy(by).csv(path)
+
+
+def read_csv_seasons(spark: SparkSession, path: str, name: str = "season") -> DataFrame:
+    """All season files under ``path`` as one table, schema inferred, the season from each file's own path."""
+    files = spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).csv(path)
+    return files.withColumn(name, F.regexp_extract(F.input_file_name(), rf"{name}=(\d+)", 1).cast("int"))
+
+
+def check_columns(df: DataFrame, expected: list[str]) -> None:
+    """Raise where columns are missing, surplus or in another order than a model was trained on."""
+    missing, more = [c for c in expected if c not in df.columns], [c for c in df.columns if c not in expected]
+    if missing or more or df.columns != expected:
+        raise ValueError(f"missing {missing}, surplus {more}" if missing or more else "columns are in another order")
+
+
+def numeric_columns(df: DataFrame, *leave_out: str) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name not in leave_out and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
