@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops as T
-from .shared import arrow_rows, materialize, table, text_digest
+from .shared import arrow_rows, materialize, partitions_for, table, text_digest
 
 K = 10
 K1, B = 0.9, 0.4
 #: Postings and documents of a shard, documents of a block, bytes of a block of queries.
-SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 65_000, 64, 8 << 20
+SHARD_POSTINGS, SHARD_DOCS, BLOCK_DOCS, BLOCK_BYTES = 2_000_000, 65_000, 64, 24 << 20
+#: Bytes of text for which a task that builds indexes is worth while.
+TASK_BYTES = 4 << 20
 #: Frequent words of a shard at most, and bytes that their lists by document may take.
-FREQUENT, FREQUENT_BYTES = 384, 32 << 20
+FREQUENT, FREQUENT_BYTES = 256, 32 << 20
 #: Share of the threshold that lists which are not read may add.
 SHARE = 0.8
 #: Documents in which a query is searched for its first threshold, about.
@@ -188,9 +190,14 @@ class ShardIndex:
         return docs, np.round(scores, 9)
 
     def _read(self, slot: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the lists at ``slot`` add to each document."""
-        posting = T.ragged(self.at[slot], self.size[slot])
-        return np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights, self.size[slot]), minlength=self.n_docs).astype(float)
+        """What the lists at ``slot`` add to each document: short lists together, long ones one after the other."""
+        begin, n = self.at[slot], self.size[slot]
+        short = n < 256
+        posting = T.ragged(begin[short], n[short])
+        out = np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights[short], n[short]), minlength=self.n_docs).astype(float)
+        for x, m, w in zip(begin[~short].tolist(), n[~short].tolist(), weights[~short].tolist()):
+            out[self.doc[x : x + m]] += w * self.impact[x : x + m]
+        return out
 
 
 def _block_of(rows: pa.Table) -> tuple:
@@ -246,7 +253,9 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = K, block_bytes: int =
     """(query_id, rank, doc_id, score) of ``queries`` (doc_id, text) against ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     with arrow_rows(spark, 1000):
-        indexes = materialize(_indexes(_classes(docs, k), shard_postings), "indexes")
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        tasks = max(1, min(partitions_for(spark), -(-size // TASK_BYTES)))
+        indexes = materialize(_indexes(_classes(docs, k).coalesce(tasks), shard_postings), "indexes")
         asked = queries.select(F.col("doc_id").alias("query_id"), text_digest("text").alias("h"), "text").where("text is not null")
     n, total = indexes.agg(F.sum("n_docs"), F.sum("n_words")).first()
     n, mean = n or 0, (total or 1) / max(1, n or 1)
