@@ -2,7 +2,9 @@
 
 ``plan_packing`` sees only the histogram of piece lengths, of at most ``capacity`` bins whatever the corpus.
 It enumerates patterns of one to four lengths that fill a sequence, fits how often to use each to the
-histogram by non-negative least squares, rounds down, and packs what is left best-fit over the histogram.
+histogram by non-negative least squares, rounds down, then up where pieces are left, fits anew what is left while that
+places pieces, and packs the rest best-fit over the histogram. How many patterns a length takes part in is bounded by
+``partners``, which decides how much is left to best fit, never whether a piece is packed.
 ``pack`` numbers the pieces of each length with a salted, two-level count (a length may hold a third of all
 pieces), and looks up the sequence and offset of each number in the plan.
 
@@ -68,74 +70,100 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer_path: str | None = None, capac
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares by multiplicative steps; keeps to the non-negative side throughout."""
-    ata, atb = a.T @ a, a.T @ b
-    x = np.full(a.shape[1], max(float(b.sum()) / max(1.0, float(a.sum())), 1e-9))
+def nnls(index: np.ndarray, column: np.ndarray, b: np.ndarray, n: int, rounds: int = 400) -> np.ndarray:
+    """Non-negative least squares for a sparse matrix of ones at (index, column): accelerated projected gradients,
+    begun anew whenever a step turns back. A row of a length weighs by it, and by the inverse root of what it holds."""
+    scale = np.arange(len(b)) / len(b) / np.sqrt(np.maximum(b, 1.0))
+    value, target = scale[index], b * scale
+    times = lambda v: np.bincount(index, weights=value * v[column], minlength=len(b))
+    turned = lambda r: np.bincount(column, weights=value * r[index], minlength=n)
+    probe = np.ones(n)
+    for _ in range(20):  # the largest eigenvalue bounds the step
+        probe = turned(times(probe))
+        norm = float(np.linalg.norm(probe))
+        probe /= norm
+    step = 1 / (1.05 * norm)
+    x = y = np.zeros(n)
+    t = 1.0
     for _ in range(rounds):
-        x *= atb / np.maximum(ata @ x, 1e-12)
+        gradient = turned(times(y) - target)
+        new = np.maximum(0.0, y - step * gradient)
+        if gradient @ (new - x) > 0:
+            t = 1.0
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y = new + (t - 1) / later * (new - x)
+        x, t = new, later
     return x
 
 
-def _patterns(counts: np.ndarray, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Patterns of two to four present lengths that fill a sequence exactly, the scarcest combinations last."""
-    present = np.flatnonzero(counts)
-    present = present[(present > 0) & (present < capacity)][::-1]
-    have = counts > 0
-    out: dict[tuple[int, ...], None] = {}
-    for a in present.tolist():  # one partner
-        if have[capacity - a] and capacity - a <= a:
-            out.setdefault((a, capacity - a))
-    weight = counts.astype(float)
-    for a in present.tolist():  # two partners: the most frequent ones
+def _patterns(counts: np.ndarray, capacity: int, partners: int) -> list[tuple[int, ...]]:
+    """Patterns of two to four present lengths that fill a sequence exactly, longest first. Every length takes its one
+    partner, ``partners`` pairs of the most frequent and as many of evenly spread partners, and half as many triples, so each size of
+    pattern has a share of its own, whatever the others find."""
+    have, weight = counts > 0, counts.astype(float)
+    have[[0, capacity]] = False
+    out: set[tuple[int, ...]] = set()
+
+    def pairs(rest: int, most: int, longest: int) -> list[tuple[int, int]]:
+        x = np.arange(max(1, rest - longest), rest // 2 + 1)
+        x = x[have[x] & have[rest - x]] if len(x) else x
+        if len(x) > 2 * most:
+            often = np.argsort(-np.minimum(weight[x], weight[rest - x]), kind="stable")[:most]
+            x = x[np.unique(np.concatenate((often, np.linspace(0, len(x) - 1, most).astype(int))))]
+        return [(rest - k, k) for k in x.tolist()]
+
+    for a in np.flatnonzero(have)[::-1].tolist():
         rest = capacity - a
-        b = np.arange(1, rest // 2 + 1)
-        b = b[have[b] & have[rest - b] & (rest - b <= a)] if len(b) else b
-        for x in b[np.argsort(-np.minimum(weight[b], weight[rest - b]), kind="stable")][:2].tolist():
-            out.setdefault((a, rest - x, x))
-    top = present[np.argsort(-weight[present], kind="stable")][:48]
-    for i, a in enumerate(top.tolist()):  # three partners among frequent lengths
-        for b in top[i:].tolist():
-            rest = capacity - a - b
-            if rest < 2:
-                continue
-            c = np.arange(1, rest // 2 + 1)
-            c = c[have[c] & have[rest - c]]
-            for x in c[np.argsort(-np.minimum(weight[c], weight[rest - c]), kind="stable")][:1].tolist():
-                out.setdefault(tuple(sorted((a, b, rest - x, x), reverse=True)))
-    return list(out)[:most]
-
-
-def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, most_patterns: int = 2500) -> list[tuple[tuple[int, ...], int]]:
+        if rest <= a and have[rest]:
+            out.add((a, rest))
+        out.update((a, *p) for p in pairs(rest, partners, a))
+        third = np.flatnonzero(have[: min(a, rest - 2) + 1]) if rest > 2 else np.zeros(0, np.int64)
+        for b in third[np.unique(np.linspace(0, len(third) - 1, partners).astype(int))].tolist() if len(third) else []:
+            out.update(tuple(sorted((a, b, *p), reverse=True)) for p in pairs(rest - b, max(1, partners // 4), a))
+    return sorted(out, reverse=True)
+
+
+def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, partners: int = 3, refits: int = 8) -> list[tuple[tuple[int, ...], int]]:
     """(pattern of lengths, repeats) that use every piece of the histogram ``counts`` (index: length) once."""
+    return _fitted(counts, capacity, partners, refits)[0]
+
+
+def _fitted(counts: np.ndarray, capacity: int = CAPACITY, partners: int = 3, refits: int = 8) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """The plan, and how many pieces of less than a sequence the patterns left to best fit."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    patterns = _patterns(left, capacity, most_patterns)
-    if patterns:
-        a = np.zeros((capacity, len(patterns)), np.float32)
-        for k, p in enumerate(patterns):
-            for x in p:
-                a[x, k] += 1
-        # rows scaled so that scarce lengths weigh as much as frequent ones
-        scale = 1 / np.sqrt(np.maximum(left[:capacity], 1)).astype(np.float32)
-        repeats = np.floor(nnls(a * scale[:, None], left[:capacity] * scale, 120)).astype(np.int64)
-        for k in sorted(range(len(patterns)), key=lambda k: (-patterns[k][0], -repeats[k])):
-            p = patterns[k]
-            most = min(int(left[x]) // p.count(x) for x in set(p))
-            n = min(int(repeats[k]), most)
-            if n > 0:
-                plan.append((p, n))
-                for x in p:
-                    left[x] -= n
-    return plan + _best_fit(left, capacity)
+    for _ in range(refits):
+        # as many documents as a sequence must hold on average, and one more: others would leave long pieces without short ones
+        fill = max(1.0, left.sum() * capacity / max(1, int(left @ np.arange(capacity + 1))))
+        patterns = [p for p in _patterns(left, capacity, partners) if len(p) <= fill + 1]
+        if not patterns:
+            break
+        sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
+        index = np.fromiter((x for p in patterns for x in p), np.int64, int(sizes.sum()))
+        fit = nnls(index, np.repeat(np.arange(len(patterns)), sizes), left.astype(float), len(patterns))
+        before = int(left.sum())
+        # rounded down, then up where the fraction is largest and pieces are left
+        for repeats in (np.floor(fit + 1e-6).astype(np.int64), (fit > 0.05).astype(np.int64)):
+            for k in np.argsort(-(fit - np.floor(fit)), kind="stable").tolist() if repeats.max() == 1 else np.flatnonzero(repeats).tolist():
+                n = int(repeats[k])
+                if n:
+                    uses = {x: patterns[k].count(x) for x in patterns[k]}
+                    n = min(n, *(int(left[x]) // m for x, m in uses.items()))
+                if n > 0:
+                    plan.append((patterns[k], n))
+                    for x, m in uses.items():
+                        left[x] -= n * m
+        if before - int(left.sum()) < 0.002 * before:
+            break
+    return plan + _best_fit(left, capacity), int(left.sum())
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Longest first; each time the best filling of the rest: an exact pair if there is one, else the longest."""
-    plan: list[tuple[tuple[int, ...], int]] = []
+    left, plan = left.copy(), []
     for a in range(capacity, 0, -1):
         while left[a]:
             left[a] -= 1

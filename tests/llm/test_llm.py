@@ -190,27 +190,36 @@ def test_tokens_and_packing(spark, docs, none):
     for t in (r[1] for r in rows()):
         ids, _ = whole.encode([t])
         assert ids.tolist() == whole.whole.encode(t or "", add_special_tokens=False).ids
-    got = packing.pack_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).toPandas()
-    by_doc = got.sort_values(["doc_id", "piece"]).groupby("doc_id")
-    for i, part in by_doc:
-        ids = np.frombuffer(b"".join(part["ids"]), "<u4")
-        assert ids[-1] == 0 and (part["start"] == part["length"].cumsum() - part["length"]).all() and (part["length"].iloc[:-1] == 2048).all()
-        assert [zlib.crc32(x) for x in part["ids"]] == part["ids_crc32"].tolist()
+    got = packing.pack_documents(docs).toPandas()
+    want = []
+    for i, t, *_ in rows():  # every row's whole ids and the end id, cut by brute force
+        ids = np.array([*whole.whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(str(i), p, 2048 * p, ids[2048 * p : 2048 * (p + 1)].tobytes()) for p in range(-(-len(ids) // 2048))]
+    found = [(str(None if i != i else int(i)), p, s, bytes(x)) for i, p, s, x in zip(got["doc_id"], got["piece"], got["start"], got["ids"])]
+    assert sorted(found) == sorted(want)
+    assert [zlib.crc32(x) for x in got["ids"]] == got["ids_crc32"].tolist() and [len(x) // 4 for x in got["ids"]] == got["length"].tolist()
     seq = got.sort_values(["sequence_id", "offset"])
     assert (seq["offset"] == seq.groupby("sequence_id")["length"].cumsum() - seq["length"]).all()
     assert seq.groupby("sequence_id")["length"].sum().max() <= 2048
     assert packing.pack_documents(none).count() == 0
 
 
-def test_plan_uses_every_piece():
-    counts = np.bincount(np.random.default_rng(0).integers(1, 2049, 5000), minlength=2049)
-    used, n = np.zeros(2049, int), 0
-    for pattern, repeats in packing.plan_packing(counts):
-        assert sum(pattern) <= 2048
-        n += repeats
-        for x in pattern:
-            used[x] += repeats
-    assert (used == counts).all() and n <= 1.01 * (counts * np.arange(2049)).sum() / 2048 + 1
+def test_plan_uses_every_piece_and_leaves_little_to_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = np.zeros(2049, np.int64)
+    for r in packing.tokenize_pieces(docs, keep_ids=False).groupBy("length").count().collect():
+        own[r["length"]] = r["count"]
+    even = np.bincount(np.random.default_rng(0).integers(1, 2049, 5000), minlength=2049)
+    for counts, most_left in ((own, 0.05), (own * 25, 0.05), (even, 1.0), (np.bincount([2048, 1, 1024, 1024, 7], minlength=2049), 1.0), (own * 0, 0)):
+        used, n = np.zeros(2049, np.int64), 0
+        plan, left = packing._fitted(counts)
+        for pattern, repeats in plan:
+            assert sum(pattern) <= 2048
+            n += repeats
+            for x in pattern:
+                used[x] += repeats
+        assert (used == counts).all() and n <= 1.01 * (counts * np.arange(2049)).sum() / 2048 + 1
+        assert left <= most_left * counts[:2048].sum()
 
 
 def test_token_files(spark, docs, none):
