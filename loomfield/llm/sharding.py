@@ -5,8 +5,12 @@ fixed order, applies Spark's Fisher-Yates ``shuffle`` to it, and numbers its row
 buckets before it. Row number p goes to shard p mod n at slot p div n, so that shards' row counts are at most
 one apart (the law ``rows``) and every shard is a uniform draw, also where a third of all rows are equal.
 
+The order follows from the seed and the rows alone: Spark's shuffle draws by seed and partition number, and a bucket's
+partition and its place in it depend on the number of buckets, hence on the rows, not on settings or on how the input is cut.
+
 Nulls are hashed and kept like any value, a null text has no bytes, no rows give no rows. Rows that are equal in
-every column share a bucket and get a slot each; copies of a text under other ids scatter like any rows. Columns named ``shard`` or ``slot`` are replaced; all others stay.
+every column are counted first and scatter by their number, so none of them fills a bucket; copies of a text under
+other ids scatter like any rows. Columns named ``shard`` or ``slot`` are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from .shared import table
 SHARDS = 8
 SEED = 20_240_607
 BUCKET_BYTES = 8 << 20
+#: Partitions of buckets at most; beyond that a partition holds several buckets, one after the other.
+MOST_PARTITIONS = 8192
 #: Offsets of buckets are broadcast up to this many rows of 16 bytes, and joined by a shuffle beyond.
 MOST_BROADCAST = 200_000
 
@@ -37,10 +43,13 @@ def external_shuffle(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED, s
     size = size if size is not None else F.lit(64)
     stats = df.agg(F.sum(size), F.count("*")).first()
     buckets = max(1, math.ceil((stats[0] or 0) / bucket_bytes), math.ceil(stats[1] / 50_000))
-    row = F.struct(*names)
-    keyed = df.select(row.alias("_row"), F.xxhash64(F.lit(seed), *names).alias("_h"))
-    keyed = keyed.select("_row", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.lit(buckets)).alias("_bucket"), "_h")
-    gathered = keyed.groupBy("_bucket").agg(F.collect_list(F.struct("_h", "_row")).alias("_rows"))
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *names)).withColumn("_n", F.lit(1))
+    if not hashed.groupBy("_h").count().where("count > 1").isEmpty():
+        hashed = hashed.groupBy("_h", *names).agg(F.count("*").alias("_n")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    bucket = F.pmod(F.xxhash64("_h", "_n", F.lit(seed + 1)), F.lit(buckets))
+    keyed = hashed.select(F.struct(*names).alias("_row"), bucket.alias("_bucket"), "_h")
+    dealt = keyed.repartition(min(buckets, MOST_PARTITIONS), "_bucket")
+    gathered = dealt.groupBy("_bucket").agg(F.collect_list(F.struct("_h", "_row")).alias("_rows"))
     gathered = gathered.sortWithinPartitions("_bucket").select(
         "_bucket", F.shuffle(F.sort_array("_rows"), F.lit(seed)).alias("_rows")
     )
