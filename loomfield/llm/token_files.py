@@ -9,7 +9,8 @@ first document's number and the ids already read of it. A document over many blo
 
 ``training_order`` cuts the files into sequences of a fixed length, numbers them, and gives each a global slot
 by a keyed Feistel permutation with cycle-walking: a bijection of 0 .. n - 1 that needs no memory and no sort.
-Range partitions of slots write shards of a fixed stride, so that reading resumes at any slot by arithmetic.
+A shard is a range of slots; ``write_training_shards`` stores each as one run of sequences of a fixed stride, and
+``read_training_shards`` resumes at any slot: the shard and the offset in it follow by arithmetic.
 
 Null and empty texts are documents of no ids. Repeated rows are documents of their own. No rows give no rows.
 """
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, partitions_for, table
+from .shared import arrow_rows, materialize, table
 from .tokens import default_tokenizer_path, text_blocks, worker_tokenizer
 
 EOD = 49407
 BLOCK = 1 << 16
 SEQUENCE = 2048
-SHARD_SLOTS = 4096
+SHARD_SLOTS = 2048
+#: Files whose numbers are broadcast, of 16 bytes each; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 200_000
 KEY = 0x5DEECE66D
 _KINDS = "kind string, file bigint, block bigint, payload binary, doc_id bigint, ordinal bigint"
 
@@ -89,10 +92,10 @@ def token_counts(blocks: DataFrame, *, eod: int = EOD) -> DataFrame:
 
     seen = materialize(blocks.select("file", "block", "payload").mapInArrow(scan, "file bigint, block bigint, size bigint, n bigint, open bigint, ends array<int>"), "ends")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # prefix scan over block summaries: documents and ids before, and where the last separator before ended
-    placed = seen.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at"))
+    # prefix scan over block summaries alone: documents and ids before, and where the last separator before ended
+    placed = seen.drop("ends").select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at"))
     placed = placed.withColumn("begin", F.coalesce(F.max(F.when(F.col("n") > 0, F.col("at") + F.col("size") - F.col("open"))).over(before), F.lit(0)))
-    each = placed.where("n > 0").select("file", "first", "at", "begin", "ends", F.posexplode("ends").alias("k", "e"))
+    each = placed.where("n > 0").join(seen.select("file", "block", "ends"), ["file", "block"]).select("file", "first", "at", "begin", "ends", F.posexplode("ends").alias("k", "e"))
     start = F.when(F.col("k") == 0, F.col("begin")).otherwise(F.col("at") + F.expr("try_element_at(ends, k)") + 1)
     return each.select("file", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("at") + F.col("e") - start).alias("n_tokens"))
 
@@ -122,17 +125,18 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.ndarra
     return out.astype(np.int64)
 
 
-def training_order(blocks: DataFrame, *, length: int = SEQUENCE, block: int = BLOCK, key: int = KEY, shard_slots: int = SHARD_SLOTS, pad: int = EOD) -> DataFrame:
-    """(slot, shard, at, file, sequence, n_tokens, payload): sequences of ``length`` ids in training order.
+def training_order(blocks: DataFrame, *, length: int = SEQUENCE, block: int = BLOCK, key: int = KEY, pad: int = EOD) -> DataFrame:
+    """(slot, file, sequence, n_tokens, payload): sequences of ``length`` ids with their slots in training order.
 
     ``block`` is a multiple of ``length``, so no sequence crosses blocks; a file's last sequence is padded.
     """
     sizes = blocks.groupBy("file").agg(F.sum(F.ceil(F.octet_length("payload") / (2 * length))).cast("bigint").alias("n"))
+    sizes = materialize(sizes, "sizes")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total, files = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     per = block // length
-    placed = blocks.join(starts, "file").select("file", "block", "first", "payload")
+    placed = blocks.join(F.broadcast(starts) if files <= MOST_BROADCAST else starts, "file").select("file", "block", "first", "payload")
 
     def run(batches):
         for batch in batches:
@@ -149,23 +153,55 @@ def training_order(blocks: DataFrame, *, length: int = SEQUENCE, block: int = BL
                     ["slot", "file", "sequence", "n_tokens", "payload"],
                 )
 
-    spread = placed.mapInArrow(run, "slot bigint, file bigint, sequence bigint, n_tokens bigint, payload binary")
-    shard = F.floor(F.col("slot") / shard_slots)
-    parts = max(1, min(-(-total // shard_slots), 16 * partitions_for(blocks.sparkSession)))
-    ordered = spread.select("slot", shard.alias("shard"), ((F.col("slot") % shard_slots) * 2 * length).alias("at"), "file", "sequence", "n_tokens", "payload")
-    return ordered.repartitionByRange(parts, "slot").sortWithinPartitions("slot")
+    return placed.mapInArrow(run, "slot bigint, file bigint, sequence bigint, n_tokens bigint, payload binary")
 
 
-def write_training_shards(ordered: DataFrame, path: str) -> None:
-    """One folder per shard; rows of equal size in order of slots."""
-    ordered.write.partitionBy("shard").parquet(path)
+_SHARD = "shard bigint, first bigint, stride int, file array<bigint>, sequence array<bigint>, n_tokens array<bigint>, data binary"
 
 
-def resume(ordered: DataFrame, slot: int) -> DataFrame:
-    """Sequences from ``slot`` on: the shard and the offset follow from the slot."""
-    return ordered.where((F.col("shard") >= slot // SHARD_SLOTS) & (F.col("slot") >= slot)).orderBy("slot")
+def write_training_shards(ordered: DataFrame, *, length: int = SEQUENCE, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The stored shards: ``data`` holds the shard's sequences in order of slots, each ``stride`` bytes."""
+
+    def one(shard, rows):
+        slot, file, sequence, used, payload = zip(*rows)
+        arrays = [pa.array([list(x)], pa.list_(pa.int64())) for x in (file, sequence, used)]
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([slot[0]]), pa.array([2 * length], pa.int32()), *arrays, pa.array([b"".join(payload)], pa.binary())], [c.split()[0] for c in _SHARD.split(", ")])
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if held and row[0] // shard_slots != at:
+                    yield one(at, held)
+                    held = []
+                at = row[0] // shard_slots
+                held.append(row)
+        if held:
+            yield one(at, held)
+
+    # a slot is known before it is written, so nothing is sampled; a shard lies in one task
+    dealt = ordered.repartition(F.floor(F.col("slot") / shard_slots)).sortWithinPartitions("slot")
+    return materialize(dealt.mapInArrow(run, _SHARD), "shards")
+
+
+def read_training_shards(shards: DataFrame, slot: int = 0, *, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(slot, shard, at, file, sequence, n_tokens, payload) from ``slot`` on; shards before it are not read. In each
+    shard rows come in order of slots, ``at`` is where the sequence begins in ``data``."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, first, stride, file, sequence, used, data in zip(*batch.columns):
+                first, stride, data, n = first.as_py(), stride.as_py(), data.as_buffer(), len(file)
+                k = np.arange(max(0, slot - first), n)
+                payload = pa.array([data[i * stride : (i + 1) * stride].to_pybytes() for i in k.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(first + k), pa.array([shard.as_py()] * len(k), pa.int64()), pa.array(k * stride), *(x.values.slice(int(k[0]) if len(k) else 0, len(k)) for x in (file, sequence, used)), payload], ["slot", "shard", "at", "file", "sequence", "n_tokens", "payload"])
+
+    from_there = shards.where(F.col("shard") >= slot // shard_slots)
+    return from_there.mapInArrow(run, "slot bigint, shard bigint, at bigint, file bigint, sequence bigint, n_tokens bigint, payload binary")
 
 
 def op8_feistel_order(spark, sf_dir: str) -> DataFrame:
     blocks, _ = write_token_files(table(spark, sf_dir, "documents"))
-    return training_order(blocks).select("slot", "shard", "at", "file", "sequence", "n_tokens", F.crc32("payload").alias("payload_crc32"), "payload")
+    with arrow_rows(spark, 64):  # rows of payloads and whole shards
+        shards = write_training_shards(training_order(blocks))
+    return read_training_shards(shards).select("slot", "shard", "at", "file", "sequence", "n_tokens", F.crc32("payload").alias("payload_crc32"), "payload")

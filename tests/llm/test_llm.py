@@ -176,15 +176,44 @@ def test_decontaminate(spark, docs, none, block_bytes):
 
 
 def test_sharding(spark, docs, none):
-    got = sharding.external_shuffle(docs, size=sharding.row_bytes(), bucket_bytes=4000).collect()
-    slots = defaultdict(list)
-    for r in got:
-        slots[r.shard].append(r.slot)
-    assert len(got) == len(rows()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    more = docs.unionByName(docs.where("doc_id = 5")).unionByName(spark.createDataFrame([(9, "same row", None, None, None)] * 40, SCHEMA))
+    placed = []
+    for parts, adaptive, cut in ((8, "true", 1), (3, "true", 5), (5, "false", 2)):  # the order follows from seed and rows alone
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        placed.append([tuple(r) for r in sharding.external_shuffle(more.repartition(cut), size=sharding.row_bytes(), bucket_bytes=4000).collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(placed[0], key=str) == sorted(placed[1], key=str) == sorted(placed[2], key=str)
+    other = sharding.external_shuffle(more, size=sharding.row_bytes(), bucket_bytes=4000, seed=1).collect()
+    assert sorted(map(str, other)) != sorted(map(str, placed[0]))
+    names = [c for c in docs.columns if c != "shard"]
+    want = Counter(tuple(r[c] for c in names) for r in more.collect())
+    got = sharding.external_shuffle(more, size=sharding.row_bytes(), bucket_bytes=4000)
+    assert got.columns == [*names, "shard", "slot"]
+    slots, found = defaultdict(list), Counter()
+    for r in got.collect():
+        slots[r["shard"]].append(r.slot)
+        found[tuple(r[c] for c in names)] += 1
+    assert found == want and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sharding.external_shuffle(none).count() == 0
 
 
+def test_op4_rows_are_those_of_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in base}
+    got = sharding.op4_external_shuffle(spark, sf).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == want and len(got) == len(base)
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values()) and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+
+
 def test_tokens_and_packing(spark, docs, none):
     whole = WordTokenizer(default_tokenizer_path())
     for t in (r[1] for r in rows()):
@@ -228,9 +257,21 @@ def test_token_files(spark, docs, none):
     tok = WordTokenizer(default_tokenizer_path(), True)
     want = sorted((str(r[0]), len(tok.encode([r[1]])[0])) for r in rows())
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
-    ordered = token_files.training_order(blocks, length=512, block=4096, shard_slots=8).collect()
-    assert sorted(r.slot for r in ordered) == list(range(len(ordered))) and all(len(r.payload) == 1024 for r in ordered)
-    assert sum(r.n_tokens for r in ordered) == sum(n + 1 for _, n in want)
+    flat = defaultdict(bytes)
+    for r in blocks.orderBy("file", "block").collect():
+        flat[r.file] += bytes(r.payload)
+    stride, per_shard = 1024, 8  # brute force: pad, cut, number in order of files, and place by the permutation
+    cut = [(f, i, x[stride * i : stride * (i + 1)]) for f, x in sorted(flat.items()) for i in range(-(-len(x) // stride))]
+    slots = token_files.feistel(np.arange(len(cut)), len(cut)).tolist()
+    pad = token_files.EOD.to_bytes(2, "little")
+    brute = {s: (f, i, len(x) // 2, x + pad * ((stride - len(x)) // 2)) for s, (f, i, x) in zip(slots, cut)}
+    shards = token_files.write_training_shards(token_files.training_order(blocks, length=512, block=4096), length=512, shard_slots=per_shard)
+    assert shards.count() == -(-len(cut) // per_shard)
+    for begin in (0, 1, per_shard, per_shard + 3, len(cut) - 1, len(cut), len(cut) + 100):
+        got = token_files.read_training_shards(shards, begin, shard_slots=per_shard).collect()
+        assert {r.slot: (r.file, r.sequence, r.n_tokens, bytes(r.payload)) for r in got} == {s: v for s, v in brute.items() if s >= begin}
+        assert all(r.shard == r.slot // per_shard and r["at"] == r.slot % per_shard * stride for r in got)
+    assert token_files.write_training_shards(token_files.training_order(token_files.write_token_files(none)[0])).count() == 0
     for n in (1, 2, 5, 1000):
         assert sorted(token_files.feistel(np.arange(n), n).tolist()) == list(range(n))
     assert token_files.token_counts(token_files.write_token_files(none)[0]).count() == 0
