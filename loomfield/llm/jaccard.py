@@ -159,8 +159,8 @@ def _bit_filter(ids: DataFrame, column: str) -> np.ndarray:
     bits = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit"))
     words = bits.selectExpr("bit div 32 as w", "shiftleft(1L, cast(bit % 32 as int)) as m")
     out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        out[r.w] = r.m
+    got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint32)
     return out
 
 

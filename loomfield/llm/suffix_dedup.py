@@ -5,8 +5,9 @@ grams (its anchor), which depends on the window's bytes alone, so equal windows
 windows of one anchor travel as one segment. Anchors that occur once in the corpus cannot hold a repeat and
 are dropped before any text moves. The segments of an anchor meet in one task, which orders all their windows
 by deep-shallow suffix sorting; windows equal to a neighbour in that order are repeats. Equal documents
-collapse to one beforehand: every window of a copy is a repeat. Anchors of more than ``hot`` segments (a
-passage that a third of the rows hold) are not sent to one task: equal segments collapse, and the others descend
+collapse to one beforehand: every window of a copy is a repeat. Anchors with more than ``hot`` bytes of segments, more
+than a task sorts at once (a
+passage that a third of the rows hold), are not sent to one task: equal segments collapse, and the others descend
 a trie of aligned spans, told by 128-bit fingerprints, whose levels are grouped by Spark and spread evenly.
 
 A null or empty text keeps nothing and loses nothing; texts under ``length`` bytes lose nothing. Repeated rows
@@ -28,7 +29,8 @@ from .suffix_sort import sort_windows
 
 LENGTH = 200
 GRAM = 64
-HOT = 1000
+#: Bytes of an anchor's segments that one task sorts.
+HOT = 4 << 20
 #: Windows of one segment at most, and bytes of segments that are sorted together.
 SEGMENT, SORT_BYTES = 1024, 1 << 20
 PIECE = 4 << 20
@@ -396,7 +398,8 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT, keep_
     one = runs.where("n_bytes >= %d" % length).join(copied.select("h", "rep"), "h", "left")
     # one row of each digest stands for its copies, whatever their ids
     one = one.where("rep is null or row = rep").select("h", F.explode("runs").alias("r")).select("h", "r.*")
-    counts = one.groupBy("m").agg(F.sum(F.col("c") + 1).alias("n")).where("n > 1").select("m", (F.col("n") > hot).cast("int").alias("hot"))
+    size = F.sum(F.col("b") - F.col("a") + length).alias("size")
+    counts = one.groupBy("m").agg(F.sum(F.col("c") + 1).alias("n"), size).where("n > 1").select("m", (F.col("size") > hot).cast("int").alias("hot"))
     lists = one.join(counts, "m").groupBy("h").agg(F.collect_list(F.struct("m", "a", "b", "hot")).alias("runs"))
     texts = docs.select(text_digest("text").alias("h"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     candidates = texts.groupBy("h").agg(F.first("text").alias("text")).join(lists, "h")

@@ -59,7 +59,7 @@ def test_sorters():
         assert suffix_order(s).tolist() == sorted(range(200), key=key)
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [4 << 20, 500])
 def test_suffix_dedup(spark, docs, none, hot):
     base = [(r[0], r[1]) for r in rows()]
     windows = Counter()
@@ -109,7 +109,7 @@ def test_suffix_dedup_of_parts_of_one_passage(spark, monkeypatch):
                 hit[k : k + 200] = True
         want.append(int(hit.sum()))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for hot in (1, 20):
+    for hot in (300, 6000):
         found, cuts = suffix_dedup.find_repeats(docs, hot=hot)
         lost = found.join(cuts, "h", "left").selectExpr("doc_id", "coalesce(n_removed, 0) as n")
         assert [r.n for r in lost.orderBy("doc_id").collect()] == want
