@@ -1,52 +1,83 @@
-"""Opponent adjustment by ridge regression: cells are aggregated by Spark, each group solves a small system."""
+"""Opponent adjustment by ridge regression, on sums that Spark aggregates.
+
+A rating model has an unpenalised intercept, an effect of each entity and one of each opponent, both penalised by
+``alpha``. Entities may be as many as the data has; their block of the normal equations is diagonal, so each is solved
+for in terms of the rest and eliminated in Spark, and only the opponents' small system of each group meets in a task.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+INTERCEPT = "__intercept__"
+
+
+def solve_opponents(system: pd.DataFrame, alpha: float) -> pd.DataFrame:
+    """Effects by name from rows (j, k, a, b): an entry of the symmetric matrix, and of the right side where j = k."""
+    names = pd.Index(sorted(system["j"].unique()))
+    i, k = names.get_indexer(system["j"]), names.get_indexer(system["k"])
+    a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
+    np.add.at(a, (i, k), system["a"].to_numpy(float))
+    np.add.at(b, i, system["b"].to_numpy(float))
+    penalty = np.where(names == INTERCEPT, 0.0, alpha)
+    return pd.DataFrame({"j": names, "effect": np.linalg.solve(a + np.diag(penalty), b)})
+
+
+def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cells: int = 10, least_entities: int = 4, least_spread: float = 1e-3) -> DataFrame:
+    """(group, entity, rating) from cells (group, entity, opponent, mean, weight): intercept, effect and mean opponent.
+
+    Groups of fewer cells or entities, or of means with less spread, carry no rating; cells without a weight or mean count for nothing.
+    """
+    cells = cells.where("weight > 0 and mean is not null").withColumn("opponent", F.col("opponent").cast("string"))
+    fit = cells.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct("entity").alias("e"), F.stddev_samp("mean").alias("s"))
+    fit = fit.where((F.col("n") >= least_cells) & (F.col("e") >= least_entities) & (F.col("s") >= least_spread)).select(group)
+    cells = cells.join(fit, group).select(group, "entity", F.col("opponent").alias("j"), F.col("weight").alias("w"), (F.col("weight") * F.col("mean")).alias("wy"))
+    # one row for each entity and column of the opponents' system, the intercept's among them
+    own = cells.groupBy(group, "entity").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+    rows = cells.unionByName(own.withColumn("j", F.lit(INTERCEPT)))
+    total = own.select(group, "entity", (F.col("w") + alpha).alias("d"), F.col("wy").alias("all"))
+    left = rows.join(total, [group, "entity"])
+    right = rows.select(group, "entity", F.col("j").alias("k"), F.col("w").alias("v"))
+    # what eliminating the entities takes off, opponents by opponents
+    off = left.join(right, [group, "entity"]).groupBy(group, "j", "k").agg((-F.sum(F.col("w") * F.col("v") / F.col("d"))).alias("a"))
+    side = left.groupBy(group, "j").agg(F.sum(F.col("wy") - F.col("w") * F.col("all") / F.col("d")).alias("b"), F.sum("w").alias("w"))
+    diagonal = side.select(group, "j", F.col("j").alias("k"), F.col("w").alias("a"), "b")
+    borders = side.where(F.col("j") != INTERCEPT).select(group, F.explode(F.array(F.struct(F.col("j"), F.lit(INTERCEPT).alias("k")), F.struct(F.lit(INTERCEPT).alias("j"), F.col("j").alias("k")))).alias("x"), F.col("w").alias("a"))
+    system = diagonal.unionByName(borders.select(group, "x.*", "a", F.lit(0.0).alias("b"))).unionByName(off.withColumn("b", F.lit(0.0)))
+    kind = dict(cells.dtypes)[group]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return solve_opponents(pdf, alpha).assign(**{group: key[0]})[[group, "j", "effect"]]
+
+    effects = system.groupBy(group).applyInPandas(run, f"{group} {kind}, j string, effect double")
+    base = effects.groupBy(group).agg(F.sum(F.when(F.col("j") == INTERCEPT, F.col("effect"))).alias("intercept"), F.avg(F.when(F.col("j") != INTERCEPT, F.col("effect"))).alias("mean"))
+    gone = rows.join(effects, [group, "j"]).groupBy(group, "entity").agg(F.sum(F.col("w") * F.col("effect")).alias("gone"))
+    out = total.join(gone, [group, "entity"]).join(base, group)
+    return out.select(group, "entity", (F.col("intercept") + F.col("mean") + (F.col("all") - F.col("gone")) / F.col("d")).alias("rating"))
+
+
+def margin_ratings(games: DataFrame, group: str, alpha: float = 25.0) -> DataFrame:
+    """(group, team, rating, edge) from games (group, home, away, home_level, away_level, margin): a team's level and the edge
+    of the home side are unpenalised, what a team is above its level is penalised. Levels and teams of a group meet in one task."""
+    kind = dict(games.dtypes)
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        teams = pd.concat((pdf[["home", "home_level"]].set_axis(["team", "level"], axis=1), pdf[["away", "away_level"]].set_axis(["team", "level"], axis=1))).groupby("team")["level"].min()
+        levels = pd.Index(sorted(teams.unique()))
+        n, m = len(teams), len(levels)
+        x = np.zeros((len(pdf), n + m))
+        row = np.arange(len(pdf))
+        for side, sign in (("home", 1.0), ("away", -1.0)):
+            at = teams.index.get_indexer(pdf[side])
+            np.add.at(x, (row, at), sign)
+            np.add.at(x, (row, n + levels.get_indexer(teams.to_numpy()[at])), sign)
+        x[:, n] = 1.0  # the first level is the base, its column the home edge
+        penalty = np.concatenate((np.full(n, alpha), np.full(m, 1e-9)))
+        b = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ pdf["margin"].to_numpy(float))
+        step = np.concatenate(([0.0], b[n + 1 :]))
+        return pd.DataFrame({group: key[0], "team": teams.index, "rating": b[:n] + step[levels.get_indexer(teams.to_numpy())], "edge": b[n]})
 
-def solve_two_hot(cells: pd.DataFrame, alpha: float) -> pd.DataFrame:
-    """Ratings of entities from weighted cells (entity, opponent, mean, weight): intercept + effect + mean opponent."""
-    e, o = (pd.Index(sorted(cells[c].unique())) for c in ("entity", "opponent"))
-    i, j = e.get_indexer(cells["entity"]), o.get_indexer(cells["opponent"]) + len(e)
-    w, y = cells["weight"].to_numpy(float), cells["mean"].to_numpy(float)
-    mean = np.average(y, weights=w)
-    n = len(e) + len(o)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    # centred columns leave the intercept unpenalised
-    share = np.bincount(i, w, n) / w.sum() + np.bincount(j, w, n) / w.sum()
-    np.add.at(a, (i, i), w)
-    np.add.at(a, (j, j), w)
-    np.add.at(a, (i, j), w)
-    np.add.at(a, (j, i), w)
-    a -= w.sum() * np.outer(share, share)
-    np.add.at(b, i, w * (y - mean))
-    np.add.at(b, j, w * (y - mean))
-    x = np.linalg.solve(a + alpha * np.eye(n), b)
-    base = mean - share @ x
-    return pd.DataFrame({"entity": e, "rating": base + x[: len(e)] + x[len(e) :].mean()})
-
-
-def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0) -> DataFrame:
-    """(group, entity, rating) from cells (group, entity, opponent, mean, weight); groups are small by design."""
-    kind = dict(cells.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 10 or pdf["entity"].nunique() < 4 or pdf["mean"].std() < 1e-3:
-            return pd.DataFrame({group: [], "entity": [], "rating": []})
-        return solve_two_hot(pdf, alpha).assign(**{group: pdf[group].iloc[0]})[[group, "entity", "rating"]]
-
-    return cells.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, entity {kind['entity']}, rating double")
-
-
-def nnls_two(pdf: pd.DataFrame) -> tuple[float, float]:
-    """Non-negative weights of two predictors by enumeration of which are zero, from sufficient statistics."""
-    s = pdf.iloc[0]
-    det = s.aa * s.bb - s.ab * s.ab
-    x, y = ((s.ay * s.bb - s.by * s.ab) / det, (s.by * s.aa - s.ay * s.ab) / det) if det > 1e-12 else (-1.0, -1.0)
-    if x >= 0 and y >= 0:
-        return x, y
-    one, two = (max(0.0, s.ay / s.aa) if s.aa else 0.0), (max(0.0, s.by / s.bb) if s.bb else 0.0)
-    return (one, 0.0) if one * s.ay >= two * s.by else (0.0, two)
+    return games.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, team {kind['home']}, rating double, edge double")

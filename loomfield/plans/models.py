@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfield.operators import relational as R
-from loomfield.operators.ridge import nnls_two, ridge_ratings
+from loomfield.operators.ridge import margin_ratings, ridge_ratings
 from loomfield.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -67,19 +66,36 @@ def ols_two_var(spark, d):
     return m.where(det > 1e-6).select("p_type", F.round(F.expr("ay * bb - by * ab") / det, 4).alias("b_size"), F.round(F.expr("by * aa - ay * ab") / det, 4).alias("b_name"))
 
 
-@query()
+_BLEND = """case when det > 1e-12 and (ay * bb - by_ * ab) / det >= 0 and (by_ * aa - ay * ab) / det >= 0 then {both} when greatest(ay, 0) * ay / nullif(aa, 0) >= greatest(by_, 0) * by_ / nullif(bb, 0) then {first} else {second} end"""
+_WA = _BLEND.format(both="(ay * bb - by_ * ab) / det", first="greatest(ay, 0) / nullif(aa, 0)", second="0.0")
+_WB = _BLEND.format(both="(by_ * aa - ay * ab) / det", first="0.0", second="greatest(by_, 0) / nullif(bb, 0)")
+
+
+@query(f"""with x as (select month(o_orderdate) as m, o_totalprice / 1000 as y, o_custkey / 100 as a, cast(o_orderkey % 97 as double) as b from orders), s as (select m, count(*) as n, sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(a * y) as ay, sum(b * y) as by_ from x group by m),
+p as (select sum(aa) as aa, sum(bb) as bb, sum(ab) as ab, sum(ay) as ay, sum(by_) as by_ from s), u as (select m, aa, bb, ab, ay, by_ from s where n >= 40 union all select s.m, p.aa, p.bb, p.ab, p.ay, p.by_ from s, p where n < 40), t as (select *, aa * bb - ab * ab as det from u)
+select cast(m as integer) as m, round(case when m = 1 then 1.0 else {_WA} end, 6) as wa, round(case when m = 1 then 0.0 else {_WB} end, 6) as wb from t""")
 def nnls_blend_weekly(spark, d):
-    """Non-negative blend weights of two predictors for each month, from sums alone; pooled under 40 rows."""
+    """Non-negative blend weights of two predictors for each month, from sums alone, by which of them is zero; pooled under
+    40 rows, and the first month takes the first predictor as it is."""
     x = read_table(spark, d, "orders").select(F.month("o_orderdate").alias("m"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 100).alias("a"), (F.col("o_orderkey") % 97).cast("double").alias("b"))
-    s = x.groupBy("m").agg(F.count("*").alias("n"), *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("b", "b"), ("a", "b"), ("a", "y"), ("b", "y"))])
-    pooled = s.agg(*[F.sum(c).alias(c) for c in ("aa", "bb", "ab", "ay", "by")])
-    few = s.where("n < 40").select("m", "n").crossJoin(F.broadcast(pooled))  # one row
+    sums = ["aa", "bb", "ab", "ay", "by_"]
+    s = x.groupBy("m").agg(F.count("*").alias("n"), *[F.sum(F.col(c[0]) * F.col(c[1])).alias(c) for c in sums])
+    pooled = s.agg(*[F.sum(c).alias(c) for c in sums])
+    few = s.where("n < 40").select("m").crossJoin(F.broadcast(pooled))  # one row
+    t = s.where("n >= 40").select("m", *sums).unionByName(few).withColumn("det", F.expr("aa * bb - ab * ab"))
+    first = F.col("m") == 1
+    return t.select("m", F.round(F.when(first, 1.0).otherwise(F.expr(_WA)), 6).alias("wa"), F.round(F.when(first, 0.0).otherwise(F.expr(_WB)), 6).alias("wb"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = nnls_two(pdf)
-        return pd.DataFrame({"m": [pdf["m"].iloc[0]], "wa": [a], "wb": [b]})
 
-    return s.where("n >= 40").unionByName(few).groupBy("m").applyInPandas(run, "m int, wa double, wb double")
+@query()
+def margin_graph_ratings(spark, d):
+    """Suppliers rated by margins of lines over the order's first supplier, nations as levels that are not penalised."""
+    x = read_table(spark, d, "lineitem").join(read_table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("season")), F.expr("l_orderkey = o_orderkey"))
+    nation = read_table(spark, d, "supplier").join(read_table(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").select("s_suppkey", "n_regionkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    g = x.select("season", F.first("l_suppkey").over(w).alias("home"), F.col("l_suppkey").alias("away"), (F.first("l_quantity").over(w) - F.col("l_quantity")).alias("margin")).where("home <> away")
+    level = lambda side: nation.select(F.col("s_suppkey").alias(side), F.col("n_regionkey").alias(f"{side}_level"))
+    return margin_ratings(g.join(level("home"), "home").join(level("away"), "away"), "season")
 
 
 @query("with r as (select cast(l_quantity as integer) - 25 as margin from lineitem), h as (select margin, count(*) as n from r group by 1), g as (select unnest(range(-30, 31)) as m), s as (select m, sum(n * exp(-0.5 * power((margin - m) / 2.5, 2))) / sum(exp(-0.5 * power((margin - m) / 2.5, 2))) as smooth from g join h on abs(margin - m) <= 10 group by m) select cast(m as integer) as m, round(least(greatest(coalesce(n, 0) / smooth, 0.15), 4), 6) as weight from s left join h on h.margin = m")

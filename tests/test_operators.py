@@ -1,11 +1,11 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
-from loomfield.operators.ridge import nnls_two, solve_two_hot
+from loomfield.operators.ridge import margin_ratings, ridge_ratings
+from loomfield.plans import models
 from loomfield.sources import tables as T
 
 
@@ -34,18 +34,55 @@ def test_nearest_prefers_lower(spark):
     assert [r.n for r in R.nearest(df, "v", [1.0, 5.0, 11.0], "n").collect()] == [1.0, 5.0]
 
 
-def test_ridge_recovers_order():
-    rng = np.random.default_rng(1)
-    skill = np.arange(6.0)
-    cells = pd.DataFrame([(i, j, skill[i] - skill[j] / 2 + rng.normal(0, 0.01), 5.0) for i in range(6) for j in range(6) if i != j], columns=["entity", "opponent", "mean", "weight"])
-    assert solve_two_hot(cells, 1.0).sort_values("rating")["entity"].tolist() == list(range(6))
+def closed_form(rows, alpha):
+    """Ratings from single observations (entity, opponent, y, weight): weighted, centred, penalised least squares."""
+    e, o = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    x = np.zeros((len(rows), len(e) + len(o)))
+    for k, r in enumerate(rows):
+        x[k, e.index(r[0])] = x[k, len(e) + o.index(r[1])] = 1.0
+    y, w = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
+    mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+    b = np.linalg.solve((x - mx).T @ ((x - mx) * w[:, None]) + alpha * np.eye(x.shape[1]), (x - mx).T @ (w * (y - my)))
+    return {k: my - mx @ b + b[i] + b[len(e) :].mean() for i, k in enumerate(e)}
 
 
-def test_nnls_two_clips():
-    a, b = np.array([1.0, 2, 3]), np.array([3.0, 1, 2])
-    y = a - 0.5 * b
-    x, z = nnls_two(pd.DataFrame([{"aa": a @ a, "bb": b @ b, "ab": a @ b, "ay": a @ y, "by": b @ y}]))
-    assert x >= 0 and z == 0
+@pytest.mark.parametrize("alpha,weighted", [(1.0, False), (25.0, True)])
+def test_ridge_equals_the_closed_form_on_rows(spark, alpha, weighted):
+    rng = np.random.default_rng(1)
+    rows = [(s, int(rng.integers(0, 7)), f"t{rng.integers(0, 5)}", float(rng.normal()), float(rng.integers(1, 9)) if weighted else 1.0) for s in (1, 2) for _ in range(90)]
+    few = [(3, 1, "t1", 1.0, 1.0), (4, 1, "t1", 1.0, 0.0)]
+    df = spark.createDataFrame(rows + few, "season int, entity int, opponent string, y double, w double")
+    cells = df.groupBy("season", "entity", "opponent").agg(F.try_divide(F.sum(F.col("y") * F.col("w")), F.sum("w")).alias("mean"), F.sum("w").alias("weight"))
+    got = {(r.season, r.entity): r.rating for r in ridge_ratings(cells, "season", alpha).collect()}
+    want = {(s, k): v for s in (1, 2) for k, v in closed_form([r[1:] for r in rows if r[0] == s], alpha).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_ridge_queries_equal_the_closed_form(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/part.parquet"), F.expr("l_partkey = p_partkey"))
+    lines = lines.selectExpr("year(l_shipdate) as season", "quarter(l_shipdate) as q", "l_suppkey", "p_brand", "l_discount", "l_quantity").collect()
+    for name, alpha, weight in (("ridge_opponent_adjust", 1.0, lambda r: 1.0), ("ridge_weighted", 25.0, lambda r: r.l_quantity)):
+        got = {(r.season, r.entity): r.rating for r in models.QUERIES[name](spark, sf).collect()}
+        for season in sorted({r.season for r in lines})[1:3]:
+            want = closed_form([(r.l_suppkey, r.p_brand, r.l_discount, weight(r)) for r in lines if r.season == season], alpha)
+            assert all(abs(got[season, k] - v) < 1e-9 for k, v in want.items())
+    got = {(r.group, r.entity): r.rating for r in models.QUERIES["ridge_asof"](spark, sf).collect()}
+    season = sorted({r.season for r in lines})[2]
+    for before in (2, 4):
+        want = closed_form([(r.l_suppkey, r.p_brand, r.l_discount, 1.0) for r in lines if r.season == season and r.q < before], 1.0)
+        assert all(abs(got[season * 10 + before, k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_margin_ratings_leave_levels_and_the_home_edge_unpenalised(spark):
+    rng = np.random.default_rng(2)
+    strength, level = rng.normal(0, 1, 8), [0, 0, 0, 0, 1, 1, 1, 1]
+    games = [(1, int(h), int(a), level[h], level[a], float(strength[h] - strength[a] + 20 * (level[h] - level[a]) + 3 + rng.normal(0, 0.1))) for h, a in (rng.choice(8, 2, replace=False) for _ in range(400))]
+    got = {r.team: r for r in margin_ratings(spark.createDataFrame(games, "season int, home int, away int, home_level int, away_level int, margin double"), "season", alpha=1.0).collect()}
+    assert abs(got[0].edge - 3) < 0.1
+    for a in range(8):
+        for b in range(8):
+            assert abs((got[a].rating - got[b].rating) - (strength[a] - strength[b] + 20 * (level[a] - level[b]))) < 0.3
 
 
 def test_guarded_write(spark, tmp_path):
