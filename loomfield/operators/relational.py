@@ -59,3 +59,26 @@ def dense_grid(df: DataFrame, entity: str, period: str) -> DataFrame:
     """Every entity with every period from the first to the last one."""
     span = df.agg(F.min(period).alias("lo"), F.max(period).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias(period))
     return df.select(entity).distinct().crossJoin(F.broadcast(span))
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on ``keys``, nulls equal to each other; the other side's keys go."""
+    named = other.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in other.columns if c not in keys))
+    on = reduce(lambda a, b: a & b, (df[k].eqNullSafe(named[f"_k_{k}"]) for k in keys))
+    return df.join(named, on, how).drop(*(f"_k_{k}" for k in keys))
+
+
+def with_moments(df: DataFrame, keys: list[str], value) -> DataFrame:
+    """``df`` with _mean, _sd, _sdp and _n of ``value`` in its group: partial sums and a join, so that a few large groups need no one task."""
+    g = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.stddev_pop(value).alias("_sdp"), F.count("*").alias("_n"))
+    return join_null_safe(df, g, keys)
+
+
+def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``df`` with _rank, _mean_rank, _rank_desc and _n of ``value`` in its group, from counts of distinct values."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("_c").over(w)
+    ranks = counts.select(*keys, value, (before + 1).alias("_rank"), (before + (F.col("_c") + 1) / 2).alias("_mean_rank"), (n - before - F.col("_c") + 1).alias("_rank_desc"), n.alias("_n"))
+    return join_null_safe(df, ranks, [*keys, value])

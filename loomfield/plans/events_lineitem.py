@@ -163,8 +163,9 @@ def pivot_event_counts(spark, d):
 
 @query("select o_orderstatus, year(o_orderdate) as y, round(median(o_totalprice), 6) as med, round(avg(o_totalprice), 7) as mean from orders group by grouping sets ((o_orderstatus), (year(o_orderdate)), (o_orderstatus, year(o_orderdate)))")
 def multi_grain_sets(spark, d):
-    read_table(spark, d, "orders").select("o_orderstatus", F.year("o_orderdate").alias("y"), "o_totalprice").createOrReplaceTempView("_orders_by_year")
-    return spark.sql("select o_orderstatus, y, round(median(o_totalprice), 6) as med, round(avg(o_totalprice), 7) as mean from _orders_by_year group by grouping sets ((o_orderstatus), (y), (o_orderstatus, y))")
+    x = read_table(spark, d, "orders").select("o_orderstatus", F.year("o_orderdate").alias("y"), "o_totalprice")
+    sets = x.groupingSets([["o_orderstatus"], ["y"], ["o_orderstatus", "y"]], "o_orderstatus", "y")
+    return sets.agg(F.round(F.median("o_totalprice"), 6).alias("med"), F.round(F.avg("o_totalprice"), 7).alias("mean"))
 
 
 @query("select l_suppkey, round(quantile_cont(l_quantity, 0.02), 6) as p02, round(median(l_quantity), 6) as p50, round(quantile_cont(l_quantity, 0.98), 6) as p98, round(stddev_samp(l_extendedprice), 4) as sd, round(stddev_pop(l_extendedprice), 4) as sdp from lineitem group by l_suppkey")
@@ -188,9 +189,10 @@ def mode_by_group(spark, d):
     return R.first_row(c, ["l_suppkey"], F.desc("count"), "flag").select("l_suppkey", "flag")
 
 
-@query("select o_custkey, arg_max(o_orderkey, o_totalprice) as o_orderkey, max(o_totalprice) as price from orders group by o_custkey")
+@query("select o_custkey, first(o_orderkey order by o_totalprice desc, o_orderkey) as o_orderkey, max(o_totalprice) as price from orders group by o_custkey")
 def arg_max_row(spark, d):
-    return read_table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("o_orderkey"), F.max("o_totalprice").alias("price"))
+    """Of equal prices the smaller key."""
+    return read_table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"), F.max("o_totalprice").alias("price"))
 
 
 @query("select o_custkey, round(avg(o_totalprice), 4) as top3 from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) where rn <= 3 group by o_custkey")
@@ -206,8 +208,8 @@ def pearson_by_group(spark, d):
 
 @query("""with x as (select p_brand, rank() over (partition by p_brand order by p_size) + (count(*) over (partition by p_brand, p_size) - 1) / 2.0 as a, rank() over (partition by p_brand order by p_retailprice) + (count(*) over (partition by p_brand, p_retailprice) - 1) / 2.0 as b from part) select p_brand, round(corr(a, b), 6) as rho from x group by p_brand""")
 def spearman_corr(spark, d):
-    mean_rank = lambda c: F.rank().over(Window.partitionBy("p_brand").orderBy(c)) + (F.count("*").over(Window.partitionBy("p_brand", c)) - 1) / 2.0
-    x = read_table(spark, d, "part").select("p_brand", mean_rank("p_size").alias("a"), mean_rank("p_retailprice").alias("b"))
+    ranked = lambda x, c, name: R.with_ranks(x, ["p_brand"], c).withColumn(name, F.col("_mean_rank")).drop("_rank", "_mean_rank", "_rank_desc", "_n")
+    x = ranked(ranked(read_table(spark, d, "part").select("p_brand", "p_size", "p_retailprice"), "p_size", "a"), "p_retailprice", "b")
     return x.groupBy("p_brand").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
 
 
@@ -248,15 +250,14 @@ def ffill_calendar(spark, d):
 
 @query("select p_partkey, round((rank() over (partition by p_brand order by p_retailprice) + (count(*) over (partition by p_brand, p_retailprice) - 1) / 2.0) / count(*) over (partition by p_brand), 6) as pct, rank() over (partition by p_brand order by p_retailprice desc) as best from part")
 def rank_pct(spark, d):
-    w = Window.partitionBy("p_brand")
-    pct = (F.rank().over(w.orderBy("p_retailprice")) + (F.count("*").over(Window.partitionBy("p_brand", "p_retailprice")) - 1) / 2.0) / F.count("*").over(w)
-    return read_table(spark, d, "part").select("p_partkey", F.round(pct, 6).alias("pct"), F.rank().over(w.orderBy(F.desc("p_retailprice"))).alias("best"))
+    x = R.with_ranks(read_table(spark, d, "part"), ["p_brand"], "p_retailprice")
+    return x.select("p_partkey", F.round(F.col("_mean_rank") / F.col("_n"), 6).alias("pct"), F.col("_rank_desc").alias("best"))
 
 
 @query("select p_partkey, round((p_retailprice - avg(p_retailprice) over w) / nullif(stddev_samp(p_retailprice) over w, 0), 6) as z, round(p_retailprice - avg(p_retailprice) over w, 6) as above from part window w as (partition by p_brand)")
 def zscore_group(spark, d):
-    w, x = Window.partitionBy("p_brand"), F.col("p_retailprice")
-    return read_table(spark, d, "part").select("p_partkey", F.round((x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)), 6).alias("z"), F.round(x - F.avg(x).over(w), 6).alias("above"))
+    above = F.col("p_retailprice") - F.col("_mean")
+    return R.with_moments(read_table(spark, d, "part"), ["p_brand"], "p_retailprice").select("p_partkey", F.round(above / F.nullif("_sd", F.lit(0.0)), 6).alias("z"), F.round(above, 6).alias("above"))
 
 
 @query("""with q as (select p_type, quantile_cont(p_retailprice, 0.02) as lo, quantile_cont(p_retailprice, 0.98) as hi, count(*) as n from part group by p_type), c as (select p_partkey, p_type, n, least(greatest(p_retailprice, lo), hi) as x from part join q using (p_type))
@@ -265,8 +266,8 @@ def winsor_z(spark, d):
     x = read_table(spark, d, "part")
     q = x.groupBy("p_type").agg(F.percentile("p_retailprice", 0.02).alias("lo"), F.percentile("p_retailprice", 0.98).alias("hi"), F.count("*").alias("n"))
     c = x.join(q, "p_type").withColumn("x", F.least(F.greatest("p_retailprice", "lo"), "hi"))
-    w = Window.partitionBy("p_type")
-    return c.select("p_partkey", F.when(F.col("n") >= 8, F.round(S.clip((F.col("x") - F.avg("x").over(w)) / F.nullif(F.stddev_pop("x").over(w), F.lit(0.0)), -3.0, 3.0), 6)).alias("z"))
+    z = S.clip((F.col("x") - F.col("_mean")) / F.nullif("_sdp", F.lit(0.0)), -3.0, 3.0)
+    return R.with_moments(c, ["p_type"], "x").select("p_partkey", F.when(F.col("n") >= 8, F.round(z, 6)).alias("z"))
 
 
 @query(f"with g as ({_CUST_YEAR}) select a.o_custkey, a.y, round(sum(b.v * power(0.5, a.y - b.y)), 8) as career from g a join g b on a.o_custkey = b.o_custkey and b.y <= a.y group by all")
@@ -353,7 +354,9 @@ def regex_lead_name(spark, d):
 
 @query("select doc_id, lang, source from (select doc_id, lang, source, row_number() over (partition by text order by doc_id) as rn from documents) where rn = 1")
 def dedup_keep_first(spark, d):
-    return R.first_row(read_table(spark, d, "documents"), ["text"], "doc_id").select("doc_id", "lang", "source")
+    """The row of the smallest key of each text; texts are told by digest and length, so that none is sorted."""
+    row = F.min(F.struct("doc_id", "lang", "source"))
+    return read_table(spark, d, "documents").groupBy(F.sha2("text", 256), F.length("text")).agg(row.alias("r")).select("r.*")
 
 
 @query("select o_custkey as k from orders where o_totalprice > 400000 union select l_suppkey from lineitem where l_quantity = 50")

@@ -108,13 +108,25 @@ def key_number_weights(spark, d):
     return x.select("m", F.round(F.least(F.greatest(F.coalesce("n", F.lit(0)) / F.col("smooth"), F.lit(0.15)), F.lit(4.0)), 6).alias("weight"))
 
 
-@query("""with g as (select p_partkey, p_size, unnest(range(-100, 101)) as m from part), p as (select p_partkey, m, exp(-0.5 * power((m - (p_size - 25)) / 16.0, 2)) as k from g), n as (select p_partkey, m, k / sum(k) over (partition by p_partkey) as p from p)
-select p_partkey, round(sum(case when m > 0 then p else 0 end), 9) as p_win, round(sum(case when m = 0 then p else 0 end), 9) as p_tie, round(sum(m * p), 6) + 0.0 as mean from n group by p_partkey""")
+@query("""with x as (select p_partkey, p_size - 25 as mu, p_partkey % 15 - 7 as line, unnest(range(-100, 101)) as m from part), k as (select *, exp(-0.5 * power((m - mu) / 16.0, 2)) as k from x), c as (select *, sum(k) over (partition by p_partkey order by m) as cum, sum(k) over (partition by p_partkey) as total from k)
+select p_partkey, round(sum(case when m > 0 then k else 0 end) / max(total), 9) as p_win, round(sum(case when m = 0 then k else 0 end) / max(total), 9) as p_tie, round(sum(m * k) / max(total), 6) + 0.0 as mean, cast(min(case when cum >= total / 2 - 1e-9 then m end) as integer) as median, cast(max(mu) as integer) as mode,
+round(sum(case when m > line then k else 0 end) / (max(total) - sum(case when m = line then k else 0 end)), 9) as p_cover from c group by p_partkey""")
 def margin_distribution(spark, d):
-    x = read_table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(-100), F.lit(100))).alias("m"))
-    x = x.withColumn("k", F.exp(-0.5 * F.pow((F.col("m") - (F.col("p_size") - 25)) / 16.0, 2)))
-    total = F.sum("k")
-    return x.groupBy("p_partkey").agg(F.round(F.sum(F.when(F.col("m") > 0, F.col("k")).otherwise(0.0)) / total, 9).alias("p_win"), F.round(F.sum(F.when(F.col("m") == 0, F.col("k")).otherwise(0.0)) / total, 9).alias("p_tie"), (F.round(F.sum(F.col("m") * F.col("k")) / total, 6) + F.lit(0.0)).alias("mean"))
+    """A margin's distribution on a grid, held as one array a row: chances, mean, median, mode, and the chance to cover a line."""
+    x = read_table(spark, d, "part").select("p_partkey", (F.col("p_size") - 25).alias("mu"), (F.col("p_partkey") % 15 - 7).alias("line"))
+    cells = F.transform(F.sequence(F.lit(-100), F.lit(100)), lambda m: F.struct(m.alias("m"), F.exp(-0.5 * F.pow((m - F.col("mu")) / 16.0, 2)).alias("k")))
+    x = x.withColumn("g", cells)
+    add = lambda f: F.aggregate("g", F.lit(0.0), lambda a, c: a + f(c))
+    x = x.withColumn("total", add(lambda c: c["k"]))
+    where = lambda cond: add(lambda c: F.when(cond(c["m"]), c["k"]).otherwise(0.0))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("m"))
+    half = F.aggregate("g", start, lambda a, c: F.struct((a["c"] + c["k"]).alias("c"), F.when(a["m"].isNull() & (a["c"] + c["k"] >= F.col("total") / 2 - 1e-9), c["m"]).otherwise(a["m"]).alias("m")))
+    mode = F.array_max(F.transform("g", lambda c: F.struct(c["k"], c["m"])))["m"]
+    nine = lambda c: F.round(c, 9)
+    return x.select(
+        "p_partkey", nine(where(lambda m: m > 0) / F.col("total")).alias("p_win"), nine(where(lambda m: m == 0) / F.col("total")).alias("p_tie"), (F.round(add(lambda c: c["m"] * c["k"]) / F.col("total"), 6) + F.lit(0.0)).alias("mean"),
+        half["m"].alias("median"), mode.alias("mode"), nine(where(lambda m: m > F.col("line")) / (F.col("total") - where(lambda m: m == F.col("line")))).alias("p_cover"),
+    )
 
 
 @query("with g as (select unnest(range(0, 52)) as x), h as (select l_quantity as q, count(*) as n from lineitem group by 1) select cast(x as integer) as x, round(coalesce(sum(n * greatest(0, 1 - abs(q - x) / 2.0)), 0) / (select count(*) * 2.0 from lineitem), 9) as density from g left join h on abs(q - x) < 2 group by x")
@@ -198,6 +210,5 @@ def duplicate_keys(spark, d):
 
 @query("with z as (select o_orderkey, (o_totalprice - avg(o_totalprice) over (partition by year(o_orderdate))) / stddev_samp(o_totalprice) over (partition by year(o_orderdate)) as z from orders) select o_orderkey, round(z, 6) as z from z where abs(z) > 1.7")
 def outlier_scan(spark, d):
-    w = Window.partitionBy(F.year("o_orderdate"))
-    z = (F.col("o_totalprice") - F.avg("o_totalprice").over(w)) / F.stddev_samp("o_totalprice").over(w)
-    return read_table(spark, d, "orders").select("o_orderkey", F.round(z, 6).alias("z")).where("abs(z) > 1.7")
+    x = R.with_moments(read_table(spark, d, "orders").withColumn("y", F.year("o_orderdate")), ["y"], "o_totalprice")
+    return x.select("o_orderkey", F.round((F.col("o_totalprice") - F.col("_mean")) / F.col("_sd"), 6).alias("z")).where("abs(z) > 1.7")
