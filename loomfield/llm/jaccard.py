@@ -248,10 +248,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, perc
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose summed coordinate minima allow a link."""
-    size = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    vector = lambda c: points.select(F.col("node").alias(c), F.col("vector").alias(f"v{c}"))
-    near = pairs.join(size("b"), "b").join(size("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    wide = near.join(vector("b"), "b").join(vector("a"), "a")
+    own = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("vector").alias(f"v{c}"))
+    wide = pairs.join(own("b"), "b").join(own("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for batch in batches:
@@ -411,7 +409,8 @@ def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None
     stars = materialize(_bounded(groups.select(F.col("pivot").alias("a"), F.col("node").alias("b")), points, percent), "stars")
     one_each = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialize(_verify(docs, one_each, nodes, size, percent), "links")
-    settled = components(linked)
+    # a node that links to a pivot goes by it; that chains are not followed yet costs candidates, never links
+    settled = linked.select(F.col("b").alias("node"), F.col("a").alias("component"))
     # first as few pairs as would join what may be joined, then, with what is still apart, all that may link
     for forest in (True, False):
         own = lambda c, known=settled: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
