@@ -46,7 +46,7 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
-#: Trained scores and token ids cannot be told in SQL; tests/llm compares the stages with brute force.
+#: Trained scores and token ids cannot be told in SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -252,8 +252,10 @@ def is_contaminated():
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    return find_contamination(docs, benchmark).where(~is_contaminated()).select(*docs.columns)
+    """The documents that are not contaminated, unchanged, columns of the names that ``find_contamination`` adds included."""
+    own = docs.toDF(*(f"_own_{c}" for c in docs.columns))
+    kept = find_contamination(own, benchmark, text_col="_own_text").where(~is_contaminated())
+    return kept.select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -160,19 +160,31 @@ def bounded_sample(known: DataFrame, max_rows: int) -> DataFrame:
     return known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+def _known(labels: DataFrame, label_col: str, folds: int, held: int, max_rows: int) -> DataFrame:
+    return bounded_sample(one_label(labels, label_col).where(fold("doc_id", folds) != held), max_rows)
+
+
 def train(features: DataFrame, labels: DataFrame, *, label_col="quality", folds=5, held=0, max_rows=MAX_TRAIN_ROWS) -> AdditiveModel:
     """Fit on at most ``max_rows`` rows of ``features`` whose fold is not ``held``."""
-    known = bounded_sample(one_label(labels, label_col).where(fold("doc_id", folds) != held), max_rows)
-    sample = features.join(known, "doc_id").orderBy("doc_id").select("features", "label").collect()  # about max_rows at most
+    known = _known(labels, label_col, folds, held, max_rows)
+    sample = features.join(known, "doc_id").orderBy("doc_id", "features").select("features", "label").collect()  # about max_rows at most
     x = np.frombuffer(b"".join(bytes(r.features) for r in sample), np.float32).reshape(len(sample), len(QUALITY))
     return AdditiveModel(x, np.array([r.label for r in sample], float))
 
 
-def with_scores(df: DataFrame, model: AdditiveModel, *, text_col: str | None = "text", features_col: str | None = None) -> DataFrame:
-    """``df`` with ``score`` from the text, or from features that ``feature_rows`` packed. The model is small."""
+def train_on_texts(docs: DataFrame, labels: DataFrame, *, label_col="quality", folds=5, held=0, max_rows=MAX_TRAIN_ROWS) -> AdditiveModel:
+    """As ``train``; features are computed for the sampled documents alone, whose ids are bounded by ``max_rows``."""
+    known = F.broadcast(_known(labels, label_col, folds, held, max_rows).select("doc_id"))
+    own = docs.select("doc_id", "text").join(known, "doc_id", "left_semi")
+    return train(feature_rows(own), labels, label_col=label_col, folds=folds, held=held, max_rows=max_rows)
+
+
+def with_scores(df: DataFrame, model: AdditiveModel, *, text_col: str | None = "text", features_col: str | None = None, name: str = "score") -> DataFrame:
+    """``df`` with a column ``name`` of scores from the text, or from features that ``feature_rows`` packed; it takes the
+    place of a column of that name. The model is small."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
-    names = df.drop("score").columns
-    source = df.drop("score")
+    source = df.drop(name)
+    names = source.columns
     at = names.index(features_col or text_col)
 
     def run(batches):
@@ -181,15 +193,15 @@ def with_scores(df: DataFrame, model: AdditiveModel, *, text_col: str | None = "
                 x = np.frombuffer(b"".join(batch.column(at).to_pylist()), np.float32).reshape(-1, len(QUALITY))
             else:
                 x = quality_features(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shipped.value.score(x))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shipped.value.score(x))], [*batch.schema.names, name])
 
-    return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL("score double").fields]))
+    return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL(f"{name} double").fields]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier, trained on ``labels`` of ``docs``, does not reject; unchanged."""
-    model = train(materialize(feature_rows(docs), "quality"), labels)
-    return with_scores(docs, model).where(F.col("score") >= threshold).select(*docs.columns)
+    scored = with_scores(docs, train_on_texts(docs, labels), name="_score")
+    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
 
 
 def op2_quality_gam(spark, sf_dir: str) -> DataFrame:

@@ -310,6 +310,10 @@ def test_classifiers_on_held_out_labels(spark, op, label, threshold):
     sf = "/root/testdata/sf0.01"
     got = op(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got[label]).mean() >= 0.93
+    y, p = got[label].to_numpy() == 1, got["predicted"].to_numpy() == 1
+    ranks = got["score"].rank().to_numpy()
+    auc = (ranks[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    assert auc >= 0.9 and (p & y).sum() >= 0.7 * y.sum() and (p & y).sum() >= 0.9 * p.sum()
     assert got["score"].between(0, 1).all() and ((got["score"] >= threshold) == got["predicted"]).all()
 
 
@@ -321,6 +325,11 @@ def test_classifiers_on_awkward_rows(spark, docs, none):
         assert scored.count() == len(rows()) and scored.where("score between 0 and 1").count() == len(rows())
         trees = toxicity.train(docs, labelled)
         assert toxicity.with_scores(docs, trees).where("score between 0 and 1").count() == len(rows())
+    kept = quality.keep_good(docs, labels, threshold=0.0)  # a column of the caller's named score stays as it is
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    bench = spark.createDataFrame([(1, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20"), (2, "b c")], "item_id bigint, text string")
+    clean = decontaminate.remove_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id != 4)
     assert quality.keep_good(none, labels).count() == 0 and toxicity.with_scores(none, toxicity.train(none, labels)).count() == 0
 
 
