@@ -166,11 +166,11 @@ def returning_shares_by_tier(spark, d):
     return x.groupBy("l_suppkey").agg(share(F.col("top"), "top_share"), share(~F.col("top"), "rest_share"), share(F.lit(True), "share"), share(F.col("p_type") == "SMALL", "small_share"))
 
 
-@query("""with g as (select o_custkey, year(o_orderdate) as y, avg(o_totalprice) / 1000 as v from orders group by all), k as (select * from (values (1, 0.9), (2, 1.0), (3, 1.0), (4, 0.7)) t(age, w)), s as (select a.o_custkey, a.y, sum(b.v * w) / sum(w) as talent, sum(w) as sw from g a join g b on a.o_custkey = b.o_custkey join k on a.y - b.y = k.age - 1 group by all)
+@query("""with g as (select o_custkey, year(o_orderdate) as y, avg(o_totalprice) as v from orders group by all), k as (select * from (values (1, 0.9), (2, 1.0), (3, 1.0), (4, 0.7)) t(age, w)), s as (select a.o_custkey, a.y, sum(b.v * w) / sum(w) as talent, sum(w) as sw from g a join g b on a.o_custkey = b.o_custkey join k on a.y - b.y = k.age - 1 group by all)
 select o_custkey, cast(y as integer) as y, round(talent, 6) as talent, rank() over (partition by y order by round(talent, 6) desc) as place from s where sw >= 2""")
 def talent_window(spark, d):
     """Four classes, each weighing by its age, where the weights add up to enough; ranked within the season."""
-    g = read_table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg((F.avg("o_totalprice") / 1000).alias("v"))
+    g = read_table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("v"))
     parts = F.explode(F.array(*(F.struct(F.lit(age - 1).alias("on"), F.lit(w).alias("w")) for age, w in TALENT.items())))
     spread = g.select("o_custkey", "y", "v", parts.alias("k")).select("o_custkey", (F.col("y") + F.col("k.on")).alias("y"), F.col("k.w").alias("w"), (F.col("v") * F.col("k.w")).alias("vw"))
     s = spread.groupBy("o_custkey", "y").agg((F.sum("vw") / F.sum("w")).alias("talent"), F.sum("w").alias("sw")).where(F.col("sw") >= LEAST_TALENT)
@@ -182,10 +182,10 @@ def talent_window(spark, d):
 
 
 @query("""select o_orderkey, case when y > m then 1 when y < m then 0 end as covered, round(avg(case when y > m then 1 when y < m then 0 end) over (partition by o_orderpriority), 6) as rate, round(avg(case when abs(y - m) >= 20 then case when y > m then 1 when y < m then 0 end end) over (partition by o_orderpriority), 6) as large_rate,
-round(coalesce(case when w is null then a when a is null then b else w * a + (1 - w) * b end, 0), 6) as blended from (select *, cast(o_totalprice / 1000 as integer) % 60 as y, cast(o_custkey % 60 as integer) as m, case when o_custkey % 4 > 0 then (o_custkey % 4) / 4.0 end as w, nullif(o_orderkey % 7, 0) as a, nullif(o_orderkey % 5, 0) as b from orders)""")
+round(coalesce(case when w is null then a when a is null then b else w * a + (1 - w) * b end, 0), 6) as blended from (select *, cast(floor(o_totalprice / 1000) as integer) % 60 as y, cast(o_custkey % 60 as integer) as m, case when o_custkey % 4 > 0 then (o_custkey % 4) / 4.0 end as w, nullif(o_orderkey % 7, 0) as a, nullif(o_orderkey % 5, 0) as b from orders)""")
 def grading_with_pushes_and_blends(spark, d):
     """Covers graded with pushes left out, overall and for large edges; blends that fall back where a part is missing."""
-    x = read_table(spark, d, "orders").selectExpr("o_orderkey", "o_orderpriority", "cast(round(o_totalprice / 1000) as int) % 60 as y", "cast(o_custkey % 60 as int) as m", "case when o_custkey % 4 > 0 then (o_custkey % 4) / 4 end as w", "nullif(o_orderkey % 7, 0) as a", "nullif(o_orderkey % 5, 0) as b")
+    x = read_table(spark, d, "orders").selectExpr("o_orderkey", "o_orderpriority", "cast(floor(o_totalprice / 1000) as int) % 60 as y", "cast(o_custkey % 60 as int) as m", "case when o_custkey % 4 > 0 then (o_custkey % 4) / 4 end as w", "nullif(o_orderkey % 7, 0) as a", "nullif(o_orderkey % 5, 0) as b")
     cover = F.when(F.col("y") > F.col("m"), 1).when(F.col("y") < F.col("m"), 0)
     x = x.withColumn("covered", cover).withColumn("large", F.when(F.abs(F.col("y") - F.col("m")) >= 20, F.col("covered")))
     rates = x.groupBy("o_orderpriority").agg(F.round(F.avg("covered"), 6).alias("rate"), F.round(F.avg("large"), 6).alias("large_rate"))
@@ -194,14 +194,14 @@ def grading_with_pushes_and_blends(spark, d):
     return x.join(F.broadcast(rates), "o_orderpriority").select("o_orderkey", "covered", "rate", "large_rate", F.round(F.coalesce(blended, F.lit(0)), 6).alias("blended"))
 
 
-@query("""with c as (select c_custkey, c_nationkey, nullif(cast(c_acctbal as integer) % 5, 0) as score, case c_mktsegment when 'HOUSEHOLD' then '0' when 'MACHINERY' then '1..5' when 'FURNITURE' then 'NL' else '2' end as raw from customer), m as (select median(score) as med from c), f as (select c_custkey, c_nationkey, coalesce(score, med) as score, cast(case raw when '1..5' then '1.5' else raw end as double) as line from c, m where raw <> 'NL'),
+@query("""with c as (select c_custkey, c_nationkey, nullif(cast(floor(c_acctbal) as integer) % 5, 0) as score, case c_mktsegment when 'HOUSEHOLD' then '0' when 'MACHINERY' then '1..5' when 'FURNITURE' then 'NL' else '2' end as raw from customer), m as (select median(score) as med from c), f as (select c_custkey, c_nationkey, coalesce(score, med) as score, cast(case raw when '1..5' then '1.5' else raw end as double) as line from c, m where raw <> 'NL'),
 b as (select c_nationkey, round(avg(score), 6) as base from f group by 1), p as (select s_nationkey as c_nationkey, round(avg(s_acctbal), 6) as preferred from supplier where s_acctbal > 3000 group by 1)
 select coalesce(b.c_nationkey, p.c_nationkey) as nation, coalesce(p.preferred, b.base) as value, n_name from b full join p on b.c_nationkey = p.c_nationkey right join nation on n_nationkey = coalesce(b.c_nationkey, p.c_nationkey) where exists (select 1 from orders where o_orderstatus = 'F')""")
 def cleaned_override_dimension(spark, d):
     """Literals mended, nulls filled by the median, a dimension of two sources whose preferred one wins, every nation kept."""
     seg = F.col("c_mktsegment")
     raw = F.when(seg == "HOUSEHOLD", "0").when(seg == "MACHINERY", "1..5").when(seg == "FURNITURE", "NL").otherwise("2")
-    c = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", F.nullif(F.round("c_acctbal").cast("int") % 5, F.lit(0)).alias("score"), raw.alias("raw"))
+    c = read_table(spark, d, "customer").select("c_custkey", "c_nationkey", F.nullif(F.floor("c_acctbal").cast("int") % 5, F.lit(0)).alias("score"), raw.alias("raw"))
     m = c.agg(F.median("score").alias("med"))  # one row
     f = c.where("raw <> 'NL'").replace({"1..5": "1.5"}, subset=["raw"]).crossJoin(F.broadcast(m)).select("c_nationkey", F.coalesce("score", "med").alias("score"), F.col("raw").try_cast("double").alias("line")).na.drop(subset=["line"])
     check_columns(f, ["c_nationkey", "score", "line"])
