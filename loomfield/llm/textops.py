@@ -7,6 +7,7 @@ whole documents of a bounded number of bytes, so that memory does not follow the
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,13 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
 _LIBC = ctypes.CDLL(None)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SECOND = 0xD1B54A32D192ED03
-_POWERS: dict[int, tuple[np.ndarray, int]] = {}
+#: Spans of more bytes are hashed by a digest.
+LONG = 256
+_STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: (base, prime) of the polynomials of ``span_hashes_128``
+_POLYNOMIALS = (((1136930381, 2147483647), (1372941613, 2147483629)), ((1825370917, 2147483587), (1589327041, 2147483579)))
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,13 +56,17 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo a prime under 2 ** 31."""
+    have = _POWERS.get((base, prime))
     if have is None or len(have) < n:
         size = 1 << max(16, int(n - 1).bit_length())
-        out = np.ones(size, np.uint64)
-        out[1:] = np.uint64(base)
-        _POWERS[base] = have = np.multiply.accumulate(out)
+        have = np.ones(size, np.uint64)
+        done, step = 1, base
+        while done < size:
+            have[done : 2 * done] = have[:done] * np.uint64(step) % np.uint64(prime)
+            done, step = 2 * done, step * step % prime
+        _POWERS[base, prime] = have
     return have[:n]
 
 
@@ -88,16 +97,57 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: one polynomial prefix sum over the block, then differences."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: its length, then eight bytes after eight, each step a bijection mixed
+    before the next, so spans of up to eight bytes and one length never collide. Spans of over ``LONG`` bytes go by
+    their BLAKE2b digest."""
+    n = ends - starts
+    h = mix(n.astype(np.uint64) * _STEP + _SEED)
+    if not len(n):
+        return h
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(h ^ (eight[starts] & _MASKS[np.minimum(n, 8)]))
+    live, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(live):
+        h[live] = mix(h[live] * _STEP ^ (eight[starts[live] + at] & _MASKS[np.minimum(n[live] - at, 8)]))
+        at += 8
+        live = live[n[live] > at]
+    for k in np.flatnonzero(n > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, n: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether data[starts : starts + n] and other[others : others + n] hold the same bytes, span by span."""
+    same = np.ones(len(n), bool)
+    if not len(n):
+        return same
+    own, theirs = (np.ndarray((len(x) + 1,), "<u8", np.concatenate((x, np.zeros(8, np.uint8))), strides=(1,)) for x in (data, other))
+    live, at = np.arange(len(n)), 0
+    while len(live):
+        mask = _MASKS[np.minimum(n[live] - at, 8)]
+        same[live] = (own[starts[live] + at] & mask) == (theirs[others[live] + at] & mask)
+        at += 8
+        live = live[(n[live] > at) & same[live]]
+    return same
 
 
 def span_hashes_128(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return span_hashes(data, starts, ends), span_hashes(data, starts, ends, _SECOND)
+    """Two 64-bit hashes of spans that may overlap: polynomials modulo four primes by prefix sums and differences."""
+    out = []
+    for pair in _POLYNOMIALS:
+        h = mix((ends - starts).astype(np.uint64) + _SEED)
+        for base, prime in pair:
+            sums, p = np.zeros(len(data) + 1, np.uint64), np.uint64(prime)
+            powers = _powers(base, prime, len(data) + 1)[1:]
+            for lo in range(0, len(data), 1 << 22):  # sums of so many stay under 2 ** 64
+                part = slice(lo, lo + (1 << 22))
+                sums[1:][part] = sums[lo] % p + np.cumsum((data[part].astype(np.uint64) + np.uint64(1)) * powers[part])
+            gap = (sums[ends] % p + p - sums[starts] % p) % p
+            h = mix(h * _STEP ^ gap * _powers(pow(base, -1, prime), prime, len(data) + 1)[starts] % p)
+        out.append(h)
+    return out[0], out[1]
 
 
 def counts_by_doc(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

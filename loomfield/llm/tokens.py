@@ -35,7 +35,7 @@ def default_tokenizer_path() -> str:
 class WordTokenizer:
     """Encodes texts to int64 arrays; ``special_as_text`` treats special tokens' strings as ordinary text.
 
-    Plain texts are split on byte classes and their words looked up by 64-bit hash. Others (contractions,
+    Plain texts are split on byte classes and their words looked up by 64-bit hash and compared by their bytes. Others (contractions,
     letters beyond Latin, text of special tokens) go whole to the library.
     """
 
@@ -52,25 +52,38 @@ class WordTokenizer:
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
-        self.used = self.words = 0
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        self.bytes = np.zeros(1 << 20, np.uint8)
+        self.byte_at = np.zeros(1 << 16, np.int64)
+        self.n_bytes = np.zeros(1 << 16, np.int64)
+        self.used = self.words = self.used_bytes = 0
+
+    def _store(self, raw: list[bytes]) -> np.ndarray:
+        """Numbers of words that are new here, each kept with its bytes and its ids."""
+        ids = [e.ids for e in self.whole.encode_batch_fast([w.decode() for w in raw], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        n = self.words
-        while n + len(words) > len(self.at):
-            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        n, end = self.words, self.words + len(raw)
+        while end > len(self.at):
+            self.at, self.size, self.byte_at, self.n_bytes = (np.concatenate((x, x)) for x in (self.at, self.size, self.byte_at, self.n_bytes))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
+        while self.used_bytes + len(text) > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, self.bytes))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(words)] = sizes
-        self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.bytes[self.used_bytes : self.used_bytes + len(text)] = text
+        self.size[n:end], self.n_bytes[n:end] = sizes, lengths
+        self.at[n:end] = self.used + np.cumsum(sizes) - sizes
+        self.byte_at[n:end] = self.used_bytes + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.words += len(words)
+        self.used_bytes += len(text)
+        self.words = end
+        return np.arange(n, end)
+
+    def _add(self, keys: np.ndarray, raw: list[bytes]) -> None:
         where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.number = np.insert(self.number, where, np.arange(n, n + len(words)))
+        self.keys, self.number = np.insert(self.keys, where, keys), np.insert(self.number, where, self._store(raw))
 
     def _numbers(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of words by key; -1 for those not seen yet."""
@@ -94,11 +107,16 @@ class WordTokenizer:
         keys, first, which = np.unique(textops.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         number = self._numbers(keys)
         new = np.flatnonzero(number < 0)
+        word_at = lambda k: data[starts[k] : ends[k]].tobytes()
         if len(new):
-            raw = data.tobytes()
-            self._add(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self._add(keys[new], [word_at(k) for k in first[new].tolist()])
             number = self._numbers(keys)
         which = number[which]
+        # words of one key are told apart by their bytes
+        length = ends - starts
+        other = np.flatnonzero(~((self.n_bytes[which] == length) & textops.same_spans(data, starts, np.minimum(length, self.n_bytes[which]), self.bytes[: self.used_bytes], self.byte_at[which])))
+        if len(other):
+            which[other] = self._store([word_at(k) for k in other.tolist()])
         size = self.size[which]
         ids = self.flat[textops.ragged(self.at[which], size)].astype(np.int64)
         return ids, np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, offsets)]
