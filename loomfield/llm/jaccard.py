@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .graph import components
-from .shared import arrow_rows, forget, materialize, table, text_digest
+from .shared import arrow_rows, forget, materialize, spread_join, table, text_digest
 
 SIZE = 4
 PERCENT = 85
@@ -129,12 +129,12 @@ class Signatures:
         return np.concatenate(keys) if keys else grams[:0]
 
 
-def _profile(docs: DataFrame, size: int, percent: int, carried: str | None = None) -> DataFrame:
+def _profile(docs: DataFrame, size: int, percent: int, carried: str | None = None, router=Signatures) -> DataFrame:
     """doc_id, n, and for non-empty sets their digest, count vector and signatures; a binary column ``carried`` rides along."""
     more = [carried] if carried else []
 
     def run(batches):
-        routes = Signatures(percent)
+        routes = router(percent)
         for batch in batches:
             keys = batch.column(0)
             n, digest, vector, routed, at = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [], np.zeros(batch.num_rows, np.int64)
@@ -232,7 +232,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, perc
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = materialize(_sets_of(docs, nodes.join(involved, "node").select("node", "doc_id", "digest"), size), "sets")
     first = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    both = first.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
+    both = spread_join(first, sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a", _counts(pairs), "b").select("a", "b", "ga", "gb")
 
     def run(batches):
         for batch in batches:
@@ -246,10 +246,14 @@ def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, perc
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a").agg(F.count("*").alias("c"))
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose summed coordinate minima allow a link."""
     own = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("vector").alias(f"v{c}"))
-    wide = pairs.join(own("b"), "b").join(own("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    wide = spread_join(pairs.join(own("b"), "b"), own("a"), "a", _counts(pairs), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for batch in batches:
@@ -390,19 +394,26 @@ def jaccard_components(docs: DataFrame, *, size: int = SIZE, percent: int = PERC
         return _components_of(docs, size, percent).drop("component")
 
 
-def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, component (null for an empty set) and ``carried`` for every row."""
+def signature_tokens(routed: DataFrame) -> DataFrame:
+    """(node, token): nodes of one token meet."""
+    return routed.select("node", F.explode("routes").alias("token"))
+
+
+def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None = None, router=Signatures, tokens_of=signature_tokens) -> DataFrame:
+    """doc_id, n_shingles, component_id, component (null for an empty set) and ``carried`` for every row. ``router``
+    gives a set its routes, ``tokens_of`` the tokens of all nodes by their routes."""
     more = [carried] if carried else []
-    wide = materialize(_profile(docs, size, percent, carried), "profile")
+    wide = materialize(_profile(docs, size, percent, carried, router), "profile")
     profile = materialize(wide.select("doc_id", "n", "digest", *more), "rows")
     nodes = wide.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "vector", "routes")))
     routed = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "routed")
     forget(wide)
-    tokens = routed.select("node", F.explode("routes").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1")
+    tokens = tokens_of(routed)
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1"), "shared")
     # all buckets of one pivot make one group, so that a pair meets once and not in every shingle it shares
-    groups = tokens.join(shared, "token").where("node <> pivot").select("pivot", "node").distinct()
+    groups = spread_join(tokens, shared.drop("c"), "token", shared.select("token", "c"), "node").where("node <> pivot").select("pivot", "node").distinct()
     groups = materialize(groups, "groups")
+    forget(shared)
     nodes = materialize(routed.drop("routes"), "nodes")
     forget(routed)
     points = nodes.select("node", "n", "vector")

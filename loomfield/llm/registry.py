@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard_rtree
+from .minhash import OP12_SQL, op12_tensored_minhash
 from .packing import op10_pattern_packing
 from .quality import op2_quality_gam
 from .search import op9_bm25_top10
@@ -25,8 +26,9 @@ def queries():
         "op8_feistel_order": op8_feistel_order,
         "op9_bm25_top10": op9_bm25_top10,
         "op10_pattern_packing": op10_pattern_packing,
+        "op12_tensored_minhash": op12_tensored_minhash,
     }
 
 
 def oracle_sql():
-    return {"op5_jaccard_rtree": OP5_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op5_jaccard_rtree": OP5_SQL, "op6_decontaminate": OP6_SQL, "op12_tensored_minhash": OP12_SQL}

@@ -60,6 +60,22 @@ def text_digest(column: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(column).cast("binary"), F.lit(b"")), 256), 1, 32))
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
+    """``many`` joined to the one row a ``key`` of ``one``; ``counts`` (key, c) says how many rows of ``many`` a key has.
+
+    Keys with more than one row in 4,096 are dealt over several tasks by ``by``, and their row of ``one`` is repeated for
+    each; there are at most 4,096 such keys, with as many repeats, so what is broadcast does not grow with the data."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    most = max(1000, total // 4096)
+    heavy = [(r[0], -(-r[1] // most)) for r in counts.where(F.col("c") > most).select(key, "c").collect()]
+    if not heavy:
+        return many.join(one, key)
+    few = F.broadcast(many.sparkSession.createDataFrame(heavy, f"{key} bigint, _parts bigint"))
+    left = many.join(few, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    right = one.join(few, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
