@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .clustering import OP13_SQL, op13_dual_tree_lloyd
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard_rtree
 from .minhash import OP12_SQL, op12_tensored_minhash
@@ -27,8 +28,9 @@ def queries():
         "op9_bm25_top10": op9_bm25_top10,
         "op10_pattern_packing": op10_pattern_packing,
         "op12_tensored_minhash": op12_tensored_minhash,
+        "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
     }
 
 
 def oracle_sql():
-    return {"op5_jaccard_rtree": OP5_SQL, "op6_decontaminate": OP6_SQL, "op12_tensored_minhash": OP12_SQL}
+    return {"op5_jaccard_rtree": OP5_SQL, "op6_decontaminate": OP6_SQL, "op12_tensored_minhash": OP12_SQL, "op13_dual_tree_lloyd": OP13_SQL}
