@@ -82,3 +82,20 @@ def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     n = F.sum("_c").over(w)
     ranks = counts.select(*keys, value, (before + 1).alias("_rank"), (before + (F.col("_c") + 1) / 2).alias("_mean_rank"), (n - before - F.col("_c") + 1).alias("_rank_desc"), n.alias("_n"))
     return join_null_safe(df, ranks, [*keys, value])
+
+
+def ordered_numbers(df: DataFrame, order: list, name: str, store) -> DataFrame:
+    """``df`` with 1, 2, 3... in ``order``: range partitions are sorted each by itself, and the sizes of those before are added.
+
+    No task holds more than a partition. ``store`` writes a table where all executors read it back, so that ranges are cut
+    once; one number a partition passes the driver. ``order`` should tell rows apart, for ties cannot be split."""
+    sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = store(sorted_parts.withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r[0], r[1]) for r in stored.groupBy(part.alias("_part")).count().collect())
+    before, rows = 0, []
+    for p, n in sizes:
+        rows.append((p, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_part bigint, _before bigint"))
+    return stored.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_before") + within + 1).drop("_at", "_part", "_before")

@@ -95,3 +95,16 @@ def test_guarded_write(spark, tmp_path):
 def test_outer_explode_keeps_empty(spark):
     df = spark.createDataFrame([(1, "[]"), (2, "[4,5]")], "k int, j string")
     assert sorted((r.k, r.item or 0) for r in T.json_rows(df, "j", "array<int>").collect()) == [(1, 0), (2, 4), (2, 5)]
+
+
+def test_ordered_numbers(spark, tmp_path):
+    def store(df):
+        df.write.parquet(f"{tmp_path}/t")
+        return spark.read.parquet(f"{tmp_path}/t")
+
+    df = spark.range(0, 3000).select("id", (F.col("id") * 7919 % 100).alias("score")).repartition(7)
+    got = R.ordered_numbers(df, [F.col("score").desc(), F.col("id").asc()], "n", store)
+    want = sorted((-r.score, r.id) for r in df.collect())
+    assert sorted((r.n, -r.score, r.id) for r in got.collect()) == [(k + 1, *w) for k, w in enumerate(want)]
+    none = R.ordered_numbers(df.limit(0), [F.col("id").asc()], "n", lambda x: x)
+    assert none.count() == 0 and none.columns == ["id", "score", "n"]
