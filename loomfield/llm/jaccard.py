@@ -38,6 +38,8 @@ GROUPS = 64
 CLASS_EIGHTHS = 11
 #: Nodes of a group, and bytes of their count vectors, that are compared with each other at once.
 BLOCK, BLOCK_BYTES = 1024, 1 << 20
+#: A node in so many is in the sample that tells hot tokens, those of more nodes of it than this.
+SAMPLE, HOT_SAMPLE = 256, 50
 #: Bits of the filter that keeps most uninvolved documents from being hashed again; a fixed 1 MB.
 FILTER_BITS = 1 << 23
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -399,6 +401,35 @@ def signature_tokens(routed: DataFrame) -> DataFrame:
     return routed.select("node", F.explode("routes").alias("token"))
 
 
+def meetings(tokens: DataFrame) -> DataFrame:
+    """(pivot, node): for every token (node, token) of several nodes, one of them with each other one.
+
+    Rows of a token meet by one shuffle and a sort, and its pivot is the first of them. Tokens that many nodes of a hashed
+    sample have, 4,096 of them at most, are joined by broadcast instead, with a pivot of the sample; so no
+    task holds a hot token, and the sample decides only which way a token goes."""
+    part = tokens.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot"))
+    hot = [(r.token, r.pivot) for r in part.where(F.col("c") > HOT_SAMPLE).orderBy(F.col("c").desc(), "token").limit(4096).collect()]
+    light = tokens.select("token", "node")
+    if hot:
+        few = F.broadcast(tokens.sparkSession.createDataFrame(hot, "token bigint, pivot bigint"))
+        light = light.join(few, "token", "left_anti")
+
+    def run(batches):
+        last, pivot = None, 0
+        for batch in batches:
+            token, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(token):
+                continue
+            fresh = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
+            own = np.concatenate(([pivot], node[fresh]))[np.cumsum(fresh)]
+            last, pivot = token[-1], own[-1]
+            other = own != node
+            yield pa.RecordBatch.from_arrays([pa.array(own[other]), pa.array(node[other])], ["pivot", "node"])
+
+    met = light.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "pivot bigint, node bigint")
+    return met.union(tokens.join(few, "token").where("node <> pivot").select("pivot", "node")) if hot else met
+
+
 def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None = None, router=Signatures, tokens_of=signature_tokens) -> DataFrame:
     """doc_id, n_shingles, component_id, component (null for an empty set) and ``carried`` for every row. ``router``
     gives a set its routes, ``tokens_of`` the tokens of all nodes by their routes."""
@@ -408,12 +439,9 @@ def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None
     nodes = wide.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "vector", "routes")))
     routed = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "routed")
     forget(wide)
-    tokens = tokens_of(routed)
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).where("c > 1"), "shared")
     # all buckets of one pivot make one group, so that a pair meets once and not in every shingle it shares
-    groups = spread_join(tokens, shared.drop("c"), "token", shared.select("token", "c"), "node").where("node <> pivot").select("pivot", "node").distinct()
-    groups = materialize(groups, "groups")
-    forget(shared)
+    with arrow_rows(docs.sparkSession, 1 << 16, narrow=True):
+        groups = materialize(meetings(tokens_of(routed)).distinct(), "groups")
     nodes = materialize(routed.drop("routes"), "nodes")
     forget(routed)
     points = nodes.select("node", "n", "vector")

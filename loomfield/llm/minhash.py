@@ -79,7 +79,7 @@ def tensored_tokens(m: int):
         side = lambda first: F.collect_list(F.when((F.col("place") < m) == F.lit(first), F.col("band")))
         both = live.groupBy("node").agg(side(True).alias("x"), side(False).alias("y"))  # at most m of each
         pairs = both.select("node", F.explode("x").alias("x"), "y").select("node", "x", F.explode("y").alias("y"))
-        return materialize(pairs.select("node", F.xxhash64("x", "y").alias("token")), "tokens")
+        return materialize(pairs.select("node", F.xxhash64("x", "y").alias("token")), "tokens")  # read twice
 
     return tokens
 

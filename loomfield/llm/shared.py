@@ -81,11 +81,11 @@ def partitions_for(spark: SparkSession) -> int:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Within it, jobs over wide rows hand Python at most so many rows at once."""
+def arrow_rows(spark: SparkSession, rows: int, narrow: bool = False):
+    """Within it, jobs over wide rows hand Python at most so many rows at once; those over ``narrow`` ones so many."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 and not narrow else rows)
     try:
         yield
     finally:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomfield.llm import minhash, shared
+from loomfield.llm import jaccard, minhash, shared
 from loomfield.llm.minhash import Bands, bands_for, minhash_components
 
 LOW = {k: k + 32 for k in range(65, 91)}
@@ -114,3 +114,18 @@ def test_spread_join_keeps_rows_of_heavy_keys(spark):
     counts = many.groupBy("key").agg(F.count("*").alias("c"))
     got = shared.spread_join(many, one, "key", counts, "id")
     assert sorted(map(tuple, got.select("key", "id", "value").collect())) == sorted(map(tuple, many.join(one, "key").select("key", "id", "value").collect()))
+
+
+@pytest.mark.parametrize("hot", [(256, 50), (1, 20)])
+def test_meetings_join_all_nodes_of_a_token(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "SAMPLE", hot[0])
+    monkeypatch.setattr(jaccard, "HOT_SAMPLE", hot[1])
+    rows = [(n, n % 7) for n in range(300)] + [(n, 100 + n) for n in range(300)] + [(5, 5), (7, 200), (8, 200)]
+    tokens = spark.createDataFrame(rows, "node bigint, token bigint").repartition(5)
+    met = {tuple(r) for r in jaccard.meetings(tokens).collect()}
+    want = {}
+    for n, t in rows:
+        want.setdefault(t, set()).add(n)
+    assert all(a != b and any({a, b} <= s for s in want.values()) for a, b in met)
+    for s in want.values():  # a star over every token's nodes
+        assert len(s) == 1 or any(all((c, n) in met for n in s - {c}) for c in s)
