@@ -42,8 +42,9 @@ with words as (
   )
 ),
 windowed as (select key, cont, p, word, {leads} from words window run as (partition by key, cont order by p)),
-features as ({runs})
-select key, (crc(feature) % {buckets})::int as bucket, count(*) as n from features group by all
+features as materialized ({runs}),
+hashed as (select feature, (crc(feature) % {buckets})::int as bucket from (select distinct feature from features))
+select key, bucket, count(*) as n from features join hashed using (feature) group by all
 """
 
 
