@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfield.operators import relational as R
+from loomfield.operators.moments import nonnegative_blend
 from loomfield.operators.ridge import margin_ratings, ridge_ratings
 from loomfield.sources.tables import read_table
 
@@ -71,20 +72,16 @@ _WA = _BLEND.format(both="(ay * bb - by_ * ab) / det", first="greatest(ay, 0) /
 _WB = _BLEND.format(both="(by_ * aa - ay * ab) / det", first="0.0", second="greatest(by_, 0) / nullif(bb, 0)")
 
 
-@query(f"""with x as (select month(o_orderdate) as m, o_totalprice / 1000 as y, o_custkey / 100 as a, cast(o_orderkey % 97 as double) as b from orders), s as (select m, count(*) as n, sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(a * y) as ay, sum(b * y) as by_ from x group by m),
-p as (select sum(aa) as aa, sum(bb) as bb, sum(ab) as ab, sum(ay) as ay, sum(by_) as by_ from s), u as (select m, aa, bb, ab, ay, by_ from s where n >= 40 union all select s.m, p.aa, p.bb, p.ab, p.ay, p.by_ from s, p where n < 40), t as (select *, aa * bb - ab * ab as det from u)
-select cast(m as integer) as m, round(case when m = 1 then 1.0 else {_WA} end, 6) as wa, round(case when m = 1 then 0.0 else {_WB} end, 6) as wb from t""")
+@query(f"""with x as (select month(o_orderdate) as m, o_totalprice / 1000 as y, o_custkey / 100 as a, cast(o_orderkey % 97 as double) as b from orders), s as (select m, cast(count(*) as double) as n, sum(a) as a, sum(b) as b, sum(y) as y, sum(a * a) as aa, sum(b * b) as bb, sum(a * b) as ab, sum(a * y) as ay, sum(b * y) as by_ from x group by m),
+p as (select sum(n) as n, sum(a) as a, sum(b) as b, sum(y) as y, sum(aa) as aa, sum(bb) as bb, sum(ab) as ab, sum(ay) as ay, sum(by_) as by_ from s), u as (select * from s where n >= 40 union all select s.m, p.* from s, p where s.n < 40),
+c as (select m, a / n as ma, b / n as mb, y / n as my, aa - a * a / n as aa, bb - b * b / n as bb, ab - a * b / n as ab, ay - a * y / n as ay, by_ - b * y / n as by_ from u), t as (select *, aa * bb - ab * ab as det from c), w as (select m, ma, mb, my, {_WA} as wa, {_WB} as wb from t)
+select cast(m as integer) as m, round(case when m = 1 then 1.0 else wa end, 6) as wa, round(case when m = 1 then 0.0 else wb end, 6) as wb, round(case when m = 1 then 0.0 else my - wa * ma - wb * mb end, 4) as intercept from w""")
 def nnls_blend_weekly(spark, d):
-    """Non-negative blend weights of two predictors for each month, from sums alone, by which of them is zero; pooled under
-    40 rows, and the first month takes the first predictor as it is."""
+    """Non-negative blend weights of two predictors and an intercept for each month, by an active set on the month's centred
+    sums; pooled under 40 rows, and the first month takes the first predictor as it is."""
     x = read_table(spark, d, "orders").select(F.month("o_orderdate").alias("m"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 100).alias("a"), (F.col("o_orderkey") % 97).cast("double").alias("b"))
-    sums = ["aa", "bb", "ab", "ay", "by_"]
-    s = x.groupBy("m").agg(F.count("*").alias("n"), *[F.sum(F.col(c[0]) * F.col(c[1])).alias(c) for c in sums])
-    pooled = s.agg(*[F.sum(c).alias(c) for c in sums])
-    few = s.where("n < 40").select("m").crossJoin(F.broadcast(pooled))  # one row
-    t = s.where("n >= 40").select("m", *sums).unionByName(few).withColumn("det", F.expr("aa * bb - ab * ab"))
-    first = F.col("m") == 1
-    return t.select("m", F.round(F.when(first, 1.0).otherwise(F.expr(_WA)), 6).alias("wa"), F.round(F.when(first, 0.0).otherwise(F.expr(_WB)), 6).alias("wb"))
+    fit = nonnegative_blend(x, ["a", "b"], "y", "m", forced=1)
+    return fit.select("m", F.round("w_a", 6).alias("wa"), F.round("w_b", 6).alias("wb"), F.round("intercept", 4).alias("intercept"))
 
 
 @query()

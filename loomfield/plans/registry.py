@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomfield.plans import events_lineitem, ladders, models, plays, repairs, texts
+from loomfield.plans import events_lineitem, fitted, ladders, models, plays, repairs, texts
 
-_PARTS = (events_lineitem, models, repairs, plays, texts, ladders)
+_PARTS = (events_lineitem, models, repairs, plays, texts, ladders, fitted)
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -54,12 +55,28 @@ def flatten_struct(df: DataFrame, column: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c != column), *(F.col(f"{column}.{f}").alias(f"{column}_{f}") for f in fields))
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder, which the whole cluster shares; the warehouse where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under the checkpoint folder, which the whole cluster shares. Where none is named a local session, as in
+    tests, gets a temporary one, and any other raises: executors would not see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="loomfield-")
+        _OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/loomfield/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: later jobs start from the table, on whatever executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv_by(df: DataFrame, path: str, by: str) -> None:
     """One folder of CSV files with headers for each value of ``by``."""
     df.repartition(by).write.option("header", True).partitionBy(by).csv(path)
