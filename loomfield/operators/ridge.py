@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.sources.tables import stored
+
 INTERCEPT = "__intercept__"
 
 
@@ -31,7 +33,7 @@ def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cel
 
     Groups of fewer cells or entities, or of means with less spread, carry no rating; cells without a weight or mean count for nothing.
     """
-    cells = cells.where("weight > 0 and mean is not null").withColumn("opponent", F.col("opponent").cast("string"))
+    cells = stored(cells.where("weight > 0 and mean is not null").withColumn("opponent", F.col("opponent").cast("string")), "cells")
     fit = cells.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct("entity").alias("e"), F.stddev_samp("mean").alias("s"))
     fit = fit.where((F.col("n") >= least_cells) & (F.col("e") >= least_entities) & (F.col("s") >= least_spread)).select(group)
     cells = cells.join(fit, group).select(group, "entity", F.col("opponent").alias("j"), F.col("weight").alias("w"), (F.col("weight") * F.col("mean")).alias("wy"))
@@ -39,7 +41,8 @@ def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cel
     own = cells.groupBy(group, "entity").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
     rows = cells.unionByName(own.withColumn("j", F.lit(INTERCEPT)))
     total = own.select(group, "entity", (F.col("w") + alpha).alias("d"), F.col("wy").alias("all"))
-    left = rows.join(total, [group, "entity"])
+    rows = left = stored(rows.join(total, [group, "entity"]), "rows")
+    total = rows.where(F.col("j") == INTERCEPT).select(group, "entity", "d", "all")
     right = rows.select(group, "entity", F.col("j").alias("k"), F.col("w").alias("v"))
     # what eliminating the entities takes off, opponents by opponents
     off = left.join(right, [group, "entity"]).groupBy(group, "j", "k").agg((-F.sum(F.col("w") * F.col("v") / F.col("d"))).alias("a"))
@@ -52,7 +55,7 @@ def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cel
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return solve_opponents(pdf, alpha).assign(**{group: key[0]})[[group, "j", "effect"]]
 
-    effects = system.groupBy(group).applyInPandas(run, f"{group} {kind}, j string, effect double")
+    effects = stored(system.groupBy(group).applyInPandas(run, f"{group} {kind}, j string, effect double"), "effects")
     base = effects.groupBy(group).agg(F.sum(F.when(F.col("j") == INTERCEPT, F.col("effect"))).alias("intercept"), F.avg(F.when(F.col("j") != INTERCEPT, F.col("effect"))).alias("mean"))
     gone = rows.join(effects, [group, "j"]).groupBy(group, "entity").agg(F.sum(F.col("w") * F.col("effect")).alias("gone"))
     out = total.join(gone, [group, "entity"]).join(base, group)
@@ -61,23 +64,27 @@ def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cel
 
 def margin_ratings(games: DataFrame, group: str, alpha: float = 25.0) -> DataFrame:
     """(group, team, rating, edge) from games (group, home, away, home_level, away_level, margin): a team's level and the edge
-    of the home side are unpenalised, what a team is above its level is penalised. Levels and teams of a group meet in one task."""
+    of the home side are unpenalised, what a team is above its level is penalised. Games collapse to sums by pair of teams; a
+    task holds the normal equations of its group's teams and levels, never its games."""
     kind = dict(games.dtypes)
+    cells = games.groupBy(group, "home", "away", "home_level", "away_level").agg(F.count("margin").alias("n"), F.sum("margin").alias("s")).where("n > 0")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         teams = pd.concat((pdf[["home", "home_level"]].set_axis(["team", "level"], axis=1), pdf[["away", "away_level"]].set_axis(["team", "level"], axis=1))).groupby("team")["level"].min()
         levels = pd.Index(sorted(teams.unique()))
         n, m = len(teams), len(levels)
-        x = np.zeros((len(pdf), n + m))
-        row = np.arange(len(pdf))
-        for side, sign in (("home", 1.0), ("away", -1.0)):
-            at = teams.index.get_indexer(pdf[side])
-            np.add.at(x, (row, at), sign)
-            np.add.at(x, (row, n + levels.get_indexer(teams.to_numpy()[at])), sign)
-        x[:, n] = 1.0  # the first level is the base, its column the home edge
-        penalty = np.concatenate((np.full(n, alpha), np.full(m, 1e-9)))
-        b = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ pdf["margin"].to_numpy(float))
+        level = levels.get_indexer(teams.to_numpy())
+        home, away = (teams.index.get_indexer(pdf[side]) for side in ("home", "away"))
+        # a game's row: both teams, the home edge in the place of the first level, which is the base, and the other levels
+        entries = [(home, 1.0), (away, -1.0), (np.full(len(pdf), n), 1.0), (n + level[home], np.where(level[home] > 0, 1.0, 0.0)), (n + level[away], np.where(level[away] > 0, -1.0, 0.0))]
+        count, total = pdf["n"].to_numpy(float), pdf["s"].to_numpy(float)
+        a, b = np.zeros((n + m, n + m)), np.zeros(n + m)
+        for i, x in entries:
+            np.add.at(b, i, x * total)
+            for k, y in entries:
+                np.add.at(a, (i, k), x * y * count)
+        b = np.linalg.solve(a + np.diag(np.concatenate((np.full(n, alpha), np.full(m, 1e-9)))), b)
         step = np.concatenate(([0.0], b[n + 1 :]))
-        return pd.DataFrame({group: key[0], "team": teams.index, "rating": b[:n] + step[levels.get_indexer(teams.to_numpy())], "edge": b[n]})
+        return pd.DataFrame({group: key[0], "team": teams.index, "rating": b[:n] + step[level], "edge": b[n]})
 
-    return games.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, team {kind['home']}, rating double, edge double")
+    return cells.groupBy(group).applyInPandas(run, f"{group} {kind[group]}, team {kind['home']}, rating double, edge double")

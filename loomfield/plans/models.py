@@ -110,7 +110,8 @@ select p_partkey, round(sum(case when m > 0 then k else 0 end) / max(total), 9)
 round(sum(case when m > line then k else 0 end) / (max(total) - sum(case when m = line then k else 0 end)), 9) as p_cover from c group by p_partkey""")
 def margin_distribution(spark, d):
     """A margin's distribution on a grid, held as one array a row: chances, mean, median, mode, and the chance to cover a line."""
-    x = read_table(spark, d, "part").select("p_partkey", (F.col("p_size") - 25).alias("mu"), (F.col("p_partkey") % 15 - 7).alias("line"))
+    parts = read_table(spark, d, "part").select("p_partkey", (F.col("p_size") - 25).alias("mu"), (F.col("p_partkey") % 15 - 7).alias("line"))
+    x = parts.select("mu", "line").distinct()  # what a distribution follows from; parts share it
     cells = F.transform(F.sequence(F.lit(-100), F.lit(100)), lambda m: F.struct(m.alias("m"), F.exp(-0.5 * F.pow((m - F.col("mu")) / 16.0, 2)).alias("k")))
     x = x.withColumn("g", cells)
     add = lambda f: F.aggregate("g", F.lit(0.0), lambda a, c: a + f(c))
@@ -120,10 +121,11 @@ def margin_distribution(spark, d):
     half = F.aggregate("g", start, lambda a, c: F.struct((a["c"] + c["k"]).alias("c"), F.when(a["m"].isNull() & (a["c"] + c["k"] >= F.col("total") / 2 - 1e-9), c["m"]).otherwise(a["m"]).alias("m")))
     mode = F.array_max(F.transform("g", lambda c: F.struct(c["k"], c["m"])))["m"]
     nine = lambda c: F.round(c, 9)
-    return x.select(
-        "p_partkey", nine(where(lambda m: m > 0) / F.col("total")).alias("p_win"), nine(where(lambda m: m == 0) / F.col("total")).alias("p_tie"), (F.round(add(lambda c: c["m"] * c["k"]) / F.col("total"), 6) + F.lit(0.0)).alias("mean"),
+    found = x.select(
+        "mu", "line", nine(where(lambda m: m > 0) / F.col("total")).alias("p_win"), nine(where(lambda m: m == 0) / F.col("total")).alias("p_tie"), (F.round(add(lambda c: c["m"] * c["k"]) / F.col("total"), 6) + F.lit(0.0)).alias("mean"),
         half["m"].alias("median"), mode.alias("mode"), nine(where(lambda m: m > F.col("line")) / (F.col("total") - where(lambda m: m == F.col("line")))).alias("p_cover"),
     )
+    return parts.join(found, ["mu", "line"]).drop("mu", "line")
 
 
 @query("with g as (select unnest(range(0, 52)) as x), h as (select l_quantity as q, count(*) as n from lineitem group by 1) select cast(x as integer) as x, round(coalesce(sum(n * greatest(0, 1 - abs(q - x) / 2.0)), 0) / (select count(*) * 2.0 from lineitem), 9) as density from g left join h on abs(q - x) < 2 group by x")

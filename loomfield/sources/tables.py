@@ -82,9 +82,11 @@ def write_csv_by(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.option("header", True).partitionBy(by).csv(path)
 
 
-def read_csv_seasons(spark: SparkSession, path: str, name: str = "season") -> DataFrame:
-    """All season files under ``path`` as one table, schema inferred, the season from each file's own path."""
-    files = spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).csv(path)
+def read_csv_seasons(spark: SparkSession, path: str, name: str = "season", schema: str | None = None) -> DataFrame:
+    """All season files under ``path`` as one table, the season from each file's own path; without a ``schema`` the types are
+    inferred, which reads every file twice."""
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    files = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return files.withColumn(name, F.regexp_extract(F.input_file_name(), rf"{name}=(\d+)", 1).cast("int"))
 
 

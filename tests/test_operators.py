@@ -85,6 +85,28 @@ def test_margin_ratings_leave_levels_and_the_home_edge_unpenalised(spark):
             assert abs((got[a].rating - got[b].rating) - (strength[a] - strength[b] + 20 * (level[a] - level[b]))) < 0.3
 
 
+def test_margin_ratings_equal_the_closed_form(spark):
+    rng = np.random.default_rng(4)
+    level = [0, 0, 0, 1, 1, 2]
+    games = [(k % 2, int(h), int(a), level[h], level[a], float(rng.integers(-30, 30))) for k, (h, a) in enumerate(rng.choice(6, 2, replace=False) for _ in range(80))]
+    df = spark.createDataFrame(games + [(0, 0, 1, 0, 0, None)], "season int, home int, away int, home_level int, away_level int, margin double")
+    got = {(r.season, r.team): (r.rating, r.edge) for r in margin_ratings(df, "season", alpha=25.0).collect()}
+    for season in (0, 1):
+        own = [g for g in games if g[0] == season]
+        x = np.zeros((len(own), 6 + 3))
+        for row, (_, h, a, lh, la, _) in zip(x, own):
+            row[6] = 1
+            row[h] += 1
+            row[a] -= 1
+            for at, sign in ((lh, 1), (la, -1)):
+                if at:
+                    row[6 + at] += sign
+        penalty = np.diag([25.0] * 6 + [1e-9] * 3)
+        b = np.linalg.solve(x.T @ x + penalty, x.T @ np.array([g[5] for g in own]))
+        for t in range(6):
+            assert abs(got[season, t][0] - (b[t] + (b[6 + level[t]] if level[t] else 0))) < 1e-9 and abs(got[season, t][1] - b[6]) < 1e-9
+
+
 def test_guarded_write(spark, tmp_path):
     df = spark.range(3)
     with pytest.raises(ValueError):
