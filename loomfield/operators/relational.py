@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from loomfield.sources.tables import stored
+
 
 def prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
@@ -75,15 +80,45 @@ def with_moments(df: DataFrame, keys: list[str], value) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``df`` with _rank, _mean_rank, _rank_desc and _n of ``value`` in its group, from counts of distinct values."""
+    """``df`` with _rank, _mean_rank, _rank_desc and _n of ``value`` in its group: counts of distinct values, summed up over range
+    partitions of (keys, value), so that no task holds a key's rows or values."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("_c").over(w)
-    ranks = counts.select(*keys, value, (before + 1).alias("_rank"), (before + (F.col("_c") + 1) / 2).alias("_mean_rank"), (n - before - F.col("_c") + 1).alias("_rank_desc"), n.alias("_n"))
+    summed = ordered_sums(counts, [F.col(c).asc() for c in (*keys, value)], "_c", "_upto", lambda x: stored(x, "ranks"))
+    group = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
+    before = F.col("_upto") - F.col("_c") - F.col("_base")
+    ranks = join_null_safe(summed, group, keys).select(*keys, value, (before + 1).alias("_rank"), (before + (F.col("_c") + 1) / 2).alias("_mean_rank"), (F.col("_n") - before - F.col("_c") + 1).alias("_rank_desc"), "_n")
     return join_null_safe(df, ranks, [*keys, value])
 
 
+def with_positions(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df`` with _at, its place from 0 in its group by ``order``, and _n, the group's rows; by range partitions too."""
+    summed = ordered_sums(df.withColumn("_one", F.lit(1).cast("bigint")), [*(F.col(c).asc() for c in keys), *order], "_one", "_upto", lambda x: stored(x, "places"))
+    group = summed.groupBy(*keys).agg(F.min("_upto").alias("_first"), F.count("*").alias("_n"))
+    return join_null_safe(summed, group, keys).withColumn("_at", F.col("_upto") - F.col("_first")).drop("_one", "_upto", "_first")
+
+
+def ordered_sums(df: DataFrame, order: list, value: str, name: str, store) -> DataFrame:
+    """``df`` with the sum of the whole numbers ``value``, none under 0, of all rows up to its own in ``order``: within sorted range
+    partitions first, then the totals of those before are added. One total a partition passes the driver."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    at = parts.columns.index(value)
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            upto = total + np.cumsum(batch.column(at).to_numpy())
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.int64())], [*batch.schema.names, name])
+
+    kept = store(parts.mapInArrow(run, StructType([*parts.schema.fields, StructField(name, LongType())])))
+    before, rows = 0, []
+    for p, n in sorted((r[0], r[1]) for r in kept.groupBy("_part").agg(F.max(name)).collect()):
+        rows.append((p, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _before bigint"))
+    return kept.join(offsets, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def ordered_numbers(df: DataFrame, order: list, name: str, store) -> DataFrame:
     """``df`` with 1, 2, 3... in ``order``: range partitions are sorted each by itself, and the sizes of those before are added.
 

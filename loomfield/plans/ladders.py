@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfield.functions import scalars as S
+from loomfield.operators import relational as R
 from loomfield.sources.tables import check_columns, numeric_columns, read_table
 
 QUERIES: dict = {}
@@ -77,15 +78,15 @@ def runs_ramps_and_repairs(spark, d):
 j as (select event_id, target, coalesce(pct, 0.5) * (len(target) - 1) as h from c join v using (user_id)) select event_id, round(target[cast(floor(h) as bigint) + 1] + (target[least(cast(floor(h) as bigint) + 2, len(target))] - target[cast(floor(h) as bigint) + 1]) * (h - floor(h)), 6) as mapped from j""")
 def quantile_mapping(spark, d):
     """A value's average-rank share among a user's clicks, read off as a quantile of the same user's views."""
-    e = read_table(spark, d, "events")
-    w = Window.partitionBy("user_id")
-    ties = F.count("*").over(Window.partitionBy("user_id", "value")) - 1
-    pct = (F.rank().over(w.orderBy("value")) + ties / 2 - 1) / F.nullif(F.count("*").over(w) - 1, F.lit(0))
-    c = e.where("event_type = 'click'").select("user_id", "event_id", F.coalesce(pct, F.lit(0.5)).alias("pct"))
-    v = e.where("event_type = 'view'").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("target"))  # one user's own values
-    j = c.join(v, "user_id").withColumn("h", F.col("pct") * (F.size("target") - 1)).withColumn("k", F.floor("h").cast("int"))
-    low, high = F.get("target", F.col("k")), F.get("target", F.least(F.col("k") + 1, F.size("target") - 1))
-    return j.select("event_id", F.round(low + (high - low) * (F.col("h") - F.col("k")), 6).alias("mapped"))
+    e = read_table(spark, d, "events").select("user_id", "event_id", "value", "event_type")
+    c = R.with_ranks(e.where("event_type = 'click'"), ["user_id"], "value")
+    c = c.select("user_id", "event_id", F.coalesce((F.col("_mean_rank") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)), F.lit(0.5)).alias("pct"))
+    v = R.with_positions(e.where("event_type = 'view'"), ["user_id"], [F.col("value").asc(), F.col("event_id").asc()])
+    j = c.join(v.groupBy("user_id").agg((F.max("_n") - 1).alias("top")), "user_id").withColumn("h", F.col("pct") * F.col("top")).withColumn("k", F.floor("h"))
+    # a click meets the two views about its quantile by place, never all of its user's
+    side = lambda name: v.select("user_id", F.col("_at").alias(name), F.col("value").alias(f"{name}_value"))
+    j = j.withColumn("low", F.col("k")).withColumn("high", F.least(F.col("k") + 1, F.col("top"))).join(side("low"), ["user_id", "low"]).join(side("high"), ["user_id", "high"])
+    return j.select("event_id", F.round(F.col("low_value") + (F.col("high_value") - F.col("low_value")) * (F.col("h") - F.col("k")), 6).alias("mapped"))
 
 
 @query("""with b as (select cast(l_quantity as integer) as q, avg(case when l_returnflag = 'R' then 1.0 else 0.0 end) as y, count(*) as w from lineitem group by 1), r as (select a.q as lo, c.q as hi, sum(b.y * b.w) / sum(b.w) as m from b a join b c on a.q <= c.q join b on b.q between a.q and c.q group by all),
@@ -175,10 +176,7 @@ def talent_window(spark, d):
     spread = g.select("o_custkey", "y", "v", parts.alias("k")).select("o_custkey", (F.col("y") + F.col("k.on")).alias("y"), F.col("k.w").alias("w"), (F.col("v") * F.col("k.w")).alias("vw"))
     s = spread.groupBy("o_custkey", "y").agg((F.sum("vw") / F.sum("w")).alias("talent"), F.sum("w").alias("sw")).where(F.col("sw") >= LEAST_TALENT)
     s = s.join(g.select("o_custkey", "y"), ["o_custkey", "y"]).select("o_custkey", "y", F.round("talent", 6).alias("talent"))
-    # ranks from counts of values, so that a season's rows need no one task
-    counts = s.groupBy("y", "talent").count()
-    place = counts.select("y", "talent", (F.coalesce(F.sum("count").over(Window.partitionBy("y").orderBy(F.desc("talent")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("place"))
-    return s.join(place, ["y", "talent"]).select("o_custkey", "y", "talent", "place")
+    return R.with_ranks(s, ["y"], "talent").select("o_custkey", "y", "talent", F.col("_rank_desc").alias("place"))
 
 
 @query("""select o_orderkey, case when y > m then 1 when y < m then 0 end as covered, round(avg(case when y > m then 1 when y < m then 0 end) over (partition by o_orderpriority), 6) as rate, round(avg(case when abs(y - m) >= 20 then case when y > m then 1 when y < m then 0 end end) over (partition by o_orderpriority), 6) as large_rate,

@@ -130,3 +130,17 @@ def test_ordered_numbers(spark, tmp_path):
     assert sorted((r.n, -r.score, r.id) for r in got.collect()) == [(k + 1, *w) for k, w in enumerate(want)]
     none = R.ordered_numbers(df.limit(0), [F.col("id").asc()], "n", lambda x: x)
     assert none.count() == 0 and none.columns == ["id", "score", "n"]
+
+
+def test_ranks_and_positions_equal_windows(spark):
+    rows = [(k % 3 if k % 10 else None, float(k * 7919 % 20) if k % 9 else None, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, v double, id int").repartition(6)
+    got = {r.id: (r._rank, r._mean_rank, r._rank_desc, r._n) for r in R.with_ranks(df, ["g"], "v").collect()}
+    places = {r.id: (r._at, r._n) for r in R.with_positions(df, ["g"], [F.col("v").asc(), F.col("id").asc()]).collect()}
+    low = lambda v: -1.0 if v is None else v  # nulls first
+    for g, v, k in rows:
+        own = sorted((low(w), i) for h, w, i in rows if h == g)
+        less, same = sum(w < low(v) for w, _ in own), sum(w == low(v) for w, _ in own)
+        assert got[k] == (less + 1, less + (same + 1) / 2, len(own) - less - same + 1, len(own))
+        assert places[k] == (own.index((low(v), k)), len(own))
+    assert R.with_ranks(df.limit(0), ["g"], "v").count() == 0
