@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .graph import components
-from .shared import arrow_rows, forget, materialize, spread_join, table, text_digest
+from .shared import arrow_rows, forget, free_names, materialize, spread_join, table, text_digest
 
 SIZE = 4
 PERCENT = 85
@@ -473,19 +473,20 @@ def _components_of(docs: DataFrame, size: int, percent: int, carried: str | None
 def keep_one_of_each(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Of every component one row, unchanged: that of the smallest doc_id (nulls last), then of the smallest digest of
     its text, then of the smallest other columns. Rows without words are components of their own, so all stay."""
-    keyed = docs.withColumn("_h", text_digest("text"))
+    (h,) = free_names(docs, "_h")
+    keyed = docs.withColumn(h, text_digest("text"))
     with arrow_rows(docs.sparkSession, 1000):
-        rows = _components_of(keyed.select("doc_id", "text", "_h"), size, percent, "_h")
-        rows = materialize(rows.groupBy("component", "doc_id", "_h").agg(F.count("*").alias("n")), "texts")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "n")
+        rows = _components_of(keyed.select("doc_id", "text", h), size, percent, h)
+        rows = materialize(rows.groupBy("component", "doc_id", h).agg(F.count("*").alias("n")), "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", h, "n")
     best = rows.where("component is not null").groupBy("component").agg(F.min(order).alias("best")).select("component", "best.*")
-    one = best.where("n = 1").select("doc_id", "_h").union(rows.where("component is null").select("doc_id", "_h"))
-    again = best.where("n > 1").select("doc_id", "_h")
-    on = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & (keyed["_h"] == x["_h"])
+    one = best.where("n = 1").select("doc_id", h).union(rows.where("component is null").select("doc_id", h))
+    again = best.where("n > 1").select("doc_id", h)
+    on = lambda x: keyed["doc_id"].eqNullSafe(x["doc_id"]) & (keyed[h] == x[h])
     kept = keyed.join(one, on(one), "left_semi").select(*docs.columns)
     several = keyed.join(again, on(again), "left_semi")
-    least = F.min_by(F.struct(*docs.columns), F.to_json(F.struct("_h", *(c for c in docs.columns if c not in ("doc_id", "text")))))
-    return kept.unionByName(several.groupBy("doc_id", "_h").agg(least.alias("row")).select("row.*"))
+    least = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(h, *(c for c in docs.columns if c not in ("doc_id", "text")))))
+    return kept.unionByName(several.groupBy("doc_id", h).agg(least.alias("row")).select("row.*"))
 
 
 def op5_jaccard_rtree(spark, sf_dir: str) -> DataFrame:

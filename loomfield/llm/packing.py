@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .shared import materialize, table
+from .shared import free_names, materialize, table
 from .tokens import default_tokenizer_path, text_blocks, worker_tokenizer
 
 CAPACITY = 2048
@@ -212,35 +212,36 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) ->
     for r in pieces.groupBy("length").count().collect():  # one row for each length: at most `capacity`
         counts[r["length"]] = r["count"]
     found = _lookup(plan_packing(counts, capacity))
+    salt, before, inside, number = free_names(pieces, "_salt", "_before", "_in", "_number")
     salts = F.greatest(F.lit(1), F.ceil(F.element_at(F.lit(counts.tolist()), F.col("length").cast("int") + 1) / group)).cast("int")
-    keyed = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
-    sizes = keyed.groupBy("length", "_salt").count()
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = keyed.withColumn("_in", F.row_number().over(within)).join(sizes, ["length", "_salt"])
-    numbered = numbered.withColumn("_number", F.col("_before") + F.col("_in") - 1).drop("_salt", "_in", "_before")
+    keyed = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
+    sizes = keyed.groupBy("length", salt).count()
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", salt, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")
+    numbered = keyed.withColumn(inside, F.row_number().over(within)).join(sizes, ["length", salt])
+    numbered = numbered.withColumn(number, F.col(before) + F.col(inside) - 1).drop(salt, inside, before)
     shipped = spark.sparkContext.broadcast(found)  # bounded by the plan, hence by `capacity`, not by the corpus
     schema = numbered.schema
-    at_length, at_number = numbered.columns.index("length"), numbered.columns.index("_number")
+    at_length, at_number = numbered.columns.index("length"), numbered.columns.index(number)
 
     def place(batches):
         plan = shipped.value
         for batch in batches:
-            length, number = batch.column(at_length).to_numpy(), batch.column(at_number).to_numpy()
+            length, numbers = batch.column(at_length).to_numpy(), batch.column(at_number).to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1
             for own in np.split(order, cuts):
                 if len(own):
                     first, seq, off = plan[int(length[own[0]])]
-                    k = np.searchsorted(first, number[own], side="right") - 1
-                    sequence[own] = seq[k] + number[own] - first[k]
+                    k = np.searchsorted(first, numbers[own], side="right") - 1
+                    sequence[own] = seq[k] + numbers[own] - first[k]
                     offset[own] = off[k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], [*batch.schema.names, "sequence_id", "offset"])
 
     packed = numbered.mapInArrow(place, StructType([*schema.fields, *StructType.fromDDL("sequence_id bigint, offset bigint").fields]))
-    return packed.drop("_number")
+    return packed.drop(number)
 
 
 def pack_documents(docs: DataFrame, *, tokenizer_path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .features import QUALITY, quality_features
-from .shared import materialize, table
+from .shared import free_names, materialize, table
 
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -200,8 +200,9 @@ def with_scores(df: DataFrame, model: AdditiveModel, *, text_col: str | None = "
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier, trained on ``labels`` of ``docs``, does not reject; unchanged."""
-    scored = with_scores(docs, train_on_texts(docs, labels), name="_score")
-    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
+    (score,) = free_names(docs, "_score")
+    scored = with_scores(docs, train_on_texts(docs, labels), name=score)
+    return scored.where(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op2_quality_gam(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ partition and its place in it depend on the number of buckets, hence on the rows
 
 Nulls are hashed and kept like any value, a null text has no bytes, no rows give no rows. Rows that are equal in
 every column are counted first and scatter by their number, so none of them fills a bucket; copies of a text under
-other ids scatter like any rows. Columns named ``shard`` or ``slot`` are replaced; all others stay.
+other ids scatter like any rows. Columns named ``shard`` or ``slot`` are replaced; all others stay, those of maps too.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
+from .shared import free_names, table, with_maps, without_maps
 
 SHARDS = 8
 SEED = 20_240_607
@@ -39,15 +39,16 @@ def row_bytes(text_col: str = "text"):
 def external_shuffle(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED, size=None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with shard (0 to shards - 1) and slot (gapless from 0 in each shard), in uniformly random order."""
     df = df.drop("shard", "slot")
-    names = df.columns
+    schema, names = df.schema, df.columns
     size = size if size is not None else F.lit(64)
     stats = df.agg(F.sum(size), F.count("*")).first()
     buckets = max(1, math.ceil((stats[0] or 0) / bucket_bytes), math.ceil(stats[1] / 50_000))
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *names)).withColumn("_n", F.lit(1))
-    if not hashed.groupBy("_h").count().where("count > 1").isEmpty():
-        hashed = hashed.groupBy("_h", *names).agg(F.count("*").alias("_n")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    bucket = F.pmod(F.xxhash64("_h", "_n", F.lit(seed + 1)), F.lit(buckets))
-    keyed = hashed.select(F.struct(*names).alias("_row"), bucket.alias("_bucket"), "_h")
+    h, n = free_names(df, "_h", "_n")
+    hashed = without_maps(df).withColumn(h, F.xxhash64(F.lit(seed), *names)).withColumn(n, F.lit(1))
+    if not hashed.groupBy(h).count().where("count > 1").isEmpty():
+        hashed = hashed.groupBy(h, *names).agg(F.count("*").alias(n)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    bucket = F.pmod(F.xxhash64(h, n, F.lit(seed + 1)), F.lit(buckets))
+    keyed = hashed.select(F.struct(*names).alias("_row"), bucket.alias("_bucket"), F.col(h).alias("_h"))
     dealt = keyed.repartition(min(buckets, MOST_PARTITIONS), "_bucket")
     gathered = dealt.groupBy("_bucket").agg(F.collect_list(F.struct("_h", "_row")).alias("_rows"))
     gathered = gathered.sortWithinPartitions("_bucket").select(
@@ -59,7 +60,8 @@ def external_shuffle(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED, s
     starts = F.broadcast(starts) if buckets <= MOST_BROADCAST else starts
     placed = gathered.join(starts, "_bucket").select("_start", F.posexplode("_rows").alias("_at", "_item"))
     position = F.col("_start") + F.col("_at")
-    return placed.select("_item._row.*", (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("long").alias("slot"))
+    out = placed.select("_item._row.*", (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("long").alias("slot"))
+    return with_maps(out, schema)
 
 
 def write_shards(df: DataFrame, path: str, **how) -> None:

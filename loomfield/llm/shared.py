@@ -8,15 +8,19 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset a local session, as in tests, gets a temporary folder, and
+    any other raises: its executors would not see one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="loomfield-")
@@ -55,6 +59,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, MapType) or isinstance(kind, StructType) and any(_holds_map(f.dataType) for f in kind.fields)
+
+
+def _entries(c: Column, kind: DataType, back: bool) -> Column:
+    """A value with its maps as arrays of entries, which can be hashed, grouped and ordered, or ``back``."""
+    if not _holds_map(kind):
+        return c
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(_entries(c.getField(f.name), f.dataType, back).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _entries(x, kind.elementType, back))
+    pair = lambda e: F.struct(e["key"].alias("key"), _entries(e["value"], kind.valueType, back).alias("value"))
+    return F.map_from_entries(F.transform(c, pair)) if back else F.transform(F.map_entries(c), pair)
+
+
+def without_maps(df: DataFrame) -> DataFrame:
+    return df.select(*(_entries(df[f"`{f.name}`"], f.dataType, False).alias(f.name) for f in df.schema.fields)) if any(_holds_map(f.dataType) for f in df.schema.fields) else df
+
+
+def with_maps(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` with the columns of ``schema`` that ``without_maps`` changed as they were."""
+    kinds = {f.name: f.dataType for f in schema.fields if _holds_map(f.dataType)}
+    return df.withColumns({c: _entries(F.col(f"`{c}`"), k, True) for c, k in kinds.items()}) if kinds else df
+
+
 def text_digest(column: str) -> Column:
     """The first 16 bytes of the SHA-256 of a text; a null text is an empty one."""
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(column).cast("binary"), F.lit(b"")), 256), 1, 32))

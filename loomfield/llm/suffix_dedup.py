@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import materialize, table, text_digest
+from .shared import free_names, materialize, table, text_digest
 from .suffix_sort import sort_windows
 
 LENGTH = 200
@@ -418,14 +418,15 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     gone = rows.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("h", "copies").distinct()
     heavy = F.col("copies") > max(HEAVY, rows.count() // 256)
     # what a text loses depends on its bytes alone, so cuts come back by digest; heavy ones meet no join by key
-    light = gone.where(~heavy).select("h", F.lit(b"").alias("_kept"))
-    changed = cuts.join(gone, "h", "left_anti").select("h", F.col("kept").alias("_kept")).union(light).withColumnRenamed("h", "_h")
+    h, kept = free_names(docs, "_h", "_kept")
+    light = gone.where(~heavy).select("h", F.lit(b"").alias(kept))
+    changed = cuts.join(gone, "h", "left_anti").select("h", F.col("kept").alias(kept)).union(light).withColumnRenamed("h", h)
     names = docs.columns
-    out = docs.withColumn("_h", text_digest("text")).join(F.broadcast(gone.where(heavy).select(F.col("h").alias("_h"))), "_h", "left_anti").join(changed, "_h", "left")
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.decode("_kept", "UTF-8"))
-    out = out.withColumn("text", text).where("_kept is null or octet_length(text) > 0")
+    out = docs.withColumn(h, text_digest("text")).join(F.broadcast(gone.where(heavy).select(F.col("h").alias(h))), h, "left_anti").join(changed, h, "left")
+    text = F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.decode(kept, "UTF-8"))
+    out = out.withColumn("text", text).where(F.col(kept).isNull() | (F.octet_length("text") > 0))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)
 
 
