@@ -14,6 +14,17 @@ from pyspark.sql.window import Window
 from loomfield.sources.tables import stored
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
@@ -124,13 +135,14 @@ def ordered_numbers(df: DataFrame, order: list, name: str, store) -> DataFrame:
 
     No task holds more than a partition. ``store`` writes a table where all executors read it back, so that ranges are cut
     once; one number a partition passes the driver. ``order`` should tell rows apart, for ties cannot be split."""
+    at, own, base = free_names(df, "_at", "_part", "_before")
     sorted_parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = store(sorted_parts.withColumn("_at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r[0], r[1]) for r in stored.groupBy(part.alias("_part")).count().collect())
+    stored = store(sorted_parts.withColumn(at, F.monotonically_increasing_id()))
+    part, within = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r[0], r[1]) for r in stored.groupBy(part.alias("part")).count().collect())
     before, rows = 0, []
     for p, n in sizes:
         rows.append((p, before))
         before += n
-    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_part bigint, _before bigint"))
-    return stored.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_before") + within + 1).drop("_at", "_part", "_before")
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"`{own}` bigint, `{base}` bigint"))
+    return stored.withColumn(own, part).join(offsets, own).withColumn(name, F.col(base) + within + 1).drop(at, own, base)
