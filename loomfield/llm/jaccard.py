@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.operators.relational import free_names
+
 from . import textops as T
 from .graph import components
-from .shared import arrow_rows, forget, free_names, materialize, spread_join, table, text_digest
+from .shared import arrow_rows, forget, materialize, spread_join, table, text_digest
 
 SIZE = 4
 PERCENT = 85

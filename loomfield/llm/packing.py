@@ -1,11 +1,13 @@
 """Best-fit packing by patterns: few-document length patterns, repeat counts by non-negative least squares.
 
 ``plan_packing`` sees only the histogram of piece lengths, of at most ``capacity`` bins whatever the corpus.
-It enumerates patterns of one to four lengths that fill a sequence, fits how often to use each to the
-histogram by non-negative least squares, rounds down, then up where pieces are left, fits anew what is left while that
-places pieces, and packs the rest best-fit over the histogram. How many patterns a length takes part in is bounded by
-``partners``, which decides how much is left to best fit, never whether a piece is packed.
-``pack`` numbers the pieces of each length with a salted, two-level count (a length may hold a third of all
+It enumerates patterns of two to four lengths that fill a sequence, and draws more of any number of lengths where a
+sequence holds many, fits how often to use each to the
+histogram by non-negative least squares, rounds down, then up where pieces are left, and fits anew what is left while that
+places pieces: first with full patterns, then, where the lengths left have none, with patterns of a growing gap. The rest is
+packed best-fit over the histogram. ``partners`` and ``PATTERNS`` bound how many patterns one fit sees,
+which decides how much is left to best fit, never whether a piece is packed.
+``pack`` numbers the pieces in the order of their lengths over range partitions (a length may hold a third of all
 pieces), and looks up the sequence and offset of each number in the plan.
 
 A null or empty text is one piece of the single end token. Repeated rows are packed each on their own; ties
@@ -22,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
-from .shared import free_names, materialize, table
+from loomfield.operators.relational import free_names, ordered_numbers
+
+from .shared import materialize, table
 from .tokens import default_tokenizer_path, text_blocks, worker_tokenizer
 
 CAPACITY = 2048
 END = 0
-#: Pieces of one length are numbered in groups of about this many.
-GROUP = 128
+#: Patterns of any number of lengths that are drawn for one fit.
+PATTERNS = 1500
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
@@ -70,29 +73,28 @@ def tokenize_pieces(docs: DataFrame, *, tokenizer_path: str | None = None, capac
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def nnls(index: np.ndarray, column: np.ndarray, b: np.ndarray, n: int, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares for a sparse matrix of ones at (index, column): accelerated projected gradients,
-    begun anew whenever a step turns back. A row of a length weighs by it, and by the inverse root of what it holds."""
-    scale = np.arange(len(b)) / len(b) / np.sqrt(np.maximum(b, 1.0))
-    value, target = scale[index], b * scale
-    times = lambda v: np.bincount(index, weights=value * v[column], minlength=len(b))
-    turned = lambda r: np.bincount(column, weights=value * r[index], minlength=n)
-    probe = np.ones(n)
-    for _ in range(20):  # the largest eigenvalue bounds the step
-        probe = turned(times(probe))
-        norm = float(np.linalg.norm(probe))
-        probe /= norm
-    step = 1 / (1.05 * norm)
-    x = y = np.zeros(n)
-    t = 1.0
+def nnls(index: np.ndarray, column: np.ndarray, value: np.ndarray, b: np.ndarray, n: int, rounds: int = 8, steps: int = 50) -> np.ndarray:
+    """Non-negative least squares for a sparse non-negative matrix of ``value`` at (index, column): accelerated projected
+    gradients, begun anew whenever a step turns back. A row weighs by the inverse of what it holds, a longer length a little
+    more. Steps are taken in a diagonal metric that bounds the curvature about the point each round starts from, so that
+    patterns used a million times and once are reached alike."""
+    weigh = (0.25 + np.arange(len(b)) / len(b)) / np.maximum(b, 1.0)
+    times = lambda v: np.bincount(index, value * v[column], len(b))
+    turned = lambda r: np.bincount(column, value * r[index], n)
+    x = np.full(n, np.inf)
+    np.minimum.at(x, column, (b / np.maximum(np.bincount(index, value, len(b)), 1))[index] / value)
     for _ in range(rounds):
-        gradient = turned(times(y) - target)
-        new = np.maximum(0.0, y - step * gradient)
-        if gradient @ (new - x) > 0:
-            t = 1.0
-        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / later * (new - x)
-        x, t = new, later
+        x = np.maximum(x, 1e-6)
+        metric = np.maximum(turned(weigh * times(x)), 1e-300) / x
+        y, t = x, 1.0
+        for _ in range(steps):
+            gradient = turned(weigh * (times(y) - b))
+            new = np.maximum(0.0, y - gradient / metric)
+            if gradient @ (new - x) > 0:
+                t = 1.0
+            later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            y = np.maximum(new + (t - 1) / later * (new - x), 0.0)
+            x, t = new, later
     return x
 
 
@@ -123,41 +125,118 @@ def _patterns(counts: np.ndarray, capacity: int, partners: int) -> list[tuple[in
     return sorted(out, reverse=True)
 
 
-def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, partners: int = 3, refits: int = 8) -> list[tuple[tuple[int, ...], int]]:
+def _pairs(left: np.ndarray, capacity: int) -> np.ndarray:
+    """For every sum the smaller length of the pair with the most left that makes it up; 0 where there is none."""
+    best, have = np.zeros(capacity + 1, np.int64), left.astype(float)
+    have[0] = 0
+    for total in range(2, capacity + 1):
+        x = np.arange(1, total // 2 + 1)
+        both = np.minimum(have[x], have[total - x])
+        if total % 2 == 0:
+            both[-1] = have[total // 2] // 2
+        k = int(both.argmax())
+        best[total] = x[k] if both[k] > 0 else 0
+    return best
+
+
+def _drawn(left: np.ndarray, capacity: int, most: int, gap: int, rng: np.random.Generator) -> set[tuple[int, ...]]:
+    """Patterns of any number of lengths, drawn as often as these are left, half of them from a given longest length on, and
+    completed by the length or pair that fills them. With ``gap`` those that nothing fills stay ``gap`` short at most."""
+    have = np.flatnonzero(left)
+    mean = float(have @ left[have] / left.sum())
+    width = int(min(4 * capacity / mean + 8, capacity))
+    pair, smallest = _pairs(left, capacity), int(have[0])
+    # so many patterns that their lengths stay a bounded table
+    most = max(64, min(most, (1 << 21) // width))
+    begun = have[::-1] if len(have) <= most // 2 else np.sort(rng.choice(have, most // 2, replace=False))[::-1]
+    begun = np.repeat(begun, max(1, most // 2 // len(begun)))
+    draws = rng.choice(have, size=(len(begun) + most // 2, width), p=left[have] / left[have].sum())
+    coin = rng.random(draws.shape) < 0.5
+    out = set()
+    for k, row in enumerate(draws.tolist()):
+        own = [int(begun[k])] if k < len(begun) else []
+        rest = capacity - sum(own)
+        for j, x in enumerate(row):
+            if rest < smallest:
+                break
+            if left[rest] and (own and coin[k, j] or rest <= 2 * smallest):
+                break
+            if rest <= 2 * mean and pair[rest]:
+                break
+            if x <= rest:
+                own.append(x)
+                rest -= x
+        if rest and left[rest]:
+            own.append(rest)
+            rest = 0
+        elif rest and pair[rest]:
+            own += [int(pair[rest]), rest - int(pair[rest])]
+            rest = 0
+        if gap and own and rest <= gap:
+            out.add(tuple(sorted(own, reverse=True)))
+        while gap and rest >= smallest:
+            x = int(have[np.searchsorted(have, rest, side="right") - 1])
+            own.append(x)
+            rest -= x
+        if own and rest <= gap:
+            out.add(tuple(sorted(own, reverse=True)))
+    return out
+
+
+def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, partners: int = 3, refits: int = 30) -> list[tuple[tuple[int, ...], int]]:
     """(pattern of lengths, repeats) that use every piece of the histogram ``counts`` (index: length) once."""
     return _fitted(counts, capacity, partners, refits)[0]
 
 
-def _fitted(counts: np.ndarray, capacity: int = CAPACITY, partners: int = 3, refits: int = 8) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """The plan, and how many pieces of less than a sequence the patterns left to best fit."""
+def _fitted(counts: np.ndarray, capacity: int = CAPACITY, partners: int = 3, refits: int = 30) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """The plan, and how many pieces of less than a sequence the patterns left to best fit. Patterns of few lengths alone pack
+    some sparse histograms better than those of any number, so of both plans the one of fewer sequences goes, then of fewer left."""
+    plans = [_fit(counts, capacity, partners, refits, wide) for wide in (True, False)]
+    return min(plans, key=lambda found: (sum(n for _, n in found[0]), found[1]))
+
+
+def _fit(counts: np.ndarray, capacity: int, partners: int, refits: int, wide: bool) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """While patterns that fill a sequence place pieces only these are used; then, where the histogram has no such ones left,
+    patterns of a growing gap."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    rng = np.random.default_rng(10)
+    gaps, stage, total = (0, capacity // 256, capacity // 32, capacity), 0, int(left.sum())
     for _ in range(refits):
-        # as many documents as a sequence must hold on average, and one more: others would leave long pieces without short ones
-        fill = max(1.0, left.sum() * capacity / max(1, int(left @ np.arange(capacity + 1))))
-        patterns = [p for p in _patterns(left, capacity, partners) if len(p) <= fill + 1]
-        if not patterns:
-            break
-        sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
-        index = np.fromiter((x for p in patterns for x in p), np.int64, int(sizes.sum()))
-        fit = nnls(index, np.repeat(np.arange(len(patterns)), sizes), left.astype(float), len(patterns))
         before = int(left.sum())
-        # rounded down, then up where the fraction is largest and pieces are left
-        for repeats in (np.floor(fit + 1e-6).astype(np.int64), (fit > 0.05).astype(np.int64)):
-            for k in np.argsort(-(fit - np.floor(fit)), kind="stable").tolist() if repeats.max() == 1 else np.flatnonzero(repeats).tolist():
-                n = int(repeats[k])
-                if n:
-                    uses = {x: patterns[k].count(x) for x in patterns[k]}
-                    n = min(n, *(int(left[x]) // m for x, m in uses.items()))
-                if n > 0:
-                    plan.append((patterns[k], n))
-                    for x, m in uses.items():
-                        left[x] -= n * m
-        if before - int(left.sum()) < 0.002 * before:
+        if before <= 0.01 * total:
             break
+        # as many documents as a sequence must hold on average, and one more: others would leave long pieces without short ones
+        fill = max(1.0, before * capacity / max(1, int(left @ np.arange(capacity + 1))))
+        found = {p for p in _patterns(left, capacity, partners) if len(p) <= fill + 1}
+        if wide:
+            found |= _drawn(left, capacity, PATTERNS, gaps[stage], rng)
+        patterns = sorted(found, reverse=True)
+        if patterns:
+            sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
+            flat = np.fromiter((x for p in patterns for x in p), np.int64, int(sizes.sum()))
+            key, uses = np.unique(np.repeat(np.arange(len(patterns)), sizes) * (capacity + 1) + flat, return_counts=True)
+            index, column = key % (capacity + 1), key // (capacity + 1)
+            fit = nnls(index, column, uses.astype(float), left.astype(float), len(patterns))
+            at = np.searchsorted(column, np.arange(len(patterns) + 1))
+            # rounded down, then, but for patterns of any gap, up where the fraction is largest and pieces are left
+            rounded = [np.floor(fit + 1e-6).astype(np.int64), (fit - np.floor(fit) > 0.05).astype(np.int64)]
+            order = np.argsort(-(fit - np.floor(fit)), kind="stable")
+            for repeats in rounded if stage < len(gaps) - 1 else rounded[:1]:
+                for k in order[repeats[order] > 0].tolist():
+                    own, m = index[at[k] : at[k + 1]], uses[at[k] : at[k + 1]]
+                    n = min(int(repeats[k]), int((left[own] // m).min()))
+                    if n > 0:
+                        plan.append((patterns[k], n))
+                        left[own] -= n * m
+        placed = before - int(left.sum())
+        if placed < 0.04 * before:
+            if not wide or stage == len(gaps) - 1 and placed < 0.02 * before:
+                break
+            stage = min(stage + 1, len(gaps) - 1)
     return plan + _best_fit(left, capacity), int(left.sum())
 
 
@@ -205,30 +284,28 @@ def _lookup(plan: list[tuple[tuple[int, ...], int]]):
     return {int(k): tuple(g[c].to_numpy(np.int64) for c in ("number", "sequence", "offset")) for k, g in table.groupby("length")}
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with sequence_id and offset. ``pieces`` is read three times."""
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # one row for each length: at most `capacity`
         counts[r["length"]] = r["count"]
     found = _lookup(plan_packing(counts, capacity))
-    salt, before, inside, number = free_names(pieces, "_salt", "_before", "_in", "_number")
-    salts = F.greatest(F.lit(1), F.ceil(F.element_at(F.lit(counts.tolist()), F.col("length").cast("int") + 1) / group)).cast("int")
-    keyed = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
-    sizes = keyed.groupBy("length", salt).count()
-    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", salt, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
-    within = Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")
-    numbered = keyed.withColumn(inside, F.row_number().over(within)).join(sizes, ["length", salt])
-    numbered = numbered.withColumn(number, F.col(before) + F.col(inside) - 1).drop(salt, inside, before)
-    shipped = spark.sparkContext.broadcast(found)  # bounded by the plan, hence by `capacity`, not by the corpus
+    # numbered in the order of lengths over range partitions; where a length begins follows from the histogram
+    spread, tie, number = free_names(pieces, "_spread", "_tie", "_number")
+    keyed = pieces.withColumn(spread, F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn(tie, F.monotonically_increasing_id())
+    order = [F.col(c).asc() for c in ("length", spread, "doc_id", "piece", tie)]
+    numbered = ordered_numbers(keyed, order, number, lambda df: materialize(df, "numbered")).drop(spread, tie)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    shipped = spark.sparkContext.broadcast((found, first))  # bounded by the plan, hence by `capacity`, not by the corpus
     schema = numbered.schema
     at_length, at_number = numbered.columns.index("length"), numbered.columns.index(number)
 
     def place(batches):
-        plan = shipped.value
+        plan, begins = shipped.value
         for batch in batches:
-            length, numbers = batch.column(at_length).to_numpy(), batch.column(at_number).to_numpy()
+            length = batch.column(at_length).to_numpy()
+            numbers = batch.column(at_number).to_numpy() - 1 - begins[length]
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1

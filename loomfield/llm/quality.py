@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomfield.operators.relational import free_names
+
 from .features import QUALITY, quality_features
-from .shared import free_names, materialize, table
+from .shared import materialize, table
 
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.3

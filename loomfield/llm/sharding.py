@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free_names, table, with_maps, without_maps
+from loomfield.operators.relational import free_names
+
+from .shared import table, with_maps, without_maps
 
 SHARDS = 8
 SEED = 20_240_607

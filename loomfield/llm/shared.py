@@ -59,17 +59,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """``names``, each with as many underscores before it as no column of ``df`` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        out.append(name)
-    return out
-
-
 def _holds_map(kind: DataType) -> bool:
     if isinstance(kind, ArrayType):
         return _holds_map(kind.elementType)

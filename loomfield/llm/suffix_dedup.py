@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.operators.relational import free_names
+
 from . import textops as T
-from .shared import free_names, materialize, table, text_digest
+from .shared import materialize, table, text_digest
 from .suffix_sort import sort_windows
 
 LENGTH = 200
