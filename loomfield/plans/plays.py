@@ -155,7 +155,10 @@ def half_summaries_rolling(spark, d):
 
 @query(f"""with p as ({_PLAYS}), x as (select *, lead(kind) over (partition by game, half order by event_id) as nxt from p)
 select game, round(coalesce(sum(case when kind = 'error' then 1 end) / nullif(sum(case when down in (1, 2) then 1 end), 0), 0), 9) as early_rate, round(coalesce(sum(case when kind = 'click' and value < 10 then 1 end) / nullif(sum(case when kind = 'click' then 1 end), 0), 0), 9) as stuffed_rate,
-round(coalesce(sum(case when down in (3, 4) and kind = 'error' then 1 end) / nullif(sum(case when down in (3, 4) then 1 end), 0), 0), 9) as late_rate, round(coalesce(count(distinct case when yards <= 20 and nxt = 'purchase' then half end) / nullif(count(distinct case when yards <= 20 then half end), 0), 0), 9) as red_zone_rate from x group by game""")
+round(coalesce(sum(case when down in (3, 4) and kind = 'error' then 1 end) / nullif(sum(case when down in (3, 4) then 1 end), 0), 0), 9) as late_rate, round(coalesce(count(distinct case when yards <= 20 and nxt = 'purchase' then half end) / nullif(count(distinct case when yards <= 20 then half end), 0), 0), 9) as red_zone_rate,
+round(coalesce(sum(case when kind = 'view' and value < 5 then 1 end) / nullif(sum(case when kind = 'view' then 1 end), 0), 0), 9) as sack_rate, round(coalesce(sum(case when kind = 'view' and value between 5 and 10 then 1 end) / nullif(sum(case when kind = 'view' then 1 end), 0), 0), 9) as defensed_rate,
+round(coalesce(sum(case when kind = 'view' and nxt = 'error' then 1 end) / nullif(sum(case when kind = 'view' then 1 end), 0), 0), 9) as interception_rate, round(coalesce(sum(case when kind = 'error' and value > 20 then 1 end) / nullif(count(*), 0), 0), 9) as fumble_rate,
+count(*) as plays, count(*) filter (where kind = 'view') as pass_plays, count(*) filter (where kind = 'click') as rush_plays from x group by game""")
 def havoc_rates(spark, d):
     """Rates with denominators of their own; the red zone's counts halves, by the next play of the half."""
     x = plays(spark, d).withColumn("nxt", F.lead("kind").over(Window.partitionBy("game", "half").orderBy("event_id")))
@@ -165,6 +168,9 @@ def havoc_rates(spark, d):
     return x.groupBy("game").agg(
         rate(n("kind = 'error'"), n("down in (1, 2)")).alias("early_rate"), rate(n("kind = 'click' and value < 10"), n("kind = 'click'")).alias("stuffed_rate"),
         rate(n("down in (3, 4) and kind = 'error'"), n("down in (3, 4)")).alias("late_rate"), rate(halves("yards <= 20 and nxt = 'purchase'"), halves("yards <= 20")).alias("red_zone_rate"),
+        rate(n("kind = 'view' and value < 5"), n("kind = 'view'")).alias("sack_rate"), rate(n("kind = 'view' and value between 5 and 10"), n("kind = 'view'")).alias("defensed_rate"),
+        rate(n("kind = 'view' and nxt = 'error'"), n("kind = 'view'")).alias("interception_rate"), rate(n("kind = 'error' and value > 20"), F.count("*")).alias("fumble_rate"),
+        F.count("*").alias("plays"), F.count(F.when(F.col("kind") == "view", 1)).alias("pass_plays"), F.count(F.when(F.col("kind") == "click", 1)).alias("rush_plays"),
     )
 
 

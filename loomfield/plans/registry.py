@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomfield.plans import events_lineitem, fitted, ladders, matrices, models, plays, repairs, texts
+from loomfield.plans import events_lineitem, fitted, ladders, matrices, models, plays, repairs, results, texts
 
-_PARTS = (events_lineitem, models, repairs, plays, texts, ladders, fitted, matrices)
+_PARTS = (events_lineitem, models, repairs, plays, texts, ladders, fitted, matrices, results)
 
 
 def queries():
