@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 import re
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +67,24 @@ def name_letters(x) -> Column:
 
 def snake_case(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
+
+
+def letters_only(name: Column) -> Column:
+    """A name in lower case without accents, only a to z: decomposed to base letters and marks, the marks dropped."""
+
+    def run(names: pd.Series) -> pd.Series:
+        plain = pc.utf8_normalize(pa.array(names.to_list(), pa.string()), form="NFKD")
+        return pd.Series(pc.replace_substring_regex(pc.utf8_lower(plain), "[^a-z]+", "").to_pylist(), dtype=object)
+
+    return F.pandas_udf(run, "string")(name)
+
+
+def closest_by_ratio(known: list[str], cutoff: float = 0.6):
+    """A function of a column: the known word closest by matching blocks, null under ``cutoff``. For a handful of known words and
+    distinct inputs."""
+
+    def run(words: pd.Series) -> pd.Series:
+        found = {w: (difflib.get_close_matches(w, known, 1, cutoff) or [None])[0] for w in set(words.dropna())}
+        return pd.Series([found.get(w) for w in words.to_list()], dtype=object)
+
+    return F.pandas_udf(run, "string")

@@ -28,11 +28,17 @@ def solve_opponents(system: pd.DataFrame, alpha: float) -> pd.DataFrame:
     return pd.DataFrame({"j": names, "effect": np.linalg.solve(a + np.diag(penalty), b)})
 
 
-def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cells: int = 10, least_entities: int = 4, least_spread: float = 1e-3) -> DataFrame:
+def ridge_ratings(
+    cells: DataFrame, group: str, alpha: float = 1.0, *, least_cells: int = 10, least_entities: int = 4, least_spread: float = 1e-3, least_own: int = 1, least_r2: float | None = None, members: DataFrame | None = None
+) -> DataFrame:
     """(group, entity, rating) from cells (group, entity, opponent, mean, weight): intercept, effect and mean opponent.
 
     Groups of fewer cells or entities, or of means with less spread, carry no rating; cells without a weight or mean count for nothing.
+    ``members`` (group, opponent) are the only opponents that count, entities of fewer than ``least_own`` cells are fitted but not
+    rated, and a group whose fit explains less than ``least_r2`` of the weighted variance is left out.
     """
+    if members is not None:
+        cells = cells.join(members.select(group, "opponent").distinct(), [group, "opponent"], "left_semi")
     cells = stored(cells.where("weight > 0 and mean is not null").withColumn("opponent", F.col("opponent").cast("string")), "cells")
     fit = cells.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct("entity").alias("e"), F.stddev_samp("mean").alias("s"))
     fit = fit.where((F.col("n") >= least_cells) & (F.col("e") >= least_entities) & (F.col("s") >= least_spread)).select(group)
@@ -58,8 +64,31 @@ def ridge_ratings(cells: DataFrame, group: str, alpha: float = 1.0, *, least_cel
     effects = stored(system.groupBy(group).applyInPandas(run, f"{group} {kind}, j string, effect double"), "effects")
     base = effects.groupBy(group).agg(F.sum(F.when(F.col("j") == INTERCEPT, F.col("effect"))).alias("intercept"), F.avg(F.when(F.col("j") != INTERCEPT, F.col("effect"))).alias("mean"))
     gone = rows.join(effects, [group, "j"]).groupBy(group, "entity").agg(F.sum(F.col("w") * F.col("effect")).alias("gone"))
-    out = total.join(gone, [group, "entity"]).join(base, group)
-    return out.select(group, "entity", (F.col("intercept") + F.col("mean") + (F.col("all") - F.col("gone")) / F.col("d")).alias("rating"))
+    out = total.join(gone, [group, "entity"]).join(base, group).withColumn("own", (F.col("all") - F.col("gone")) / F.col("d"))
+    if least_r2 is not None:
+        # the sum of squared residuals of a cell needs its mean again: wy / w
+        x = rows.where(F.col("j") != INTERCEPT).join(effects, [group, "j"]).join(out.select(group, "entity", "intercept", "own"), [group, "entity"])
+        y, gap = F.col("wy") / F.col("w"), F.col("wy") / F.col("w") - F.col("intercept") - F.col("own") - F.col("effect")
+        spread = F.sum(F.col("w") * y * y) - F.sum("wy") * F.sum("wy") / F.sum("w")
+        good = x.groupBy(group).agg((1 - F.sum(F.col("w") * gap * gap) / spread).alias("r2")).where(F.col("r2") >= least_r2)
+        out = out.join(good.select(group), group, "left_semi")
+    if least_own > 1:
+        enough = rows.where(F.col("j") != INTERCEPT).groupBy(group, "entity").agg(F.count("*").alias("n")).where(F.col("n") >= least_own)
+        out = out.join(enough.select(group, "entity"), [group, "entity"], "left_semi")
+    return out.select(group, "entity", (F.col("intercept") + F.col("mean") + F.col("own")).alias("rating"))
+
+
+def ridge_rates(cells: DataFrame, group: str, rates: list[str], alpha: float = 1.0, **how) -> DataFrame:
+    """(group, entity, rating_<rate>...) from cells with a mean ``<rate>`` and a weight ``<rate>_n`` for each rate, each weighed by
+    its own denominator; all rates are fitted in one run, a null where one is not rated."""
+    parts = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(r).cast("double").alias("mean"), F.col(f"{r}_n").cast("double").alias("weight")) for r in rates)))
+    long = cells.select(group, "entity", "opponent", parts.alias("p")).select(group, "entity", "opponent", "p.*").withColumn("_both", F.concat_ws("|", F.col(group).cast("string"), "rate"))
+    if how.get("members") is not None:
+        how["members"] = how["members"].crossJoin(F.broadcast(long.select("rate").distinct())).withColumn("_both", F.concat_ws("|", F.col(group).cast("string"), "rate"))
+    found = ridge_ratings(long, "_both", alpha, **how)
+    kind = dict(cells.dtypes)[group]
+    found = found.select(F.regexp_extract("_both", "^(.*)[|]", 1).cast(kind).alias(group), F.regexp_extract("_both", "[|]([^|]*)$", 1).alias("rate"), "entity", "rating")
+    return found.groupBy(group, "entity").agg(*(F.max(F.when(F.col("rate") == r, F.col("rating"))).alias(f"rating_{r}") for r in rates))
 
 
 def margin_ratings(games: DataFrame, group: str, alpha: float = 25.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from loomfield.operators import relational as R
 from loomfield.operators.moments import nonnegative_blend
-from loomfield.operators.ridge import margin_ratings, ridge_ratings
+from loomfield.operators.ridge import margin_ratings, ridge_rates, ridge_ratings
 from loomfield.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -49,6 +49,18 @@ def ridge_asof(spark, d):
     return ridge_ratings(x, "group")
 
 
+@query()
+def ridge_several_rates(spark, d):
+    """Two rates of every supplier, each weighed by its own count, against brands of a season's regular lists alone; suppliers
+    of four brands at least, seasons whose fit explains something."""
+    x = read_table(spark, d, "lineitem").join(read_table(spark, d, "part").select("p_partkey", "p_brand"), F.expr("l_partkey = p_partkey")).withColumn("season", F.year("l_shipdate"))
+    n = lambda c: F.count(F.when(c, 1))
+    few = F.col("l_quantity") <= 25
+    cells = x.groupBy("season", F.col("l_suppkey").alias("entity"), F.col("p_brand").alias("opponent")).agg(F.avg(F.when(few, F.col("l_discount"))).alias("few"), n(few).alias("few_n"), F.avg(F.when(~few, F.col("l_discount"))).alias("many"), n(~few).alias("many_n"))
+    members = x.groupBy("season", F.col("p_brand").alias("opponent")).agg(F.count("*").alias("n")).where("n >= 20")
+    return ridge_rates(cells, "season", ["few", "many"], members=members, least_own=4, least_r2=0.0)
+
+
 @query("select p_partkey, round(p_retailprice - (s * p_size + i), 6) as residual from part join (select p_brand, regr_slope(p_retailprice, p_size) as s, regr_intercept(p_retailprice, p_size) as i from part group by 1 having count(*) >= 30) using (p_brand)")
 def regr_residualise(spark, d):
     p = read_table(spark, d, "part")

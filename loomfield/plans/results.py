@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
 from loomfield.sources.tables import read_table, scratch_path, stored, write_guarded
 
@@ -220,3 +221,45 @@ def guarded_export(spark, d):
     path = scratch_path(spark, "export")
     write_guarded(x, path, read_table(spark, d, "nation").select("n_nationkey").distinct().count() // 5)
     return spark.read.schema(x.schema).parquet(path)
+
+
+@query("""with x as (select s_suppkey, s_name || ' ' || chr(192 + cast(s_suppkey % 6 as integer)) || chr(232) || 'B-' || chr(255) || chr(241) || ' Neil' as name from supplier)
+select s_suppkey, regexp_replace(lower(strip_accents(name)), '[^a-z]+', '', 'g') as key from x""")
+def accent_free_keys(spark, d):
+    """Names as keys of plain letters, whatever accents they carry."""
+    name = F.concat("s_name", F.lit(" "), F.expr("char(192 + s_suppkey % 6)"), F.lit("\u00e8B-\u00ff\u00f1 Neil"))
+    return read_table(spark, d, "supplier").select("s_suppkey", S.letters_only(name).alias("key"))
+
+
+@query()
+def closest_name_by_ratio(spark, d):
+    """The known type closest to a mistyped one by matching blocks, null where none is close; each distinct word is matched once."""
+    p = read_table(spark, d, "part").select("p_partkey", F.expr("concat(left(p_type, 2), substr(p_type, 4), 'x')").alias("typed"), "p_type")
+    known = sorted(r[0] for r in p.select("p_type").distinct().limit(1000).collect())  # types are a handful
+    typed = p.select("typed").distinct().withColumn("suggestion", S.closest_by_ratio(known)("typed"))
+    return p.join(typed, "typed").select("p_partkey", "typed", "suggestion")
+
+
+@query("""with l as (select l_orderkey, sum(case when l_linenumber % 4 = 1 then l_quantity end) as q1, sum(case when l_linenumber % 4 = 2 then l_quantity end) as q2, sum(case when l_linenumber % 4 = 3 then l_quantity end) as q3, sum(case when l_linenumber % 4 = 0 then l_quantity end) as q4, sum(l_quantity) as total from lineitem group by 1)
+select o_orderkey as game, cast(year(o_orderdate) as integer) as season, case o_orderstatus when 'F' then 'STATUS_FINAL' else 'STATUS_SCHEDULED' end as status, cast(o_custkey % 20 as bigint) as home_team, cast(20 + o_orderkey % 20 as bigint) as away_team, cast(coalesce(total, 0) as integer) as home_score, cast(o_custkey % 40 as integer) as away_score,
+cast(coalesce(q1, 999) as integer) as home_q1, cast(coalesce(q2, 999) as integer) as home_q2, cast(coalesce(q3, 999) as integer) as home_q3, cast(coalesce(q4, 999) as integer) as home_q4 from orders left join l on l_orderkey = o_orderkey""")
+def games_from_responses(spark, d):
+    """Scoreboard responses, one JSON text of a day's games by hundreds, flattened to a row a game; a missing quarter is 999."""
+    q = lambda k: F.sum(F.when(F.col("l_linenumber") % 4 == k % 4, F.col("l_quantity"))).cast("int").alias(f"q{k}")
+    lines = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*(q(k) for k in (1, 2, 3, 4)), F.sum("l_quantity").cast("int").alias("total"))
+    o = read_table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    quarters = F.array_compact(F.array(*(F.when(F.col(f"q{k}").isNotNull(), F.struct(F.lit(k).alias("period"), F.col(f"q{k}").alias("value"))) for k in (1, 2, 3, 4))))
+    side = lambda team, score, which, lines: F.struct(team.cast("bigint").alias("id"), F.lit(which).alias("homeAway"), score.cast("int").alias("score"), lines.alias("linescores"))
+    none = F.array_compact(F.array(F.lit(None).cast("struct<period:int,value:int>")))
+    game = F.struct(
+        F.col("o_orderkey").alias("id"), F.struct(F.year("o_orderdate").alias("year")).alias("season"), F.struct(F.struct(F.when(F.col("o_orderstatus") == "F", "STATUS_FINAL").otherwise("STATUS_SCHEDULED").alias("name")).alias("type")).alias("status"),
+        F.array(F.struct(F.array(side(F.col("o_custkey") % 20, F.coalesce("total", F.lit(0)), "home", quarters), side(20 + F.col("o_orderkey") % 20, F.col("o_custkey") % 40, "away", none)).alias("competitors"))).alias("competitions"),
+    )
+    responses = o.groupBy(F.to_date("o_orderdate").alias("day"), F.floor(F.col("o_orderkey") / 100)).agg(F.to_json(F.struct(F.collect_list(game).alias("events"))).alias("json"))
+    team = "struct<id:bigint,homeAway:string,score:int,linescores:array<struct<period:int,value:int>>>"
+    kind = f"struct<events:array<struct<id:bigint,season:struct<year:int>,status:struct<type:struct<name:string>>,competitions:array<struct<competitors:array<{team}>>>>>>"
+    e = responses.select(F.explode(F.from_json("json", kind)["events"]).alias("e"))
+    who = lambda side: F.get(F.filter(F.get(F.col("e.competitions"), F.lit(0))["competitors"], lambda c: c["homeAway"] == side), F.lit(0))
+    x = e.select("e", who("home").alias("h"), who("away").alias("a"))
+    quarter = lambda k: F.coalesce(F.get(F.filter("h.linescores", lambda s: s["period"] == k), F.lit(0))["value"], F.lit(999)).alias(f"home_q{k}")
+    return x.select(F.col("e.id").alias("game"), F.col("e.season.year").alias("season"), F.col("e.status.type.name").alias("status"), F.col("h.id").alias("home_team"), F.col("a.id").alias("away_team"), F.col("h.score").alias("home_score"), F.col("a.score").alias("away_score"), *(quarter(k) for k in (1, 2, 3, 4)))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +100,34 @@ def check_columns(df: DataFrame, expected: list[str]) -> None:
 
 def numeric_columns(df: DataFrame, *leave_out: str) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in leave_out and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
+
+
+def fetch_pages(requests: DataFrame, get, *, tries: int = 4, wait: float = 1.0, most_pages: int = 1000, pause=None) -> DataFrame:
+    """(request, page, body, error) for every row of ``requests`` (request): ``get(request, page)`` returns (body, whether more
+    pages follow) and runs where the row is. A failed call is tried again after ``wait``, twice that, and so on; after
+    ``tries`` the row says why, and its later pages are not asked for. Fetched rows should be written before they are used, since a
+    lost task asks again."""
+
+    def run(batches):
+        import time
+
+        for frame in batches:
+            out = []
+            for request in frame["request"]:
+                page, more = 1, True
+                while more and page <= most_pages:
+                    for attempt in range(tries):
+                        try:
+                            body, more = get(request, page)
+                            out.append((request, page, body, None))
+                            break
+                        except Exception as error:  # what a caller's fetcher raises is not known here; it is kept in the row
+                            if attempt + 1 == tries:
+                                out.append((request, page, None, f"{type(error).__name__}: {error}"))
+                                more = False
+                            else:
+                                (pause or time.sleep)(wait * 2**attempt)
+                    page += 1
+            yield pd.DataFrame(out, columns=["request", "page", "body", "error"])
+
+    return requests.select("request").mapInPandas(run, "request string, page int, body string, error string")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
-from loomfield.operators.ridge import margin_ratings, ridge_ratings
+from loomfield.operators.ridge import margin_ratings, ridge_rates, ridge_ratings
 from loomfield.plans import models
 from loomfield.sources import tables as T
 
@@ -144,3 +144,66 @@ def test_ranks_and_positions_equal_windows(spark):
         assert got[k] == (less + 1, less + (same + 1) / 2, len(own) - less - same + 1, len(own))
         assert places[k] == (own.index((low(v), k)), len(own))
     assert R.with_ranks(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_ridge_rates_members_and_guards(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, int(e), f"o{o}", float(rng.normal(e * 0.1, 0.5)), float(rng.integers(1, 9)), float(rng.normal()), float(rng.integers(0, 4))) for g in (1, 2) for e in range(9) for o in range(6) if rng.random() < 0.7]
+    rows += [(1, 50, "o1", 0.3, 2.0, 0.1, 2.0)]  # one cell alone
+    cells = spark.createDataFrame(rows, "season int, entity int, opponent string, a double, a_n double, b double, b_n double")
+    members = spark.createDataFrame([(g, f"o{o}") for g in (1, 2) for o in range(5)], "season int, opponent string")
+    got = {(r.season, r.entity): r for r in ridge_rates(cells, "season", ["a", "b"], 2.0, members=members, least_own=2).collect()}
+    for season in (1, 2):
+        for name, at in (("a", 3), ("b", 5)):
+            own = [(r[1], r[2], r[at], r[at + 1]) for r in rows if r[0] == season and r[2] != "o5" and r[at + 1] > 0]
+            want = closed_form(own, 2.0)
+            for e in {x[0] for x in own}:
+                v = got[season, e][f"rating_{name}"] if (season, e) in got else None
+                assert v is None if sum(x[0] == e for x in own) < 2 else abs(v - want[e]) < 1e-9
+    assert (1, 50) not in got
+    noise = spark.createDataFrame([(1, e, f"o{o}", float(rng.normal()), 1.0) for e in range(9) for o in range(6)], "season int, entity int, opponent string, mean double, weight double")
+    assert ridge_ratings(noise, "season", 1.0, least_r2=0.99).count() == 0 and ridge_ratings(noise, "season", 1.0, least_r2=0.0).count() == 9
+
+
+def test_letters_and_closest(spark):
+    df = spark.createDataFrame([("Ünïcode ÇÉD-2 Ñandú",), ("O'Neil Jr.",), (None,), ("ﬁne Å",)], "n string")
+    assert [r[0] for r in df.select(S.letters_only(F.col("n"))).collect()] == ["unicodecednandu", "oneiljr", None, "finea"]
+    words = spark.createDataFrame([("ECNOMY",), ("zzz",), (None,)], "w string")
+    assert [r[0] for r in words.select(S.closest_by_ratio(["ECONOMY", "SMALL"])("w")).collect()] == ["ECONOMY", None, None]
+
+
+def test_fetch_retries_and_pages(spark):
+    def get(request, page):
+        if request == "down":
+            raise TimeoutError("no answer")
+        if request == "flaky":
+            state["calls"] = state.get("calls", 0) + 1
+            if state["calls"] % 3:
+                raise ConnectionError("again")
+        return f"{request}-{page}", page < 3
+
+    state = {}
+    out = T.fetch_pages(spark.createDataFrame([("ok",), ("down",), ("flaky",)], "request string").coalesce(1), get, tries=3, wait=0.001).collect()
+    assert sorted((r.request, r.page, r.body or "") for r in out) == [("down", 1, ""), ("flaky", 1, "flaky-1"), ("flaky", 2, "flaky-2"), ("flaky", 3, "flaky-3"), ("ok", 1, "ok-1"), ("ok", 2, "ok-2"), ("ok", 3, "ok-3")]
+    assert [r.error for r in out if r.request == "down"] == ["TimeoutError: no answer"]
+
+
+def test_column_order_is_refused(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    T.check_columns(df, ["a", "b"])
+    for wrong in (["a"], ["a", "b", "c"], ["b", "a"]):
+        with pytest.raises(ValueError):
+            T.check_columns(df, wrong)
+
+
+def test_scratch_folder_is_shared_or_local(spark):
+    class Other:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            applicationId = "x"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        T.scratch_path(Other, "t")
