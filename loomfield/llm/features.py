@@ -30,6 +30,15 @@ def _sum_by(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n)
 
 
+def _count_by(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes of each document are in ``mask``, without an array of numbers as long as the text."""
+    out = np.zeros(len(at) - 1)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(mask.view(np.uint8), at[some], dtype=np.int64)
+    return out
+
+
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes per document, and the count of the most frequent one."""
     if not len(doc):
@@ -49,8 +58,10 @@ def quality_features(column) -> np.ndarray:
     for lo, hi, data, at in T.blocks(column):
         n = hi - lo
         size = np.diff(at)
-        doc_of = np.repeat(np.arange(n), size)
-        counts = np.bincount(doc_of * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)
+        if n == 1:  # perhaps a very long text
+            counts = sum(np.bincount(data[x : x + T.BLOCK_BYTES], minlength=256) for x in range(0, max(1, len(data)), T.BLOCK_BYTES))[None, :].astype(float)
+        else:
+            counts = np.bincount(np.repeat(np.arange(n), size) * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)
         p = counts / np.maximum(size, 1)[:, None]
         entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
         rates = (counts @ _CLASS_MATRIX) / np.maximum(size, 1)[:, None]
@@ -192,25 +203,26 @@ def toxicity_features(column, lexicon: Lexicon) -> np.ndarray:
         loose_first = T.counts_by_doc(loose_starts, at)
         loose_doc = np.repeat(np.arange(n), np.diff(loose_first))
         lw = np.maximum(np.diff(loose_first), 1)
-        other = np.concatenate(([0], np.cumsum(~_LETTERS[data] & (data > 32))))
+        other = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(~_LETTERS[data] & (data > 32), out=other[1:], dtype=other.dtype)
         inner = other[np.maximum(loose_ends - 1, loose_starts)] - other[np.minimum(loose_starts + 1, loose_ends)]
         obscured = (inner > 0) & (loose_ends - loose_starts > 3)
         plain = _LEET[data]
         unmasked = lexicon.look(lexicon.words, T.span_hashes(plain, loose_starts[obscured], loose_ends[obscured])) > 0
-        stretched = np.zeros(len(data) + 1)
+        # a run of three bytes counts where it ends, as it may end just inside the next document
+        stretched = np.zeros(len(data), bool)
         if len(data) > 2:
-            stretched[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTERS[data[2:]])
-        raw_doc = np.repeat(np.arange(n), np.diff(raw_at))
+            stretched[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTERS[data[2:]]
         raw_n = np.maximum(np.diff(raw_at), 1)
-        upper = _sum_by(raw_doc, _UPPER[raw], n) / raw_n
+        upper = _count_by(_UPPER[raw], raw_at) / raw_n
         caps_s, caps_e = T.word_spans(raw, raw_at, _UPPER)
         caps = _sum_by(np.searchsorted(raw_at, caps_s[caps_e - caps_s > 2], side="right") - 1, np.ones(int((caps_e - caps_s > 2).sum())), n)
         out.append(
             np.column_stack(
                 (
                     np.log1p(words), hits, hits / w, distinct, _sum_by(doc, weight, n), most, seeds, *prefix, *(p / w for p in prefix),
-                    _sum_by(doc, hit & near, n), _sum_by(doc, you, n) / w, upper, caps / w, _sum_by(raw_doc, _PUNCT[raw], n) / raw_n, _sum_by(raw_doc, raw == 33, n) / raw_n, _sum_by(raw_doc, _SYMBOLS[raw], n) / raw_n,
-                    _sum_by(loose_doc, obscured, n) / lw, (stretched[at[1:]] - stretched[at[:-1]]) / w, _sum_by(loose_doc[obscured], unmasked, n),
+                    _sum_by(doc, hit & near, n), _sum_by(doc, you, n) / w, upper, caps / w, _count_by(_PUNCT[raw], raw_at) / raw_n, _count_by(raw == 33, raw_at) / raw_n, _count_by(_SYMBOLS[raw], raw_at) / raw_n,
+                    _sum_by(loose_doc, obscured, n) / lw, _count_by(stretched, at) / w, _sum_by(loose_doc[obscured], unmasked, n),
                 )
             )
         )

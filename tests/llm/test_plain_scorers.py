@@ -3,6 +3,7 @@
 import bisect
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -174,3 +175,14 @@ def test_permutation():
     for n in (1, 2, 3, 5, 64, 65, 1000):
         got = token_files.feistel(np.arange(n), n, 77).tolist()
         assert sorted(got) == list(range(n)) and got == [plain_slot(x, n, 77) for x in range(n)]
+
+
+def test_long_texts_take_a_bounded_multiple_of_their_bytes():
+    text = pa.array([" ".join(f"w{k % 5000}" for k in range(400_000))])
+    size = len(text[0].as_py())
+    for run, most in ((X.quality_features, 14), (lambda t: X.toxicity_features(t, X.Lexicon({}, {k: {} for k in X.PREFIXES})), 30)):
+        tracemalloc.start()
+        run(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * size
