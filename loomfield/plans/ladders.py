@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
-from loomfield.sources.tables import check_columns, numeric_columns, read_table
+from loomfield.sources.tables import check_columns, numeric_columns, read_table, scratch_path, write_csv_by
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -217,6 +217,19 @@ def odds_ladder_rows(spark, d):
     return ladder_rows(spark, d, with_pending=False)
 
 
+@query("""with l as (select cast(l_quantity as integer) as spread, count(*) as n, round(avg(l_discount), 6) as odds, l_linenumber as rung from lineitem group by all), g as (select o_orderkey as game, cast(1 + o_orderkey % 50 as integer) as spread from orders where cast(o_orderdate as date) = (select max(cast(o_orderdate as date)) from orders))
+select game, spread, rung, odds, n from g join l using (spread)""")
+def ladder_files_of_the_day(spark, d):
+    """The coming day's games, which is what a run predicts, each with a folder of its own that holds its ladder; read back from there."""
+    o = read_table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    coming = o.join(F.broadcast(o.agg(F.max("day").alias("day"))), "day").select("o_orderkey")  # one row
+    x = ladder_rows(spark, d, with_pending=True).join(coming, "o_orderkey").withColumnRenamed("o_orderkey", "game")
+    path = scratch_path(spark, "ladders")
+    write_csv_by(x, path, "game")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields if f.name != "game") + ", game bigint"
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def ladder_rows(spark, d, with_pending: bool):
     ladder = read_table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("spread"), F.col("l_linenumber").alias("rung")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("odds"))
     games = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (1 + F.col("o_orderkey") % 50).cast("int").alias("spread"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from loomfield.operators import matrix as X
 from loomfield.operators import rooms
+from loomfield.operators.ridge import ridge_ratings
 from loomfield.sources.catalogue import Catalogue, fit_scaler, scaled
 from loomfield.sources.tables import read_table, scratch_path
 
@@ -19,6 +20,7 @@ FIRST_ADJUSTED_WEEK = 5
 SEASON_DECAY = 0.6
 PRIOR_EVENTS = 6.0
 PLACES = {0: 4, 1: 3, 2: 2}
+KIND_WEIGHTS = {0: 0.5, 1: 0.3, 2: 0.2}
 COVERAGE_SLOTS, LEAST_TACKLES = 5, 10
 
 
@@ -153,3 +155,34 @@ def coverage_credit(spark, d):
     p = x.groupBy("team", "season", "player").agg(F.sum("q").alias("tackles")).where(F.col("tackles") >= LEAST_TACKLES)
     members = rooms.room(p, ["team", "season"], [F.col("tackles").desc(), F.col("player").asc()], COVERAGE_SLOTS).join(saved, ["team", "season"])
     return rooms.shared_credit(members, ["team", "season"], "saved", "tackles").select("team", "season", "player", F.round("credit", 6).alias("credit"))
+
+
+@query(f"""with {_LINES}, k as (select team, season, kind, player, sum(q) as q from x group by all), n as (select k.*, exists (select 1 from k b where b.team = k.team and b.player = k.player and b.season = k.season + 1) as back from k),
+s as (select team, season, kind, sum(q) filter (where back) / sum(q) as share, sum(q) as q from n group by all), w as (select *, case kind when 0 then {KIND_WEIGHTS[0]} when 1 then {KIND_WEIGHTS[1]} else {KIND_WEIGHTS[2]} end as w from s)
+select team, cast(season as integer) as season, round(sum(coalesce(share, 0) * w) / sum(w), 6) as returning, round(sum(coalesce(share, 0) * q) / sum(q), 6) as plain from w where season < (select max(season) from x) group by team, season""")
+def returning_production(spark, d):
+    """What part of a team's production comes back next season: shares by kind, weighed by what a kind is worth, of the kinds there are."""
+    k = _lines(spark, d).groupBy("team", "season", "kind", "player").agg(F.sum("q").alias("q"))
+    back = k.select("team", (F.col("season") - 1).alias("season"), "player", F.lit(True).alias("back")).distinct()
+    s = k.join(back, ["team", "season", "player"], "left").groupBy("team", "season", "kind").agg((F.coalesce(F.sum(F.when(F.col("back"), F.col("q"))), F.lit(0.0)) / F.sum("q")).alias("share"), F.sum("q").alias("q"))
+    last = s.agg(F.max("season").alias("last"))  # one row
+    weight = F.create_map(*(F.lit(v) for pair in KIND_WEIGHTS.items() for v in pair))[F.col("kind").cast("int")]
+    x = s.join(F.broadcast(last), F.col("season") < F.col("last")).withColumn("w", weight)
+    return x.groupBy("team", "season").agg(F.round(F.sum(F.col("share") * F.col("w")) / F.sum("w"), 6).alias("returning"), F.round(F.sum(F.col("share") * F.col("q")) / F.sum("q"), 6).alias("plain"))
+
+
+@query()
+def season_summaries_adjusted(spark, d):
+    """Teams' means by game and opponent, adjusted for the opponents of each season, beside the plain season mean and its running
+    form: summaries, then the adjusted season, then what is known before each week."""
+    g, _ = _games(spark, d)
+    side = lambda team, other, v: g.select("game", "season", "at", F.col(team).alias("entity"), F.col(other).alias("opponent"), F.col(v).alias("v"))
+    rows = side("home", "away", "hv").unionByName(side("away", "home", "av"))
+    cells = rows.groupBy("season", "entity", "opponent").agg(F.avg("v").alias("mean"), F.count("*").cast("double").alias("weight"))
+    rated = ridge_ratings(cells, "season", 10.0, least_own=4, least_r2=0.0)
+    plain = rows.groupBy("season", "entity").agg(F.avg("v").alias("plain"), F.count("*").alias("games"))
+    weeks = rows.groupBy("season", "entity", "at").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    before = Window.partitionBy("season", "entity").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    form = weeks.select("season", "entity", "at", (F.sum("s").over(before) / F.sum("n").over(before)).alias("form"))
+    out = form.join(plain, ["season", "entity"]).join(rated, ["season", "entity"], "left")
+    return out.select("season", "entity", "at", "games", *(F.round(c, 6).alias(c) for c in ("form", "plain", "rating")))

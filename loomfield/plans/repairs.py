@@ -62,14 +62,15 @@ def natural_order_key(spark, d):
     return read_table(spark, d, "orders").select("o_orderkey", F.coalesce(digits.try_cast("int"), F.lit(999)).alias("natural_key"))
 
 
-@query("""with x as (select l_orderkey, '[' || string_agg(distinct cast(l_suppkey as varchar), ', ') || ']' as ids from lineitem group by 1),
-y as (select l_orderkey, cast(unnest(regexp_extract_all(ids, '[0-9]+')) as bigint) as id from x)
-select l_orderkey, s_suppkey, s_nationkey from y join supplier on s_suppkey = id""")
+@query("""with x as (select l_orderkey, cast(l_suppkey as varchar) as k from lineitem group by 1, 2), f as (select l_orderkey, min(k) as id from x group by 1)
+select x.l_orderkey, s_suppkey, s_nationkey, x.k = f.id as first_listed from x join f using (l_orderkey) join supplier on s_suppkey = cast(x.k as bigint)""")
 def stringified_list_bridge(spark, d):
-    ids = F.concat(F.lit("["), F.array_join(F.transform(F.collect_set("l_suppkey"), lambda x: x.cast("string")), ", "), F.lit("]"))
+    """Lists that were stored as text, as ['7', '12'], read back as lists; which of its entries comes first."""
+    ids = F.concat(F.lit("['"), F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), "', '"), F.lit("']"))
     x = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(ids.alias("ids"))
-    y = x.select("l_orderkey", F.explode(F.regexp_extract_all("ids", F.lit("([0-9]+)"))).alias("id"))
-    return y.join(read_table(spark, d, "supplier"), F.expr("s_suppkey = cast(id as bigint)")).select("l_orderkey", "s_suppkey", "s_nationkey")
+    parsed = F.from_json("ids", "array<string>", {"allowSingleQuotes": "true"})
+    y = x.select("l_orderkey", F.posexplode(parsed).alias("place", "id"))
+    return y.join(read_table(spark, d, "supplier"), F.expr("s_suppkey = cast(id as bigint)")).select("l_orderkey", "s_suppkey", "s_nationkey", (F.col("place") == 0).alias("first_listed"))
 
 
 @query("""select l_orderkey, '{"lines":' || count(*) || ',"suppliers":' || count(distinct l_suppkey) || '}' as summary from lineitem group by 1""")
