@@ -28,8 +28,8 @@ from .shared import table, with_maps, without_maps
 SHARDS = 8
 SEED = 20_240_607
 BUCKET_BYTES = 8 << 20
-#: Partitions of buckets at most; beyond that a partition holds several buckets, one after the other.
-MOST_PARTITIONS = 8192
+#: Partitions of buckets; beyond that a partition holds several buckets, one after the other, but not over so many bytes.
+MOST_PARTITIONS, PARTITION_BYTES = 8192, 1 << 30
 #: Offsets of buckets are broadcast up to this many rows of 16 bytes, and joined by a shuffle beyond.
 MOST_BROADCAST = 200_000
 
@@ -51,7 +51,7 @@ def external_shuffle(df: DataFrame, *, shards: int = SHARDS, seed: int = SEED, s
         hashed = hashed.groupBy(h, *names).agg(F.count("*").alias(n)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     bucket = F.pmod(F.xxhash64(h, n, F.lit(seed + 1)), F.lit(buckets))
     keyed = hashed.select(F.struct(*names).alias("_row"), bucket.alias("_bucket"), F.col(h).alias("_h"))
-    dealt = keyed.repartition(min(buckets, MOST_PARTITIONS), "_bucket")
+    dealt = keyed.repartition(min(buckets, max(MOST_PARTITIONS, math.ceil((stats[0] or 0) / PARTITION_BYTES))), "_bucket")
     gathered = dealt.groupBy("_bucket").agg(F.collect_list(F.struct("_h", "_row")).alias("_rows"))
     gathered = gathered.sortWithinPartitions("_bucket").select(
         "_bucket", F.shuffle(F.sort_array("_rows"), F.lit(seed)).alias("_rows")

@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from test_plain_scorers import plain_gam, plain_quality
 
 import corpus_pipeline
 from loomfield.llm import quality
@@ -85,14 +87,33 @@ def same(got, want):
     return sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_pipeline_equals_brute_force(spark, tmp_path):
-    docs = spark.createDataFrame(rows(), "doc_id bigint, text string, lang string, source string, n_chars int")
+def junk():
+    """Rows that their labels call bad, and good ones, told apart by their signs and capitals; copies among them."""
+    rng = np.random.default_rng(13)
+    bad = [" ".join(f"$$BUY{x}!! | {x}{x}{x}#" for x in rng.integers(0, 99, int(rng.integers(6, 30)))) for _ in range(40)]
+    good = [" ".join(f"calm{x} words." for x in rng.integers(0, 900, int(rng.integers(30, 60)))) for _ in range(40)]
+    texts = [*bad, *good, bad[3], good[5], good[5]]
+    return [(100 + k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("classes", [1, 2])
+def test_pipeline_equals_brute_force(spark, tmp_path, classes):
+    base = rows() + (junk() if classes == 2 else [])
+    docs = spark.createDataFrame(base, "doc_id bigint, text string, lang string, source string, n_chars int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    # one class of labels: the classifier rejects nothing, and every later stage is told by its definition
-    spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # with one class of labels the classifier rejects nothing
+    labels = [(1, 1, 0), (4, 1, 0)] if classes == 1 else [(r[0], int(r[0] >= 140), 0) for r in junk()[:80]]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got, want = docs, rows()
-    for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], (lambda x: x, one_of_each, without_repeats, uncontaminated)):
+    model = quality.train_on_texts(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+
+    def good_enough(docs):
+        kept = [r for r in docs if plain_gam(model, np.array(plain_quality(r[1]), np.float32)) >= quality.THRESHOLD]
+        assert (len(kept) < len(docs)) == (classes == 2)
+        return kept
+
+    got, want = docs, base
+    for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], (good_enough, one_of_each, without_repeats, uncontaminated)):
         got = corpus_pipeline.materialize(stage(spark, got, str(tmp_path)), name)
         want = brute(want)
         assert got.columns == docs.columns and same((tuple(r) for r in got.collect()), want), name
