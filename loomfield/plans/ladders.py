@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
+from loomfield.operators.isotonic import isotonic
 from loomfield.sources.tables import check_columns, numeric_columns, read_table, scratch_path, write_csv_by
 
 QUERIES: dict = {}
@@ -94,10 +95,7 @@ f as (select lo, q, min(m) as m from r join b on r.hi >= b.q where r.lo <= b.q g
 def isotonic_calibration(spark, d):
     """Weighted isotonic regression of a rate on fifty bins, clipped."""
     b = read_table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("q")).agg(F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("y"), F.count("*").alias("w"))  # fifty rows
-    one = lambda s: b.select(*(F.col(c).alias(f"{c}_{s}") for c in b.columns))
-    r = one("a").join(one("c"), F.expr("q_a <= q_c")).join(one("b"), F.expr("q_b between q_a and q_c")).groupBy(F.col("q_a").alias("lo"), F.col("q_c").alias("hi")).agg((F.sum(F.expr("y_b * w_b")) / F.sum("w_b")).alias("m"))
-    f = r.join(b.select("q"), F.expr("q between lo and hi")).groupBy("lo", "q").agg(F.min("m").alias("m"))
-    return f.groupBy("q").agg(F.round(S.clip(F.max("m"), 0.01, 0.99), 9).alias("calibrated"))
+    return isotonic(b, "q", "y", "w").select("q", F.round(S.clip("fit", 0.01, 0.99), 9).alias("calibrated"))
 
 
 @query("""with x as (select year(o_orderdate) as season, o_totalprice / 1000 as y, o_custkey % 200 as p, o_orderkey % 5 = 0 as neutral from orders), s as (select season, avg(y - p) as resid, stddev_samp(y - p) as sigma, dense_rank() over (order by season desc) as back from x group by season)

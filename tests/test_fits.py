@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfield.operators import likelihood as L
+from loomfield.operators.isotonic import isotonic
 from loomfield.operators import moments as M
 
 
@@ -215,3 +216,18 @@ def test_ordered_probit(spark):
     with pytest.raises(ValueError, match="levels"):
         L.fit_ordered_probit(df, ["a"], "y", most_levels=3)
     assert L.fit_ordered_probit(df.limit(0), ["a"], "y").levels == []
+
+
+def test_isotonic_is_the_nearest_rising_function(spark):
+    rng = np.random.default_rng(9)
+    y, w = np.arange(60) / 30 + rng.normal(size=60), rng.integers(0, 5, 60).astype(float)
+    bins = spark.createDataFrame([(k * 3, float(a), float(b)) for k, (a, b) in enumerate(zip(y, w))], "q int, y double, w double").repartition(5)
+    got = {r.q // 3: r.fit for r in isotonic(bins, "q", "y", "w").collect()}
+    there = np.flatnonzero(w > 0)
+    assert sorted(got) == there.tolist()
+    a, b = y[there], w[there]
+    mean = lambda i, j: (a[i : j + 1] * b[i : j + 1]).sum() / b[i : j + 1].sum()
+    for k, q in enumerate(there):  # the largest over starts of the least over ends
+        want = max(min(mean(i, j) for j in range(k, len(a))) for i in range(k + 1))
+        assert abs(got[q] - want) < 1e-9
+    assert isotonic(bins.limit(0), "q", "y", "w").count() == 0
