@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loomfield.sources.tables import stored
 
+#: Distinct values that one task may hold.
+FEW = 1 << 16
+
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as no column of ``df`` has, whatever its case."""
@@ -92,9 +92,12 @@ def with_moments(df: DataFrame, keys: list[str], value) -> DataFrame:
 
 def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``df`` with _rank, _mean_rank, _rank_desc and _n of ``value`` in its group: counts of distinct values, summed up over range
-    partitions of (keys, value), so that no task holds a key's rows or values."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    summed = ordered_sums(counts, [F.col(c).asc() for c in (*keys, value)], "_c", "_upto", lambda x: stored(x, "ranks"))
+    partitions of (keys, value), so that no task holds a key's rows or values. Up to ``FEW`` of them all are summed by a window."""
+    counts = stored(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), "counts")
+    if counts.count() <= FEW:
+        summed = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        summed = ordered_sums(counts, [F.col(c).asc() for c in (*keys, value)], "_c", "_upto", lambda x: stored(x, "ranks"))
     group = summed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_c")).alias("_base"), F.sum("_c").alias("_n"))
     before = F.col("_upto") - F.col("_c") - F.col("_base")
     ranks = join_null_safe(summed, group, keys).select(*keys, value, (before + 1).alias("_rank"), (before + (F.col("_c") + 1) / 2).alias("_mean_rank"), (F.col("_n") - before - F.col("_c") + 1).alias("_rank_desc"), "_n")
@@ -109,25 +112,17 @@ def with_positions(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def ordered_sums(df: DataFrame, order: list, value: str, name: str, store) -> DataFrame:
-    """``df`` with the sum of the whole numbers ``value``, none under 0, of all rows up to its own in ``order``: within sorted range
-    partitions first, then the totals of those before are added. One total a partition passes the driver."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    at = parts.columns.index(value)
-
-    def run(batches):
-        total = 0
-        for batch in batches:
-            upto = total + np.cumsum(batch.column(at).to_numpy())
-            total = int(upto[-1]) if len(upto) else total
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.int64())], [*batch.schema.names, name])
-
-    kept = store(parts.mapInArrow(run, StructType([*parts.schema.fields, StructField(name, LongType())])))
+    """``df`` with the sum of the whole numbers ``value`` of all rows up to its own in ``order``: within range partitions first, then
+    the totals of those before are added. One total a partition passes the driver."""
+    own, base = free_names(df, "_part", "_before")
+    kept = store(df.repartitionByRange(*order).withColumn(own, F.spark_partition_id()))
     before, rows = 0, []
-    for p, n in sorted((r[0], r[1]) for r in kept.groupBy("_part").agg(F.max(name)).collect()):
+    for p, n in sorted((r[0], r[1]) for r in kept.groupBy(own).agg(F.sum(value)).collect()):
         rows.append((p, before))
         before += n
-    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _before bigint"))
-    return kept.join(offsets, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"`{own}` int, `{base}` bigint"))
+    upto = F.sum(value).over(Window.partitionBy(own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn(name, upto).join(offsets, own).withColumn(name, F.col(name) + F.col(base)).drop(own, base)
 
 
 def ordered_numbers(df: DataFrame, order: list, name: str, store) -> DataFrame:

@@ -132,7 +132,9 @@ def test_ordered_numbers(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["id", "score", "n"]
 
 
-def test_ranks_and_positions_equal_windows(spark):
+@pytest.mark.parametrize("few", [1 << 16, 10])
+def test_ranks_and_positions_equal_windows(spark, monkeypatch, few):
+    monkeypatch.setattr(R, "FEW", few)
     rows = [(k % 3 if k % 10 else None, float(k * 7919 % 20) if k % 9 else None, k) for k in range(400)]
     df = spark.createDataFrame(rows, "g int, v double, id int").repartition(6)
     got = {r.id: (r._rank, r._mean_rank, r._rank_desc, r._n) for r in R.with_ranks(df, ["g"], "v").collect()}
