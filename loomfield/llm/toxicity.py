@@ -26,8 +26,6 @@ from .textops import binary_array
 MAX_TRAIN_ROWS = 24_000
 THRESHOLD = 0.7
 BINS = 48
-#: Entries of the learned lexicon at most, the most telling ones first; the model stays small whatever the sample.
-MAX_LEXICON = 4000
 
 
 class BoostedTrees:
@@ -122,9 +120,9 @@ class ToxicityModel:
         return np.clip(np.interp(margin, *self.knots), 0.0, 1.0)
 
 
-def learn_lexicon(sample: DataFrame, toxic: int, clean: int, max_entries: int = MAX_LEXICON) -> X.Lexicon:
-    """Words and beginnings whose documents are toxic ten times as often as chance, at most ``max_entries``; counts are
-    document counts."""
+def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> X.Lexicon:
+    """Words and beginnings whose documents are toxic ten times as often as chance; counts are document counts. They come from
+    the sampled documents alone, which bounds them."""
 
     def run(batches):
         for batch in batches:
@@ -141,7 +139,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int, max_entries: int =
     counts = sample.select("text", "label").mapInArrow(run, "kind int, key bigint, bad bigint, good bigint").groupBy("kind", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     least = max(3, toxic // 300)
     odds = (F.col("bad") + 0.1) / max(1, toxic) / ((F.col("good") + 0.1) / max(1, clean))
-    top = counts.where((F.col("key") != 0) & (F.col("bad") >= least) & (odds >= 10)).orderBy(F.desc(F.col("bad") * F.log(odds)), "kind", "key").limit(max_entries)
+    top = counts.where((F.col("key") != 0) & (F.col("bad") >= least) & (odds >= 10))
     found: dict[int, dict[int, float]] = {k: {} for k in (0, *X.PREFIXES)}
     for r in top.select("kind", "key", F.log(odds).alias("w")).collect():
         found[r.kind][r.key & ((1 << 64) - 1)] = float(r.w)
