@@ -102,7 +102,7 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, *, fold: Column
     return Logistic(features, mean, sd, beta)
 
 
-def label_in_stages(df: DataFrame, key: str, label: str, stages: list[list[str]], fold: Column, folds: int = 5, *, least_rows: int = 200, default: float = 0.0) -> tuple[DataFrame, list[dict]]:
+def label_in_stages(df: DataFrame, label: str, stages: list[list[str]], fold: Column, folds: int = 5, *, least_rows: int = 200, default: float = 0.0) -> tuple[DataFrame, list[dict]]:
     """``df`` with ``role`` (0/1), ``role_source`` and ``chance``: labels where they are; else by the first stage whose features
     are all there and which has ``least_rows`` labelled rows; else ``default``. And for each stage its out-of-fold accuracy and area."""
     known = F.col(label).isNotNull()

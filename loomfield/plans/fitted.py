@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,7 +104,7 @@ def role_by_stages(spark, d):
     p = read_table(spark, d, "part")
     name = F.col("p_partkey") % 10
     x = p.select("p_partkey", F.when(name > 2, (F.col("p_retailprice") > 20 * F.col("p_size") + 700).cast("int")).alias("label"), F.when(name != 1, F.col("p_size")).alias("size"), F.when(name != 2, F.col("p_retailprice") / 100).alias("price"))
-    out, _ = likelihood.label_in_stages(x, "p_partkey", "label", [["size", "price"], ["size"]], F.col("p_partkey") % 5, least_rows=50)
+    out, _ = likelihood.label_in_stages(x, "label", [["size", "price"], ["size"]], F.col("p_partkey") % 5, least_rows=50)
     return out.select("p_partkey", "role", "role_source", F.round("chance", 6).alias("chance"))
 
 
@@ -138,8 +139,6 @@ select round(arg_min(p, (q, -r)), 6) as second, round(arg_min(q, (q, -r)), 6) as
 def blend_grid_choice(spark, d):
     """Shares of three parts by the correlation averaged over two tiers; of shares about as good as the best, those that lean
     least on the part from outside. One moment matrix a tier serves the whole grid."""
-    import numpy as np
-
     grams = [M.matrix(r.moments, 3) for r in M.gram(_orders(spark, d).withColumn("tier", F.col("season") % 2), _PARTS, "y", ["tier"]).collect()]
     grid = [((a / 20, b / 20), np.array([(1 - b / 20) * (1 - a / 20), (1 - b / 20) * a / 20, b / 20])) for a in range(17) for b in range(13)]
     c = M.choose_blend(grams, grid, lambda p: p[1])

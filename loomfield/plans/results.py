@@ -203,7 +203,7 @@ def roster_talent(spark, d):
     return r.join(ranked, keys)
 
 
-@query("""with b as (select l_partkey as game, l_linenumber % 4 as book, avg(l_discount * 100) as spread, avg(l_tax * 100) as odds from lineitem group by all), m as (select game, median(spread) as consensus, median(odds) as line, count(*) as books, max(spread) - min(spread) as spread_gap from b group by 1)
+@query("""with b as (select l_partkey as game, l_linenumber % 4 as book, avg(l_discount * 100) as spread from lineitem group by all), m as (select game, median(spread) as consensus, count(*) as books, max(spread) - min(spread) as spread_gap from b group by 1)
 select game, round(consensus, 6) as consensus, books, round(spread_gap, 6) as disagreement, round(avg(p_size) / 10 - any_value(consensus), 6) as edge, any_value(case when books >= 3 and spread_gap <= 3 then 'firm' when books >= 2 then 'loose' else 'single' end) as quality from m join part on p_partkey = game group by game, consensus, books, spread_gap""")
 def market_consensus(spark, d):
     """Books' medians for every game, how far they disagree, and the model's edge over them."""

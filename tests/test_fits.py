@@ -174,13 +174,13 @@ def test_logistic_folds(table, data):
 def test_labels_in_stages(spark, table, data):
     _, y = data
     df = table.withColumn("up", F.when(F.col("id") % 4 > 0, F.col("up"))).withColumn("c", F.when(F.col("id") % 8 != 0, F.col("c"))).withColumn("b", F.when(F.col("id") != 9001, F.col("b")))
-    out, reports = L.label_in_stages(df, "id", "up", [["a", "b", "c"], ["a"]], F.col("fold"))
+    out, reports = L.label_in_stages(df, "up", [["a", "b", "c"], ["a"]], F.col("fold"))
     rows = {r.id: r for r in out.collect()}
     assert rows[1].role_source == "label" and rows[4].role_source == "stage 0" and rows[8].role_source == "stage 1" and rows[9000].role_source == "default"
     missing = out.where("a is null and id < 9000").count()
     assert missing == 0 and all(r["accuracy"] > 0.7 and r["area"] > 0.8 for r in reports)
     assert all((r.role == 1) == (r.chance > 0.5) for r in rows.values() if r.role_source.startswith("stage"))
-    few, none = L.label_in_stages(df.where("id < 40"), "id", "up", [["a"]], F.col("fold"))
+    few, none = L.label_in_stages(df.where("id < 40"), "up", [["a"]], F.col("fold"))
     assert none[0]["accuracy"] is None and {r.role_source for r in few.collect()} == {"label", "default"}
     p = spark.createDataFrame([(1.0, 0.9), (0.0, 0.2), (1.0, 0.2), (0.0, 0.1), (1.0, 0.6)], "y double, p double")
     assert L.area_and_accuracy(p) == {"accuracy": 0.8, "area": (2 + 2 + 1.5) / 6}
