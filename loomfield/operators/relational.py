@@ -93,8 +93,8 @@ def with_moments(df: DataFrame, keys: list[str], value) -> DataFrame:
 def with_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``df`` with _rank, _mean_rank, _rank_desc and _n of ``value`` in its group: counts of distinct values, summed up over range
     partitions of (keys, value), so that no task holds a key's rows or values. Up to ``FEW`` of them all are summed by a window."""
-    counts = stored(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), "counts")
-    if counts.count() <= FEW:
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    if counts.limit(FEW + 1).count() <= FEW:
         summed = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     else:
         summed = ordered_sums(counts, [F.col(c).asc() for c in (*keys, value)], "_c", "_upto", lambda x: stored(x, "ranks"))
