@@ -12,10 +12,10 @@ from loomfield.sources.tables import read_table, scratch_path, stored, write_gua
 QUERIES: dict = {}
 SQL: dict = {}
 
-#: A tie's chance before all three outcomes are scaled to one, preferred segments, stars of a blue chip.
+#: A tie's chance before all three outcomes are scaled to one, preferred segments, how many make a roster's top.
 TIE_CHANCE = 0.05
 PREFERRED = ("BUILDING", "MACHINERY")
-BLUE_CHIP = 4
+TOP_FEW = 4
 HOLDOUT = 200
 
 
@@ -167,14 +167,14 @@ def leakage_check(spark, d):
 
 
 @query("""with s as (select year(o_orderdate) as season, min(cast(o_orderdate as date)) as lo, max(cast(o_orderdate as date)) as hi from orders group by 1), w as (select season, lo, hi, unnest(range(0, date_diff('day', lo, hi) // 7 + 1)) as k from s)
-select cast(season as integer) as season, cast(k + 1 as integer) as week, cast(lo + cast(k * 7 as integer) as varchar) as first_day, cast(least(lo + cast(k * 7 + 6 as integer), hi) as varchar) as last_day, 'scoreboard?dates=' || strftime(lo + cast(k * 7 as integer), '%Y%m%d') || '-' || strftime(least(lo + cast(k * 7 + 6 as integer), hi), '%Y%m%d') || '&limit=400' as request from w""")
+select cast(season as integer) as season, cast(k + 1 as integer) as week, cast(lo + cast(k * 7 as integer) as varchar) as first_day, cast(least(lo + cast(k * 7 + 6 as integer), hi) as varchar) as last_day, 'games?days=' || strftime(lo + cast(k * 7 as integer), '%Y%m%d') || '-' || strftime(least(lo + cast(k * 7 + 6 as integer), hi), '%Y%m%d') || '&most=500' as request from w""")
 def weekly_windows(spark, d):
     """Windows of seven days over each season, the last one cut, and the request that each makes."""
     s = read_table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("season")).agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))
     w = s.select("season", "hi", F.posexplode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("k", "first"))
     last = F.least(F.date_add("first", 6), F.col("hi"))
     day = lambda c: F.date_format(c, "yyyyMMdd")
-    return w.select("season", (F.col("k") + 1).alias("week"), F.col("first").cast("string").alias("first_day"), last.cast("string").alias("last_day"), F.concat(F.lit("scoreboard?dates="), day("first"), F.lit("-"), day(last), F.lit("&limit=400")).alias("request"))
+    return w.select("season", (F.col("k") + 1).alias("week"), F.col("first").cast("string").alias("first_day"), last.cast("string").alias("last_day"), F.concat(F.lit("games?days="), day("first"), F.lit("-"), day(last), F.lit("&most=500")).alias("request"))
 
 
 @query(r"""with r as (select page_id, unnest(list_slice(string_split(html, '<li>'), 2, 1000000)) as r, unnest(range(1, len(string_split(html, '<li>')))) as place from pages)
@@ -187,7 +187,7 @@ def html_rows(spark, d):
 
 
 @query(f"""with x as (select c_nationkey as team, 1995 + c_custkey % 4 as season, case c_custkey % 3 when 0 then 'line' when 1 then 'back' else 'end' end as kind, c_acctbal / 10007 as rating, c_acctbal >= 6000 as blue from customer),
-r as (select team, season, count(*) as linked, avg(case when blue then 1.0 else 0.0 end) as chips, avg(rating) filter (where kind = 'line') as line, avg(rating) filter (where kind = 'back') as back, max(rating) filter (where kind = 'end') as best_end, (select avg(v) from (select unnest(list_slice(list_reverse_sort(list(rating)), 1, {BLUE_CHIP})) as v)) as top from x group by all)
+r as (select team, season, count(*) as linked, avg(case when blue then 1.0 else 0.0 end) as chips, avg(rating) filter (where kind = 'line') as line, avg(rating) filter (where kind = 'back') as back, max(rating) filter (where kind = 'end') as best_end, (select avg(v) from (select unnest(list_slice(list_reverse_sort(list(rating)), 1, {TOP_FEW})) as v)) as top from x group by all)
 select cast(team as integer) as team, cast(season as integer) as season, linked, round(chips, 6) as chips, round(line, 6) as line, round(back, 6) as back, round(best_end, 6) as best_end, round(top, 6) as top, round((rank() over (partition by season order by round(top, 9)) + (count(*) over (partition by season, round(top, 9)) - 1) / 2.0) / count(*) over (partition by season), 6) as top_share from r""")
 def roster_talent(spark, d):
     """A roster's share of blue chips, its groups' means, the best of one group, the mean of its top few, ranked within the season."""
@@ -195,7 +195,7 @@ def roster_talent(spark, d):
     kind = F.when(F.col("c_custkey") % 3 == 0, "line").when(F.col("c_custkey") % 3 == 1, "back").otherwise("end")
     x = c.select(F.col("c_nationkey").alias("team"), (1995 + F.col("c_custkey") % 4).cast("int").alias("season"), kind.alias("kind"), (F.col("c_acctbal") / 10007).alias("rating"), (F.col("c_acctbal") >= 6000).alias("blue"), "c_custkey")
     keys = ["team", "season"]
-    best = x.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("rating").desc(), "c_custkey"))).where(F.col("n") <= BLUE_CHIP)
+    best = x.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("rating").desc(), "c_custkey"))).where(F.col("n") <= TOP_FEW)
     top = best.groupBy(*keys).agg(F.round(F.avg("rating"), 9).alias("top"))
     mean = lambda k: F.round(F.avg(F.when(F.col("kind") == k, F.col("rating"))), 6)
     r = x.groupBy(*keys).agg(F.count("*").alias("linked"), F.round(F.avg(F.when(F.col("blue"), 1.0).otherwise(0.0)), 6).alias("chips"), mean("line").alias("line"), mean("back").alias("back"), F.round(F.max(F.when(F.col("kind") == "end", F.col("rating"))), 6).alias("best_end"))
