@@ -222,4 +222,5 @@ def duplicate_keys(spark, d):
 @query("with z as (select o_orderkey, (o_totalprice - avg(o_totalprice) over (partition by year(o_orderdate))) / stddev_samp(o_totalprice) over (partition by year(o_orderdate)) as z from orders) select o_orderkey, round(z, 6) as z from z where abs(z) > 1.7")
 def outlier_scan(spark, d):
     x = R.with_moments(read_table(spark, d, "orders").withColumn("y", F.year("o_orderdate")), ["y"], "o_totalprice")
-    return x.select("o_orderkey", F.round((F.col("o_totalprice") - F.col("_mean")) / F.col("_sd"), 6).alias("z")).where("abs(z) > 1.7")
+    z = (F.col("o_totalprice") - F.col("_mean")) / F.col("_sd")
+    return x.where(F.abs(z) > 1.7).select("o_orderkey", F.round(z, 6).alias("z"))
