@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
+from loomfield.operators import ridge
 from loomfield.operators.ridge import margin_ratings, ridge_rates, ridge_ratings
 from loomfield.plans import models
 from loomfield.sources import tables as T
@@ -107,6 +108,21 @@ def test_margin_ratings_equal_the_closed_form(spark):
             assert abs(got[season, t][0] - (b[t] + (b[6 + level[t]] if level[t] else 0))) < 1e-9 and abs(got[season, t][1] - b[6]) < 1e-9
 
 
+def test_large_groups_of_margins_are_solved_without_a_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    level = [k % 3 if k < 20 else 3 for k in range(24)]
+    games = [(s, int(h), int(a), level[h], level[a], float(rng.integers(-30, 30))) for s, n in ((0, 16), (1, 6), (None, 24), (2, 20)) for h, a in rng.integers(0, n, (150, 2))]
+    games.append((0, 3, 4, 2, 1, 7.0))  # a level that is not its team's lowest, and teams that met themselves above
+    df = spark.createDataFrame(games, "season int, home int, away int, home_level int, away_level int, margin double")
+    want = {(r.season, r.team): (r.rating, r.edge) for r in margin_ratings(df, "season").collect()}
+
+    calls, run = [], ridge.iterated_margins
+    monkeypatch.setattr(ridge, "iterated_margins", lambda cells, alpha: calls.append(cells.select("_g").distinct().count()) or run(cells, alpha))
+    got = {(r.season, r.team): (r.rating, r.edge) for r in margin_ratings(df, "season", most_teams=10).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+    assert calls == [3]  # all but season 1, whose teams are few
+
+
 def test_guarded_write(spark, tmp_path):
     df = spark.range(3)
     with pytest.raises(ValueError):
