@@ -16,6 +16,8 @@ SQL: dict = {}
 #: Weights of a class by its age in a rolling talent window, and the least sum of weights.
 TALENT = {1: 0.9, 2: 1.0, 3: 1.0, 4: 0.7}
 LEAST_TALENT = 2.0
+#: Rows of lines that one task of a large join takes.
+TASK_ROWS = 1 << 19
 
 
 def query(sql: str):
@@ -241,8 +243,13 @@ select o_orderkey, l_suppkey as venue, h.venue as home_venue, round(a.elevation
 def venue_travel(spark, d):
     """A team's home is its most frequent venue; miles and metres of climb to each game's."""
     v = read_table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") * 2.5 - 30).alias("lat"), ((F.col("s_suppkey") % 60) - 100.0).alias("lon"), (F.col("s_acctbal") / 10).alias("elevation"))
-    x = read_table(spark, d, "orders").join(read_table(spark, d, "lineitem"), F.expr("l_orderkey = o_orderkey")).select("o_orderkey", "o_custkey", "l_suppkey")
-    h = x.groupBy("o_custkey", "l_suppkey").count().groupBy("o_custkey").agg(F.min_by("l_suppkey", F.struct(-F.col("count"), "l_suppkey")).alias("home_venue"))
+    o, l = read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")  # noqa: E741
+    n = 1 + l.count() // TASK_ROWS  # as many tasks as the rows need, so that what one sorts and counts does not grow with them
+    games = o.repartition(n, "o_orderkey").groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("orders"))
+    lines = l.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("lines"))
+    x = games.join(lines, F.expr("l_orderkey = o_orderkey")).select("o_orderkey", "o_custkey", "l_suppkey", F.expr("orders * lines").alias("n"))
+    often = x.repartition(n, "o_custkey", "l_suppkey").groupBy("o_custkey", "l_suppkey").agg(F.sum("n").alias("n"))
+    h = often.groupBy("o_custkey").agg(F.min_by("l_suppkey", F.struct(-F.col("n"), "l_suppkey")).alias("home_venue"))
     side = lambda s, key: v.select(F.col("s_suppkey").alias(key), *(F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", "elevation")))
-    g = x.distinct().join(h, "o_custkey").join(side("a", "l_suppkey"), "l_suppkey").join(side("b", "home_venue"), "home_venue")
+    g = x.join(h.hint("shuffle_hash"), "o_custkey").join(side("a", "l_suppkey"), "l_suppkey").join(side("b", "home_venue"), "home_venue")
     return g.select("o_orderkey", F.col("l_suppkey").alias("venue"), "home_venue", F.round(F.col("elevation_a") - F.col("elevation_b"), 4).alias("climb"), F.round(S.haversine_miles(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 4).alias("miles"))

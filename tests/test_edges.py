@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from loomfield.plans import registry
+from loomfield.plans import ladders, registry
 
 
 def both(spark, folder, name, **tables):
@@ -27,3 +27,15 @@ def test_outliers_are_told_before_rounding(spark, tmp_path):
     price = [x, -x] + [1000.0, -1000.0] * 4
     got, want = both(spark, tmp_path, "outlier_scan", orders={"o_orderkey": list(range(10)), "o_totalprice": price, "o_orderdate": [datetime.datetime(1996, 5, 1)] * 10})
     assert got == want == [(0, 1.7), (1, -1.7)]
+
+
+def test_travel_takes_more_tasks_for_more_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ladders, "TASK_ROWS", 16)
+    n = 160
+    lines = {"l_orderkey": [k * 7 % 23 for k in range(n)], "l_suppkey": [k * k % 5 for k in range(n)]}
+    orders = {"o_orderkey": [*range(23), 3], "o_custkey": [*(k % 4 for k in range(23)), 3]}  # an order twice
+    supplier = {"s_suppkey": list(range(5)), "s_nationkey": [3, 9, 14, 2, 20], "s_acctbal": [10.5, 20.0, -3.25, 900.0, 7.0]}
+    got, want = both(spark, tmp_path, "venue_travel", orders=orders, lineitem=lines, supplier=supplier)
+    assert got == want and len(got) > 23
+    plan = registry.queries()["venue_travel"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" in plan and plan.count(f", {1 + n // 16}), REPARTITION_BY_NUM") >= 3
