@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from loomfield.functions import scalars as S
 from loomfield.operators import relational as R
 from loomfield.operators.isotonic import isotonic
-from loomfield.sources.tables import check_columns, numeric_columns, read_table, scratch_path, write_csv_by
+from loomfield.sources.tables import check_columns, numeric_columns, read_table, scratch_path, stored, write_csv_by
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -171,11 +171,17 @@ def returning_shares_by_tier(spark, d):
 select o_custkey, cast(y as integer) as y, round(talent, 6) as talent, rank() over (partition by y order by round(talent, 6) desc) as place from s where sw >= 2""")
 def talent_window(spark, d):
     """Four classes, each weighing by its age, where the weights add up to enough; ranked within the season."""
-    g = read_table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("v"))
-    parts = F.explode(F.array(*(F.struct(F.lit(age - 1).alias("on"), F.lit(w).alias("w")) for age, w in TALENT.items())))
-    spread = g.select("o_custkey", "y", "v", parts.alias("k")).select("o_custkey", (F.col("y") + F.col("k.on")).alias("y"), F.col("k.w").alias("w"), (F.col("v") * F.col("k.w")).alias("vw"))
-    s = spread.groupBy("o_custkey", "y").agg((F.sum("vw") / F.sum("w")).alias("talent"), F.sum("w").alias("sw")).where(F.col("sw") >= LEAST_TALENT)
-    s = s.join(g.select("o_custkey", "y"), ["o_custkey", "y"]).select("o_custkey", "y", F.round("talent", 6).alias("talent"))
+    price, exact = F.col("o_totalprice"), F.col("o_totalprice").try_cast("decimal(20,8)")
+    o = read_table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), price, F.when(exact.cast("double") == price, exact).alias("exact"))
+    total = F.when(F.count("exact") == F.count("o_totalprice"), F.sum("exact")).try_cast("decimal(22,8)")
+    g = o.groupBy("o_custkey", "y").agg(F.avg("o_totalprice").alias("v"), F.try_divide(total, F.count("o_totalprice").cast("decimal(10,0)")).alias("e"))
+    parts = F.explode(F.array(*(F.struct(F.lit(age - 1).alias("on"), F.lit(w).cast("decimal(2,1)").alias("w")) for age, w in TALENT.items())))
+    spread = g.select("o_custkey", "y", "v", "e", parts.alias("k")).select("o_custkey", (F.col("y") + F.col("k.on")).alias("y"), F.col("k.w").alias("w"), (F.col("v") * F.col("k.w").cast("double")).alias("vw"), (F.col("e") * F.col("k.w")).alias("ew"))
+    # in decimals, where prices have them, halves of the last digit do not hang on the order of sums; they go up
+    last = F.round(F.round(F.try_divide(F.sum("ew"), F.sum("w")), 12), 6).cast("double")
+    talent = F.coalesce(F.when(F.count("ew") == F.count("vw"), last), F.round(F.sum("vw") / F.sum("w").cast("double"), 6))
+    s = spread.groupBy("o_custkey", "y").agg(talent.alias("talent"), F.sum("w").alias("sw")).where(F.col("sw") >= LEAST_TALENT)
+    s = stored(s.join(g.select("o_custkey", "y"), ["o_custkey", "y"]).select("o_custkey", "y", "talent"), "talent")  # ranked and met by the same numbers
     return R.with_ranks(s, ["y"], "talent").select("o_custkey", "y", "talent", F.col("_rank_desc").alias("place"))
 
 

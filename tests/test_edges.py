@@ -39,3 +39,14 @@ def test_travel_takes_more_tasks_for_more_lines(spark, tmp_path, monkeypatch):
     assert got == want and len(got) > 23
     plan = registry.queries()["venue_travel"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" in plan and plan.count(f", {1 + n // 16}), REPARTITION_BY_NUM") >= 3
+
+
+def test_halves_of_the_last_digit_of_talent_go_up(spark, tmp_path):
+    # the same 32 prices in each of four seasons, their cents an odd sum: the mean, and so the talent, ends in half a digit
+    cents = {c: [25000000 + 3731 * c + 100977 * k + 10 * k * k for k in range(32)] for c in range(60)}
+    for own in cents.values():
+        own[5] += 1 - sum(own) % 2
+    rows = [(c, datetime.datetime(y, 3, 1), x / 100) for c, own in cents.items() for y in (1996, 1997, 1998, 1999) for x in own]
+    pq.write_table(pa.table(dict(zip(("o_custkey", "o_orderdate", "o_totalprice"), zip(*rows)))), tmp_path / "orders.parquet")
+    got = {(r.o_custkey, r.y): r.talent for r in registry.queries()["talent_window"](spark, str(tmp_path)).collect()}
+    assert got == {(c, y): (sum(own) * 625 + 1) // 2 / 10**6 for c, own in cents.items() for y in (1998, 1999)}
