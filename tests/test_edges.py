@@ -50,3 +50,19 @@ def test_halves_of_the_last_digit_of_talent_go_up(spark, tmp_path):
     pq.write_table(pa.table(dict(zip(("o_custkey", "o_orderdate", "o_totalprice"), zip(*rows)))), tmp_path / "orders.parquet")
     got = {(r.o_custkey, r.y): r.talent for r in registry.queries()["talent_window"](spark, str(tmp_path)).collect()}
     assert got == {(c, y): (sum(own) * 625 + 1) // 2 / 10**6 for c, own in cents.items() for y in (1998, 1999)}
+
+
+def test_books_are_added_in_the_tables_order(spark, tmp_path):
+    # a gap of exactly 3 by the table's order; Spark takes the larger, later files first, and that sum ends in another digit
+    book, games = [2] * 6 + [3] * 5 + [1], list(range(60))
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for k, discount in enumerate([0.02, 0.06, 0.01, 0.07, 0.07, 0.07, 0.04, 0.03, 0.0, 0.0, 0.03, 0.05]):
+        more = list(range(1000, 1000 + 500 * k))  # lines of no game
+        n = len(games + more)
+        pq.write_table(pa.table({"l_partkey": games + more, "l_linenumber": pa.array([book[k]] * n, pa.int32()), "l_discount": [discount] * n}), folder / f"part-{k:02}.parquet")
+    pq.write_table(pa.table({"p_partkey": games, "p_size": pa.array([10] * 60, pa.int32())}), tmp_path / "part.parquet")
+    got = {(r.game, r.quality) for r in registry.queries()["market_consensus"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create view lineitem as select * from '{folder}/*.parquet'; create view part as select * from '{tmp_path}/part.parquet'")
+    assert got == set(con.execute(f"select game, quality from ({registry.oracle_sql()['market_consensus']})").fetchall()) == {(g, "firm") for g in games}
