@@ -66,3 +66,10 @@ def test_books_are_added_in_the_tables_order(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"set threads = 1; create view lineitem as select * from '{folder}/*.parquet'; create view part as select * from '{tmp_path}/part.parquet'")
     assert got == set(con.execute(f"select game, quality from ({registry.oracle_sql()['market_consensus']})").fetchall()) == {(g, "firm") for g in games}
+
+
+def test_a_part_that_is_there_twice_gives_one_row(spark, tmp_path):
+    lines = {"l_partkey": [1, 1, 1, 2, 3], "l_linenumber": pa.array([1, 2, 3, 1, 1], pa.int32()), "l_discount": [0.01, 0.02, 0.04, 0.05, 0.06]}
+    part = {"p_partkey": [1, 1, 2, 2, 4], "p_size": pa.array([10, 40, 7, 9, 5], pa.int32())}
+    got, want = both(spark, tmp_path, "market_consensus", lineitem=lines, part=part)
+    assert got == want == [(1, 2.0, 3, 3.0, 0.5, "firm"), (2, 5.0, 1, 0.0, -4.2, "single")]
