@@ -2,6 +2,8 @@
 
 import datetime
 import math
+import re
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -73,3 +75,25 @@ def test_a_part_that_is_there_twice_gives_one_row(spark, tmp_path):
     part = {"p_partkey": [1, 1, 2, 2, 4], "p_size": pa.array([10, 40, 7, 9, 5], pa.int32())}
     got, want = both(spark, tmp_path, "market_consensus", lineitem=lines, part=part)
     assert got == want == [(1, 2.0, 3, 3.0, 0.5, "firm"), (2, 5.0, 1, 0.0, -4.2, "single")]
+
+
+def test_travel_moves_lines_by_order_once_whatever_rows_there_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ladders, "TASK_ROWS", 8)
+    # order 2 of two customers, 3 of none, 1 twice; no venue is customer 5's most frequent and ties with 6's; customer 7 ties at 1 and 3
+    orders = [(1, 4), (1, 4), (2, 4), (2, 8), (3, None), (4, 5), (5, 6), (6, 7), (None, 4)]
+    lines = [(1, 2), (1, 2), (1, 1), (2, 1), (2, 3), (2, 9), (3, 2), (4, None), (4, None), (4, 1), (5, None), (5, 2), (6, 3), (6, 1), (None, 3), (99, 1)]
+    supplier = [(1, 3, 10.5), (2, 9, 20.0), (2, 9, 20.0), (3, None, 7.0), (None, 1, 1.0)]  # one twice, one of no nation
+    for t, names, rows in (("orders", ("o_orderkey", "o_custkey"), orders), ("lineitem", ("l_orderkey", "l_suppkey"), lines), ("supplier", ("s_suppkey", "s_nationkey", "s_acctbal"), supplier)):
+        pq.write_table(pa.table(dict(zip(names, zip(*rows)))), tmp_path / f"{t}.parquet")
+    x = registry.queries()["venue_travel"](spark, str(tmp_path))
+    got = sorted((r.o_orderkey, r.venue, r.home_venue, r.climb, r.miles is None) for r in x.collect())
+    visits = [(o, c, s) for o, c in orders for k, s in lines if o == k is not None and c is not None]
+    count = Counter((c, s) for _, c, s in visits)
+    home = {c: min((-n, s is not None, s or 0) for (d, s), n in count.items() if c == d) for _, c, _ in visits}
+    home = {c: s for c, (_, known, s) in home.items() if known}
+    at = [(s, nation, metres) for s, nation, metres in supplier if s is not None]
+    assert got == sorted((o, s, home[c], round((a[2] - b[2]) / 10, 4), None in (a[1], b[1])) for o, c, s in set(visits) if c in home for a in at for b in at if a[0] == s and b[0] == home[c])
+    assert home == {4: 2, 7: 1, 8: 1} and len(got) == 14
+    ran = x._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    read = [re.findall(r"\w+\(l_suppkey\)", scan.split("\n")[0]) for scan in ran.split("FileScan ")[1:] if scan.startswith("parquet [l_orderkey")]
+    assert sorted(read) == [["IsNotNull(l_suppkey)"], ["IsNull(l_suppkey)"]], ran
