position_rooms: rating and best player from one pass over the members

Symptom: 43 MB shuffled written and 43 read on sf0.1 (the profiler), from files of 10.9 MB.
Evidence: members feed two branches, the rating and the best player, joined again by room; the second's "place = 1" reaches the scan, so nothing is reused: lines read, joined, shuffled by player (14.7 MB) and by room (9.4 and 4.2 MB) twice, and 4 of 5 sorts.
Fix: room_rating takes further aggregates, and the best player is one of them; lines without a team, season or kind, which the join dropped, go before the first shuffle.
Effect: at 1 GB of input CPU 770 -> 578 s, shuffle 2.87 -> 1.59 GB, spill 0.00 -> 0.00 GB, read 0.71 -> 0.36 GB, longest task 15 -> 17 s, most memory of a task 570 -> 570 MB; at 6 GB of input CPU 3187 -> 2012 s, shuffle 13.46 -> 9.27 GB, spill 0.00 -> 0.00 GB, read 2.82 -> 2.78 GB, longest task 19 -> 19 s, most memory of a task 1145 -> 1145 MB; with hot keys, at 1 GB of input CPU 836 -> 418 s, shuffle 2.32 -> 1.25 GB, spill 0.00 -> 0.00 GB, read 0.68 -> 0.34 GB, longest task 25 -> 12 s, most memory of a task 537 -> 537 MB.

@@ -20,11 +20,12 @@ def room(players: DataFrame, keys: list[str], order: list[Column], places: int |
     return ranked.where(F.col("place") <= places)
 
 
-def room_rating(members: DataFrame, keys: list[str], value: str, places: int | Column, fill: float) -> DataFrame:
-    """(keys, members, rating): the mean over all places of a room, those without a rated member at ``fill``."""
+def room_rating(members: DataFrame, keys: list[str], value: str, places: int | Column, fill: float, *more: Column) -> DataFrame:
+    """(keys, members, rating): the mean over all places of a room, those without a rated member at ``fill``. ``more``: further
+    aggregates of the room, from the same pass."""
     there = F.count(value)
     size = F.lit(places) if isinstance(places, int) else F.max(places)
-    return members.groupBy(*keys).agg(F.count("*").alias("members"), ((F.coalesce(F.sum(value), F.lit(0.0)) + (size - there) * F.lit(fill)) / size).alias("rating"))
+    return members.groupBy(*keys).agg(F.count("*").alias("members"), ((F.coalesce(F.sum(value), F.lit(0.0)) + (size - there) * F.lit(fill)) / size).alias("rating"), *more)
 
 
 def shared_credit(members: DataFrame, keys: list[str], total: str, part: str, name: str = "credit") -> DataFrame:

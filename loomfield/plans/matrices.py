@@ -132,15 +132,16 @@ r as (select *, row_number() over (partition by team, season, kind order by proj
 select team, cast(season as integer) as season, cast(kind as integer) as kind, count(*) as members, round((sum(projected) + (max(places) - count(*)) * 15.0) / max(places), 6) as rating, cast(min(player) filter (place = 1) as bigint) as best from r group by team, season, kind""")
 def position_rooms(spark, d):
     """A team's room of each kind: its best few by records shrunk toward their rating, empty places at replacement level."""
-    p = _lines(spark, d).groupBy("team", "season", "kind", "player").agg((F.sum("q") / F.count("*")).alias("record"), F.count("*").alias("n"), F.max("rating").alias("rating"))
+    x = _lines(spark, d).where("team is not null and season is not null and kind is not null")  # others are in no room
+    p = x.groupBy("team", "season", "kind", "player").agg((F.sum("q") / F.count("*")).alias("record"), F.count("*").alias("n"), F.max("rating").alias("rating"))
     s = p.withColumn("projected", rooms.shrunk(F.col("record"), F.col("n"), F.col("rating"), PRIOR_EVENTS))
     keys = ["team", "season", "kind"]
     most = rooms.room(s, keys, [F.col("projected").desc(), F.col("player").asc()], max(PLACES.values()))
     places = F.create_map(*(F.lit(v) for pair in PLACES.items() for v in pair))[F.col("kind").cast("int")]
     members = most.withColumn("places", places).where("place <= places")
-    rated = rooms.room_rating(members, keys, "projected", F.col("places"), 15.0)
-    best = members.where("place = 1").select(*keys, F.col("player").alias("best"))
-    return rated.join(best, keys).select("team", "season", "kind", "members", F.round("rating", 6).alias("rating"), "best")
+    best = F.min(F.when(F.col("place") == 1, F.col("player"))).alias("best")
+    rated = rooms.room_rating(members, keys, "projected", F.col("places"), 15.0, best)
+    return rated.select("team", "season", "kind", "members", F.round("rating", 6).alias("rating"), "best")
 
 
 @query(f"""with {_LINES}, t as (select team, season, avg(disc) as allowed, count(*) as n from x group by all), l as (select season, sum(allowed * n) / sum(n) as league from t group by season), v as (select team, season, (league - allowed) * n as saved from t join l using (season)),

@@ -97,3 +97,24 @@ def test_travel_moves_lines_by_order_once_whatever_rows_there_are(spark, tmp_pat
     ran = x._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     read = [re.findall(r"\w+\(l_suppkey\)", scan.split("\n")[0]) for scan in ran.split("FileScan ")[1:] if scan.startswith("parquet [l_orderkey")]
     assert sorted(read) == [["IsNotNull(l_suppkey)"], ["IsNull(l_suppkey)"]], ran
+
+
+def test_rooms_are_rated_in_one_pass_whatever_rows_there_are(spark, tmp_path):
+    # seven players of a room of four, two of them alike; a part twice; lines of no team, no day, no part; parts of no size and of one below 0
+    size = {1: 3, 2: 3, 3: 3, 5: 6, 6: 6, 7: 0, 8: 9, 9: 4, 10: 5, 11: None, 13: -1}
+    parts = [*size.items(), (2, 6), (None, 3)]
+    lines = [(7, p, 1996, 10.0 + 3 * (p % 5)) for p in size] + [(7, 2, 1996, 40.0), (7, 7, 1997, 1.0), (None, 2, 1996, 5.0), (7, 3, None, 50.0), (7, None, 1996, 5.0), (8, 10, 1996, 4.0), (8, 99, 1996, 4.0)]
+    day = lambda y: y and datetime.datetime(y, 3, 1)
+    part = {"p_partkey": [p for p, _ in parts], "p_size": pa.array([s for _, s in parts], pa.int32()), "p_brand": ["b"] * len(parts), "p_retailprice": [900.0 + 5 * (s or 0) for _, s in parts]}
+    line = {"l_suppkey": [x[0] for x in lines], "l_partkey": [x[1] for x in lines], "l_shipdate": [day(x[2]) for x in lines], "l_quantity": [x[3] for x in lines], "l_discount": [0.1] * len(lines)}
+    pq.write_table(pa.table(part), tmp_path / "part.parquet")
+    pq.write_table(pa.table(line), tmp_path / "lineitem.parquet")
+    x = registry.queries()["position_rooms"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in x.collect())
+    con = duckdb.connect()
+    con.execute(f"create view part as from '{tmp_path}/part.parquet'; create view lineitem as from '{tmp_path}/lineitem.parquet'")
+    sql = registry.oracle_sql()["position_rooms"]
+    want = con.execute(f"select {', '.join(x.columns)} from ({sql}) where team is not null and season is not null and kind between 0 and 2").fetchall()
+    assert got == sorted(want) and [r[:4] for r in got] == [(7, 1996, 0, 4), (7, 1996, 1, 1), (7, 1996, 2, 1), (7, 1997, 0, 1), (8, 1996, 2, 1)]
+    ran = x._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("FileScan parquet [l_suppkey") == ran.count("Window [") == 1, ran
