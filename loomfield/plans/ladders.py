venue_travel: homes go to distinct orders, so that no task repeats that work on wider rows

Symptom: with homes joined to the orders as read, the last stage made distinct rows of order, customer and home; at 60 times sf0.1 its largest task took 278 MB of memory, where 273 was the most of any task before homes went to the orders.
Evidence: own event log at 60 times, 24 shuffle partitions, 8 MB advisory size: the stage that joins homes and lines peaks at 278 MB, 156 MB of three columns move to it.
Fix: homes are joined to the distinct orders that the counts use already, from the same shuffle by order; only order and home move on.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 842 -> 840 s, shuffle 2.30 -> 1.49 GB, spill 0.00 -> 0.00 GB, read 0.64 -> 0.36 GB, longest task 15 -> 8 s, most memory of a task 306 -> 306 MB; at 6 GB of input CPU 4318 -> 3962 s, shuffle 14.88 -> 9.89 GB, spill 0.00 -> 0.00 GB, read 5.31 -> 2.93 GB, longest task 24 -> 16 s, most memory of a task 357 -> 470 MB; with hot keys, at 1 GB of input CPU 895 -> 838 s, shuffle 2.03 -> 1.28 GB, spill 0.00 -> 0.00 GB, read 0.63 -> 0.63 GB, longest task 28 -> 10 s, most memory of a task 296 -> 296 MB.

@@ -259,7 +259,7 @@ def venue_travel(spark, d):
     often = visits(lines).union(visits(blank)).repartition(n, "o_custkey", "l_suppkey").groupBy("o_custkey", "l_suppkey").agg(F.sum("n").alias("n"))
     h = often.groupBy("o_custkey").agg(F.min(F.struct(-F.col("n"), "l_suppkey"))["l_suppkey"].alias("home_venue"))
     # homes go to the orders, which are fewer than their lines
-    homes = o.join(h.hint("shuffle_hash"), "o_custkey").select("o_orderkey", "o_custkey", "home_venue").repartition(n, "o_orderkey").distinct()
+    homes = games.join(h.hint("shuffle_hash"), "o_custkey").select("o_orderkey", "home_venue").repartition(n, "o_orderkey")
     side = lambda s, key: v.select(F.col("s_suppkey").alias(key), *(F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", "elevation")))
     g = homes.join(lines, F.expr("l_orderkey = o_orderkey")).join(side("a", "l_suppkey"), "l_suppkey").join(side("b", "home_venue"), "home_venue")
     return g.select("o_orderkey", F.col("l_suppkey").alias("venue"), "home_venue", F.round(F.col("elevation_a") - F.col("elevation_b"), 4).alias("climb"), F.round(S.haversine_miles(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 4).alias("miles"))
